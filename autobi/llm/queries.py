@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from autobi.llm.sentencepiece_codec import op4_sentencepiece
 from autobi.llm.simhash import op1_simhash
+from autobi.llm.suffix_dedup import op8_suffix_dedup
 from autobi.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_token_files": op6_token_files,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 #: None of these can be expressed in SQL over whole tables; they are tested against brute force in tests/llm.
