@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+from autobi.llm.decontaminate import op10_decontamination
 from autobi.llm.sentencepiece_codec import op4_sentencepiece
 from autobi.llm.simhash import op1_simhash
 from autobi.llm.suffix_dedup import op8_suffix_dedup
+from autobi.llm.token_counts import op2_token_counts
 from autobi.llm.token_files import op6_token_files
+from autobi.llm.url_filter import RULES, SOFT, STRICT, op3_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_token_files": op6_token_files,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
-#: None of these can be expressed in SQL over whole tables; they are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+
+def _url_filter_sql() -> str:
+    def fits(rule: str) -> str:
+        host, path = rule.split("/", 1)
+        return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}')"
+
+    def found(terms) -> str:
+        return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT" for t in terms)
+
+    ordered = sorted(RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
+    by_rule = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in ordered) + " END"
+    return f"""
+    WITH cut AS (
+      SELECT page_id, lower(coalesce(url, '')) AS low,
+             CASE WHEN url LIKE '%://%' THEN lower(regexp_extract(url, '^(.*?)://([^/?#]*)', 2)) ELSE '' END AS host,
+             CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(.*?)://[^/?#]*([^?#]*)', 2) ELSE '' END AS path
+      FROM pages),
+    hit AS (SELECT *, {found(STRICT)} AS n_strict, {found(SOFT)} AS n_soft, {rule} AS rule FROM cut)
+    SELECT page_id, host, path, rule,
+           coalesce({by_rule}, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+    FROM hit"""
+
+
+#: The others cannot be expressed in SQL over whole tables; they are tested against brute force in tests/llm.
+ORACLES = {"op3_url_filter": _url_filter_sql()}
