@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -47,9 +48,14 @@ def materialize(df: DataFrame, **options) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced.
+
+    The first round frees the driver's handles, the second what they held; the cleaner works in its own thread.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -93,7 +99,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
         now = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        release(spark)
         if state == before:
             break
         before = state
