@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from autobi.llm.decontaminate import op10_decontamination
+from autobi.llm.quality_bayes import op5_quality_classifier
+from autobi.llm.quality_gbt import op7_quality_rules
 from autobi.llm.sentencepiece_codec import op4_sentencepiece
 from autobi.llm.simhash import op1_simhash
 from autobi.llm.suffix_dedup import op8_suffix_dedup
@@ -15,7 +17,9 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_files": op6_token_files,
+    "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_decontamination": op10_decontamination,
 }
