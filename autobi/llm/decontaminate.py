@@ -10,6 +10,7 @@ item of m shingles needs s * m of them.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -128,23 +129,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     give an empty result. The benchmark is read in slices of ``at_once`` items in id order, each sent to all
     tasks, with one pass over the documents for each.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    parts = [_matched(rows, sent, words, radius, threshold) for sent in _slices(benchmark, item_col, item_text_col, at_once)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, at_once: int) -> Iterator:
+    """Broadcasts of at most about ``at_once`` items each, at least one; rows of an id come together."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    found, last = None, None
+    own = items.orderBy("item_id").limit(at_once).collect()
     while True:
-        part = items if last is None else items.where(F.col("item_id") > last)
-        own = part.orderBy("item_id").limit(at_once).collect()
-        if len(own) == at_once:  # all rows of the last id belong to one slice
+        full = len(own) == at_once
+        if full:
             own = [r for r in own if r.item_id != own[-1].item_id] + items.where(F.col("item_id") == own[-1].item_id).collect()
-        if not own and found is not None:
-            return found
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
-        one = _matched(rows, sent, words, radius, threshold)
-        found = one if found is None else found.unionByName(one)
-        if len(own) < at_once:
-            return found
-        last = own[-1].item_id
+        yield spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
+        own = full and items.where(F.col("item_id") > own[-1].item_id).orderBy("item_id").limit(at_once).collect()
+        if not own:
+            return
 
 
 def _matched(rows: DataFrame, sent, words: int, radius: int, threshold: float) -> DataFrame:
@@ -161,10 +163,18 @@ def _matched(rows: DataFrame, sent, words: int, radius: int, threshold: float) -
     return rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = common.materialize(leaks(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, radius: int = RADIUS, at_once: int = ITEMS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item; nothing is shuffled for it."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    for sent in _slices(benchmark, item_col, item_text_col, at_once):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items, hashes = Items(sent.value, words, radius, threshold), WordHashes()
+            for batch in batches:
+                yield batch.filter(pa.array([not items.match(*shingles(t, hashes, words)) for t in common.binary(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

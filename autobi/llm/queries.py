@@ -7,6 +7,7 @@ from autobi.llm.quality_bayes import op5_quality_classifier
 from autobi.llm.quality_gbt import op7_quality_rules
 from autobi.llm.sentencepiece_codec import op4_sentencepiece
 from autobi.llm.simhash import op1_simhash
+from autobi.llm.site_tree import op9_site_tree
 from autobi.llm.suffix_dedup import op8_suffix_dedup
 from autobi.llm.token_counts import op2_token_counts
 from autobi.llm.token_files import op6_token_files
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_site_tree": op9_site_tree,
     "op10_decontamination": op10_decontamination,
 }
 

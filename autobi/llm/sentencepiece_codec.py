@@ -204,10 +204,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digest_columns() -> dict:
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(listed, 256), "decoded_sha256": F.sha2("decoded", 256)}
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(common.read(spark, sf_dir, "documents"), default_model(), decode=True))
+    encoded = encode(common.read(spark, sf_dir, "documents"), default_model(), decode=True)
+    return encoded.select("doc_id", *[c.alias(name) for name, c in digest_columns().items()])

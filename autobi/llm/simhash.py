@@ -170,11 +170,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (rows that repeat it go, too)."""
+    """``docs`` with one document of each group, all columns: the one with the smallest id, once if its row repeats.
+
+    Rows without an id stay only if no document of their group has one, and then one of them.
+    """
     groups = near_duplicates(docs, id_col, text_col, **options)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    rows = docs.join(stay, F.col(id_col) == F.col("__stay"), "left_semi")
-    return rows.dropDuplicates([id_col])
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stay = common.materialize(groups.where(same).groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__times")))
+    rows = docs.join(stay.select("__stay"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    return rows.dropDuplicates([id_col]) if stay.where("__times > 1").limit(1).count() else rows
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

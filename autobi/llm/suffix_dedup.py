@@ -356,6 +356,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, "doc_id long, n_bytes long, runs array<struct<begin:long,end:long>>, kept binary")
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 100, gram: int = 32) -> DataFrame:
+    """``docs``, all rows and columns, with what :func:`remove_repeats` removes cut from the text.
+
+    Bytes of a character that a cut splits go, too. ``chars_col``, where there is one, gets the new number of
+    characters. Null texts stay null.
+    """
+    spans = repeats(docs, id_col, text_col, length, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, own in zip(common.binary(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
+                if text is not None and own:
+                    edges = [0, *(x for pair in cover(text, own, length) for x in pair), len(text)]
+                    text = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
+                texts.append(None if text is None else text.decode("utf-8", "ignore"))
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, batch.column(at).type)
+            if chars >= 0:
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    rows = docs.join(spans, F.col(id_col) == F.col("__key"), "left").select(*(docs[c] for c in docs.columns), "__spans")
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.read(spark, sf_dir, "documents"))
     removed = (F.col("n_bytes") - F.length("kept")).cast("long")
