@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ BLOCK, HEAD = 256, struct.Struct("<4sIQQI")
 SHARE = 0.9
 #: Ids in a file image, documents apart; images in one Parquet file.
 IMAGE, IMAGES = 1 << 18, 64
-KEPT, LONGEST = 400_000, 48
+KEPT, LONGEST = 800_000, 48
 
 
 def pack(values: np.ndarray, share: float = SHARE) -> tuple[list[bytes], np.ndarray]:
@@ -139,6 +141,13 @@ def _blocks(data: bytes, base: int, starts: np.ndarray) -> np.ndarray:
     return (out + low[:, None]).ravel()
 
 
+def byte_letters() -> list[str]:
+    """The characters by which byte-level vocabularies name the 256 bytes: printable ones themselves, others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 def _letter(word: bytes) -> bool:
     """Whether the last character is a letter or digit, and still one character in lower case."""
     if word[-1] < 0x80:
@@ -155,18 +164,31 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.cut = self.tokenizer.model.tokenize
+        self.plain = byte_letters()
+        cuts = self.tokenizer.to_str()
+        self.letters = r"[\\p{L}]+" in cuts and '"ByteLevel"' in cuts
 
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > 1 and word[-1] in b",." and _letter(word[:-1]):
             ids = self[word[:-1]] + self[word[-1:]]  # a mark after a letter or digit is a token of its own
         else:
-            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encode(word)
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
                 self.clear()
             self[word] = ids
         return ids
 
+    def encode(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.letters and text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+            # one token run as it stands: no need to normalise and cut it
+            found = [t.id for t in self.cut(text if text.isascii() else "".join(map(self.plain.__getitem__, word)))]
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", found).tobytes()
+
     def ids(self, text: bytes | None) -> bytes:
         text = text or b""
         if b"\xcc" not in text and b"\xcd" not in text:  # no mark that composes with a basic letter: A-Z can be lowered first
