@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from autobi.plans.queries import ORACLES, QUERIES, flagship
 
-
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0)
+__all__ = ["ORACLES", "QUERIES", "flagship"]
