@@ -45,33 +45,25 @@ def switches(text: bytes | None) -> list[int]:
 SIZE = BUCKETS + len(LIMITS) + len(LOW)
 
 
-def train(texts: list[bytes], good: np.ndarray, rounds: int = 150, clear: float | None = None, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic model by full-batch steps with a rate for each weight.
+def features(text: bytes | None) -> np.ndarray:
+    """Places of all features of a text: buckets of each distinct word, and switches."""
+    text = text or b""
+    return np.array([b for word in set(text.split()) for b in buckets(word)] + switches(text), np.int64)
 
-    Only features count whose share among good and other documents differs by ``clear`` standard errors (by
-    default 4 for up to 400 documents, rising to 7 for several thousand).
-    """
-    weights = np.zeros(SIZE)
-    if not len(good) or good.min() == good.max():
-        share = (good.sum() + 0.5) / (len(good) + 1) if len(good) else 0.5
-        return weights, float(np.log(share / (1 - share)))
-    known: dict[bytes, list[int]] = {}
-    lists = []
-    for text in texts:
-        own = switches(text)
-        for word in set(text.split()):
-            if word not in known:
-                known[word] = buckets(word)
-            own += known[word]
-        lists.append(np.array(own, np.int64))
-    once = [np.unique(x) for x in lists]
-    n, n_good = len(good), good.sum()
-    with_ = np.bincount(np.concatenate(once), minlength=SIZE)
-    with_good = np.bincount(np.concatenate([x for x, g in zip(once, good) if g]), minlength=SIZE)
-    mean = n_good / n
+
+def telling(place: np.ndarray, n_with: np.ndarray, n_with_good: np.ndarray, n: int, n_good: float, clear: float | None = None) -> np.ndarray:
+    """Features whose share of good documents differs from the whole by ``clear`` standard errors (by default 4 for
+    up to 400 documents, rising to 7 for several thousand), and all switches."""
     clear = clear or min(7.0, 4.0 * max(1.0, n / 400) ** 0.25)
-    differ = np.abs(with_good - mean * with_) / np.sqrt(np.maximum(with_, 1) * mean * (1 - mean))
-    used = np.flatnonzero((differ >= clear) & (with_ >= 5) | (np.arange(SIZE) >= BUCKETS))
+    mean = n_good / n
+    differ = np.abs(n_with_good - mean * n_with) / np.sqrt(np.maximum(n_with, 1) * mean * (1 - mean))
+    words = place[(differ >= clear) & (n_with >= 5) & (place < BUCKETS)]
+    return np.concatenate([np.sort(words), np.arange(BUCKETS, SIZE)])
+
+
+def fit_weights(lists: list[np.ndarray], good: np.ndarray, used: np.ndarray, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic model on the used features, by full-batch steps with a rate for each weight."""
+    weights, n = np.zeros(SIZE), len(good)
     place = np.full(SIZE, -1, np.int64)
     place[used] = np.arange(len(used))
     rows, flat = np.repeat(np.arange(n), [len(x) for x in lists]), place[np.concatenate(lists)]
@@ -89,6 +81,42 @@ def train(texts: list[bytes], good: np.ndarray, rounds: int = 150, clear: float
     return weights, float(offset)
 
 
+def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and offset from rows ``(text, good)``. Tasks count and pick the features; only counts of features that
+    may tell something, and the picked features of each row, come to the driver."""
+    n, n_good = (float(v or 0) for v in labelled.agg(F.count("*"), F.sum("good")).first())
+    if not 0 < n_good < n:
+        return np.zeros(SIZE), float(np.log((n_good + 0.5) / (n - n_good + 0.5)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros((2, SIZE), np.int64), [pa.int32(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for text, good in zip(common.binary(batch.column(0)), batch.column(1).to_pylist()):
+                own = np.unique(features(text))
+                total[0, own] += 1
+                total[1, own] += good
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((at, total[0, at], total[1, at]), kind)], ["place", "n", "n_good"])
+
+    counted = labelled.mapInArrow(count, "place int, n long, n_good long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
+    mean = n_good / n
+    differ = F.abs(F.col("n_good") - mean * F.col("n")) / F.sqrt(F.col("n") * mean * (1 - mean))
+    rows = counted.where((differ >= 4) & (F.col("n") >= 5)).toPandas()
+    used = telling(*(rows[c].to_numpy() for c in ("place", "n", "n_good")), n, n_good)
+    sent = labelled.sparkSession.sparkContext.broadcast(used)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(SIZE, bool)
+        wanted[sent.value] = True
+        for batch in batches:
+            own = [x[wanted[x]].tolist() for x in map(features, common.binary(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["places", "good"])
+
+    found = labelled.mapInArrow(pick, "places array<int>, good int").toArrow()
+    lists = [np.asarray(x, np.int64) for x in found.column("places").to_pylist()]
+    return fit_weights(lists, found.column("good").to_numpy().astype(np.float64), used)
+
+
 class Scores(dict):
     """Evidence of each distinct word."""
 
@@ -152,13 +180,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     in their site; an empty table gives an empty result; other columns are not read.
     """
     flags = labels.withColumn("good", ((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
-    rows = labelled_sample(docs, flags, ["good"], sample, id_col, text_col).orderBy("doc_id")
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "good").toLocalIterator()
-    texts, good = [], []
-    for r in rows:  # at most ``sample`` texts
-        texts.append(r.text.encode())
-        good.append(r.good)
-    weights, offset = train(texts, np.array(good, np.float64))
+    chosen = labelled_sample(docs, flags, ["good"], sample, id_col, text_col).orderBy("doc_id", "text")
+    weights, offset = train(common.materialize(chosen.select("text", "good")))
     scored = common.materialize(evidence(docs, weights, offset, id_col, text_col, host_col, path_col))
     found = posteriors(scored)
     return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0).alias("kept"))
