@@ -15,7 +15,7 @@ the places where they occur.
 
 Suffixes and phrases are compared by two 64-bit hashes with independent bases, not byte by byte: only equality
 within the sorted order matters here, and hashes spread a very common trigger over all tasks. A trigger that one
-task sees in more than ``HOT`` distinct phrases is known to need step 2, so those phrases skip step 1 but for one
+task sees in more than ``Limits.hot`` distinct phrases is known to need step 2, so those phrases skip step 1 but for one
 mark; no task gets all phrases of a common trigger.
 """
 
@@ -23,17 +23,29 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from autobi.llm import common
 
 U = np.uint64
-#: Bytes parsed at once, rows held by a task before it sends them, distinct phrases of a trigger that make it hot.
-CHUNK, ROWS, HOT = 1 << 20, 1 << 20, 64
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes parsed at once, rows a task holds before it sends them, distinct phrases that make a trigger hot.
+
+    They bound memory; the result does not depend on them.
+    """
+
+    chunk: int = 1 << 20
+    rows: int = 1 << 19
+    hot: int = 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,7 +72,7 @@ class Sums:
     BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
     def __init__(self, raw: np.ndarray, which: int):
-        size = max(CHUNK * 2, len(raw) + 1)
+        size = 1 << max(12, len(raw).bit_length())
         values, powers, self.inverse = _powers(self.BASES[which], size)
         self.sums = np.zeros(len(raw) + 1, U)
         np.cumsum(values[raw] * powers[: len(raw)], out=self.sums[1:])
@@ -103,8 +115,8 @@ def phrases(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
     return start, count, hashes[trigger[new]], content
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of about CHUNK bytes: bytes, bounds of the texts, their ids, and the offset of each within its
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of about ``chunk`` bytes: bytes, bounds of the texts, their ids, and the offset of each within its
     document (longer documents come in overlapping pieces)."""
     texts, ids, offsets, size = [], [], [], 0
 
@@ -114,11 +126,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
 
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), common.binary(batch.column(1))):
-            for offset in range(0, max(1, len(text or b"") - length + 1), CHUNK):
-                part = (text or b"")[offset : offset + CHUNK + length - 1]
+            for offset in range(0, max(1, len(text or b"") - length + 1), chunk):
+                part = (text or b"")[offset : offset + chunk + length - 1]
                 texts.append(part), ids.append(name), offsets.append(offset)
                 size += len(part)
-                if size >= CHUNK:
+                if size >= chunk:
                     yield out()
                     texts, ids, offsets, size = [], [], [], 0
     if texts:
@@ -155,7 +167,7 @@ SUFFIX = (U, U, np.int64, np.uint32)
 BLOBS = "kind string, range int, rows binary"
 
 
-def _parsed(docs: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
+def _parsed(docs: DataFrame, length: int, gram: int, ranges: int, limits: Limits) -> DataFrame:
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         trigger, content, doc, start, count = (np.concatenate([h[k] for h in held]) for k in range(5))
         order = np.lexsort((start, doc, content, trigger))
@@ -166,7 +178,7 @@ def _parsed(docs: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
         if again.any():
             yield _batch("repeat", *_split([doc[again], start[again], count[again].astype(np.uint32)], _range(doc[again], ranges), ranges))
         group = np.cumsum(new_trigger) - 1
-        hot = (np.bincount(group[first]) > HOT)[group] & first
+        hot = (np.bincount(group[first]) > limits.hot)[group] & first
         if hot.any():
             yield _batch("open", *_split([doc[hot], start[hot], count[hot].astype(np.uint32)], _range(doc[hot], ranges), ranges))
         mark = hot & new_trigger
@@ -178,12 +190,12 @@ def _parsed(docs: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         with np.errstate(over="ignore"):
-            for raw, bounds, ids, offsets in _pieces(batches, length):
+            for raw, bounds, ids, offsets in _pieces(batches, length, limits.chunk):
                 start, count, trigger, content = phrases(raw, bounds, length, gram)
                 text = np.searchsorted(bounds, start, side="right") - 1
                 held.append([trigger, content, ids[text], start - bounds[text] + offsets[text], count])
                 size += len(start)
-                if size >= ROWS:
+                if size >= limits.rows:
                     yield from flush(held)
                     held, size = [], 0
             if size:
@@ -253,7 +265,7 @@ def _by_document(rows: DataFrame, ranges: int) -> DataFrame:
     return sent.mapInArrow(gather, "key long, spans binary")
 
 
-def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int) -> DataFrame:
+def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int, limits: Limits) -> DataFrame:
     """All passages of the open phrases in sorted order: those that are not the first of their kind."""
 
     def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -270,7 +282,7 @@ def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int) -> Da
                     last = 0
                     while last < len(pair):  # a bounded part of the text at a time
                         base = int(pair[last, 0])
-                        stop = int(np.searchsorted(pair[:, 0], base + CHUNK, side="left"))
+                        stop = int(np.searchsorted(pair[:, 0], base + limits.chunk, side="left"))
                         part = pair[last:stop]
                         own = np.unique(np.repeat(part[:, 0] - np.concatenate(([0], np.cumsum(part[:-1, 1]))), part[:, 1]) + np.arange(part[:, 1].sum()))
                         here = raw[base : int(own[-1]) + length]
@@ -278,7 +290,7 @@ def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int) -> Da
                         held.append([one, two, np.full(len(own), name, np.int64), own])
                         size += len(own)
                         last = stop
-                        if size >= ROWS:
+                        if size >= limits.rows:
                             yield flush(held)
                             held, size = [], 0
             if size:
@@ -301,22 +313,33 @@ def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int) -> Da
     return found.mapInArrow(send, BLOBS).repartition(ranges, "range").select("rows").mapInArrow(order, BLOBS)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32) -> DataFrame:
-    """``(key, spans)``: for each document with repeats, (start, passages) pairs of the passages to remove."""
-    spark = docs.sparkSession
+def repeats(rows: DataFrame, length: int = 100, gram: int = 32, limits: Limits = Limits()) -> DataFrame:
+    """``(key, spans)`` for rows ``(doc_id, text)`` with unique ids and no nulls: for each document with repeats,
+    (start, passages) pairs of the passages to remove."""
+    spark = rows.sparkSession
     ranges = common.partitions(spark)
-    rows = _plain(docs, id_col, text_col)
-    sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges), ranges))
+    sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges, limits), ranges))
     common.release(spark)
     spans = common.materialize(_by_document(sorted_.where("kind = 'open'"), ranges))
-    more = common.materialize(_suffixes(rows, spans, length, ranges))
+    more = common.materialize(_suffixes(rows, spans, length, ranges, limits))
     common.release(spark)
     found = sorted_.where("kind = 'repeat'").unionByName(more)
     return common.materialize(_by_document(found, ranges))
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a unique ``__place`` in id order: the id itself, or where ids repeat or lack, a number by id
+    (nulls first) and text."""
+    same = docs.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null")
+    if not same.limit(1).count():
+        return docs.withColumn("__place", F.col(id_col).cast("long"))
+    order = [F.col(id_col).cast("long"), F.col(text_col).cast("string")]
+    ranged = docs.repartitionByRange(common.partitions(docs.sparkSession), order[0], F.xxhash64(order[1])).sortWithinPartitions(order[0], F.xxhash64(order[1]), order[1])
+    return common.materialize(ranged.withColumn("__place", F.monotonically_increasing_id()))
+
+
+def _plain(numbered: DataFrame, text_col: str) -> DataFrame:
+    return numbered.select(F.col("__place").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def cover(text: bytes, spans: bytes | None, length: int = 100) -> list[tuple[int, int]]:
@@ -329,16 +352,17 @@ def cover(text: bytes, spans: bytes | None, length: int = 100) -> list[tuple[int
     return list(zip(begin[new].tolist(), end[np.append(new[1:], len(pair)) - 1].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, limits: Limits = Limits()) -> DataFrame:
     """``(doc_id, n_bytes, runs, kept)``: removed byte runs ``array<struct<begin,end>>`` and the bytes that stay.
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a smaller id, or earlier
     in the same document; matches never cross documents, and all are judged on the input. Null texts count as
-    empty. Ids must be unique and not null: rows that share an id count as one place, so each is kept
-    or cut like the other. Cutting bytes may split a character; ``kept`` is therefore binary. Texts may have up to
-    2**32 bytes. Other columns are not read; an empty table gives an empty result.
+    empty. Rows that repeat an id, and those without one (before all others), count as documents of their own, in
+    the order of a hash of their text. Cutting bytes may split a character; ``kept`` is therefore binary. Texts may
+    have up to 2**32 bytes. Other columns are not read; an empty table gives an empty result.
     """
-    spans = repeats(docs, id_col, text_col, length, gram)
+    docs = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
+    spans = repeats(_plain(docs, "text"), length, gram, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -352,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]) if own else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
 
-    rows = _plain(docs, id_col, text_col).join(spans, F.col("doc_id") == F.col("key"), "left").select("doc_id", "text", "spans")
+    rows = docs.join(spans, F.col("__place") == F.col("key"), "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, runs array<struct<begin:long,end:long>>, kept binary")
 
 
@@ -362,7 +386,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Bytes of a character that a cut splits go, too. ``chars_col``, where there is one, gets the new number of
     characters. Null texts stay null.
     """
-    spans = repeats(docs, id_col, text_col, length, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    numbered = _numbered(docs, id_col, text_col)
+    spans = repeats(_plain(numbered, text_col), length, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,8 +404,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    rows = docs.join(spans, F.col(id_col) == F.col("__key"), "left").select(*(docs[c] for c in docs.columns), "__spans")
-    return rows.mapInArrow(run, docs.schema)
+    rows = numbered.join(spans, F.col("__place") == F.col("__key"), "left").select(*docs.columns, "__spans")
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
