@@ -5,6 +5,8 @@ Typed columns are used as they are, so filters on them still reach the file scan
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +52,14 @@ def num(df: DataFrame, name: str, strict: bool = False) -> Column:
 def text_ts(text: Column, patterns: list[str] = DATE_PATTERNS) -> Column:
     """Text as timestamp: year-first forms, then the patterns (day before month). Years and times alone are null."""
     year_first = F.when(text.rlike(r"^\s*[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"), F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz"))
-    return F.coalesce(year_first, *[F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in patterns])
+    return F.coalesce(year_first, *[F.when(text.rlike(_form(p)), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz")) for p in patterns])
+
+
+def _form(pattern: str) -> str:
+    """What text of a date pattern looks like; a parser that fails is far slower than this test."""
+    for part, digits in (("yyyy", "[0-9]{4}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("M", "[0-9]{1,2}")):
+        pattern = pattern.replace(part, digits)
+    return f"^{re.sub('d(?![0-9{])', '[0-9]{1,2}', pattern)}$"
 
 
 def ts(df: DataFrame, name: str) -> Column:
