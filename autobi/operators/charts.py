@@ -66,8 +66,7 @@ def fill_gaps(points: DataFrame, bin: str, mode: str = "nulls", by: Sequence[str
     if mode == "zeros":
         out = out.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     if mode == "ffill":
-        window = over(by, x).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(value, F.last(value, ignorenulls=True).over(window))
+        out = ffill(out, value, by, x)
     return out.select(*by, x, value)
 
 
@@ -76,6 +75,24 @@ def with_index(points: DataFrame, by: Sequence[str] = (), order: str = "x", name
     return points.withColumn(name, F.row_number().over(over(by, order)) - 1)
 
 
+def ffill(points: DataFrame, col: str = "y", by: Sequence[str] = (), order: str = "x") -> DataFrame:
+    """The last known value of a series where a point has none."""
+    window = over(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumn(col, F.last(col, ignorenulls=True).over(window))
+
+
+def diff(points: DataFrame, col: str = "y", by: Sequence[str] = (), order: str = "x", name: str = "diff") -> DataFrame:
+    """Change from the point before; the first point has none."""
+    return points.withColumn(name, F.col(col) - F.lag(col).over(over(by, order)))
+
+
+def trailing_mean(points: DataFrame, width: int, col: str = "y", by: Sequence[str] = (), order: str = "x", name: str = "trailing_mean") -> DataFrame:
+    """Mean of the ``width`` points before each point; null where there are fewer."""
+    window = over(by, order)
+    mean = F.avg(col).over(window.rowsBetween(-width, -1))
+    return points.withColumn(name, F.when(F.row_number().over(window) > width, mean))
+
+
 def stride(points: DataFrame, most: int = MAX_POINTS, by: Sequence[str] = (), order: str = "x") -> DataFrame:
     """Every k-th point of a series, the first included, with the smallest k that leaves at most ``most``."""
     step = F.ceil(F.count("*").over(over(by)) / most)
