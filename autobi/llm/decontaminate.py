@@ -4,8 +4,8 @@ Every window of as many words as an item has is compared with it. Windows get a
 shingles; a table of the item fingerprints for each of eight blocks gives all items that some block does not
 rule out (fingerprints within the radius differ in at most radius // 8 bits of some block), then the full
 Hamming distance and at last the weighted similarity of the shingles decide. Before that, windows that hold too
-few shingles of any item to reach the similarity are passed over; this loses nothing, as a similarity s to an
-item of m shingles needs s * m of them.
+few shingles of each item of their size to reach the similarity are passed over; this loses nothing, as a
+similarity s to an item of m shingles needs s * m of them.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ class WordHashes(dict):
         return found
 
 
-def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> tuple[np.ndarray, int]:
-    """Shingle hashes in order, and the number of words. A-Z count as a-z; words are cut at ASCII white space."""
+def word_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the words in order. A-Z count as a-z; words are cut at ASCII white space."""
     parts = (text or b"").lower().split()
-    return _mix(np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts)), words), len(parts)
+    return np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
 
 
 def simhash(rows: np.ndarray) -> int:
@@ -70,14 +70,35 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Items:
+    """All items; those of fewer words than a shingle are one shingle each and stand apart by their length."""
+
     def __init__(self, items: list[tuple[int, bytes]], words: int, radius: int, threshold: float):
+        hashed: dict[int, list[tuple[int, np.ndarray]]] = {}
         hashes = WordHashes()
+        for name, text in items:
+            own = word_hashes(text, hashes)
+            if len(own):
+                hashed.setdefault(min(words, len(own)), []).append((name, own))
+        self.groups = [Group(found, width, radius, threshold) for width, found in sorted(hashed.items())]
+
+    def match(self, own: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """(item, best similarity, first word of that window, its words) for each item that some window matches."""
+        return [m for g in self.groups if len(own) >= g.words for m in g.match(_mix(own, g.words), len(own))]
+
+
+class Group:
+    """Items whose shingles have the same number of words."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], words: int, radius: int, threshold: float):
         self.words, self.radius, self.threshold = words, radius, threshold
-        found = [(name, *shingles(text, hashes, words)) for name, text in items]
-        found = [x for x in found if x[2]]
+        found = [(name, _mix(own, words), len(own)) for name, own in items]
         self.names, self.rows, self.sizes = [x[0] for x in found], [x[1] for x in found], np.array([x[2] for x in found], np.int64)
         self.prints = np.array([simhash(r) for r in self.rows], np.uint64)
-        self.known = np.unique(np.concatenate(self.rows)) if found else np.zeros(0, np.uint64)
+        flat = np.concatenate(self.rows)
+        self.known, place = np.unique(flat, return_inverse=True)
+        #: items of each known shingle
+        self.owners = np.repeat(np.arange(len(found)), [len(r) for r in self.rows])[np.argsort(place, kind="stable")]
+        self.owned = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.known))))).astype(np.int64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         byte = np.arange(256, dtype=np.uint8)
@@ -95,18 +116,32 @@ class Items:
             found[maybe] = self.known[at] == rows[maybe]
         return found
 
+    def windows(self, rows: np.ndarray, places: np.ndarray, n_words: int) -> dict[int, set[int]]:
+        """For each item size, the starts of the windows that hold enough shingles of some item of that size."""
+        where = np.searchsorted(self.known, rows[places])
+        found: dict[int, set[int]] = {}
+        for item in np.unique(np.concatenate([self.owners[self.owned[k] : self.owned[k + 1]] for k in np.unique(where)])).tolist():
+            size = int(self.sizes[item])
+            need = int(np.ceil(self.threshold * len(self.rows[item]) - 1e-9))
+            own = places[np.isin(rows[places], self.rows[item])]
+            if len(own) < need:
+                continue
+            span = max(1, min(size, n_words) - self.words + 1)
+            low, high = max(0, int(own[0]) - span + 1), min(len(rows) - span, int(own[-1]))
+            at = np.arange(low, high + 1)
+            held = np.searchsorted(own, at + span) - np.searchsorted(own, at)
+            if len(at := at[held >= need]):
+                found.setdefault(size, set()).update(at.tolist())
+        return found
+
     def match(self, rows: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
-        """(item, best similarity, first word of that window, its words) for each item that some window matches."""
-        if not len(self.names) or not len(rows):
-            return []
         hit = self.hits(rows)
         if not hit.any():
             return []
-        total, best = np.concatenate(([0], np.cumsum(hit))), {}
-        for size, which in self.by_size.items():
-            need = int(np.ceil(self.threshold * max(1, size - self.words + 1) - 1e-9))
-            span = max(1, min(size, n_words) - self.words + 1)
-            for at in np.flatnonzero(total[span:] - total[:-span] >= need).tolist():
+        best: dict[int, tuple[float, int, int]] = {}
+        for size, starts in self.windows(rows, np.flatnonzero(hit), n_words).items():
+            which, span = self.by_size[size], max(1, min(size, n_words) - self.words + 1)
+            for at in sorted(starts):
                 window = rows[at : at + span]
                 value = simhash(window)
                 keep = np.zeros(len(which), bool)
@@ -124,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``(doc_id, item_id, similarity, first_word, n_words)``: each document with each item it holds.
 
     similarity is the best of the document's windows, first_word where that window starts. A document with fewer
-    words than the item is one window. Null and empty texts and items match nothing. Rows that repeat an id each
+    words than the item is one window; an item of fewer words than a shingle is one shingle. Null and empty texts and items match nothing. Rows that repeat an id each
     give rows; an item id that repeats is compared in each of its texts. Other columns are not read; empty tables
     give an empty result. The benchmark is read in slices of ``at_once`` items in id order, each sent to all
     tasks, with one pass over the documents for each.
@@ -155,7 +190,7 @@ def _matched(rows: DataFrame, sent, words: int, radius: int, threshold: float) -
         for batch in batches:
             found = []
             for name, text in zip(batch.column(0).to_pylist(), common.binary(batch.column(1))):
-                found += [(name, *m) for m in items.match(*shingles(text, hashes, words))]
+                found += [(name, *m) for m in items.match(word_hashes(text, hashes))]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             columns = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -171,7 +206,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, hashes = Items(sent.value, words, radius, threshold), WordHashes()
             for batch in batches:
-                yield batch.filter(pa.array([not items.match(*shingles(t, hashes, words)) for t in common.binary(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not items.match(word_hashes(t, hashes)) for t in common.binary(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs
