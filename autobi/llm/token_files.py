@@ -55,9 +55,14 @@ def pack(values: np.ndarray, share: float = SHARE) -> tuple[list[bytes], np.ndar
     for w in np.unique(width).tolist():
         where = np.flatnonzero(width == w)
         if w:
-            kept = np.where(over[where], 0, rel[where]).astype("<u4")
-            bits = np.unpackbits(kept.view(np.uint8).reshape(len(where), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            data = np.packbits(bits.reshape(len(where), -1), axis=1, bitorder="little")
+            kept = np.where(over[where], 0, rel[where]).astype(np.uint64).reshape(-1, 8)
+            words = np.zeros((len(kept), (8 * w + 63) // 64 + 1), "<u8")  # eight values fill w bytes
+            for k in range(8):
+                slot, shift = k * w >> 6, np.uint64(k * w & 63)
+                words[:, slot] |= kept[:, k] << shift
+                if shift:
+                    words[:, slot + 1] |= kept[:, k] >> (np.uint64(64) - shift)
+            data = words.view(np.uint8)[:, :w].reshape(len(where), -1)
             for i, row in zip(where.tolist(), data):
                 packed[i] = row.tobytes()
     blocks, counts = [], over.sum(axis=1)
@@ -125,16 +130,13 @@ def _blocks(data: bytes, base: int, starts: np.ndarray) -> np.ndarray:
     low, width = np.ascontiguousarray(head[:, :4]).view("<u4").ravel(), head[:, 4].astype(np.int64)
     count = np.ascontiguousarray(head[:, 5:7]).view("<u2").ravel()
     out = np.zeros((len(at), BLOCK), np.uint32)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    window = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each byte on hold any value
     for w in np.unique(width).tolist():
-        where = np.flatnonzero(width == w)
         if w:
-            packed = raw[(at[where] + 7)[:, None] + np.arange(w * BLOCK // 8)]
-            whole = np.zeros((len(where), BLOCK, 8 * (-(-w // 8))), np.uint8)
-            whole[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(where), BLOCK, w)
-            part = np.packbits(whole, axis=2, bitorder="little")
-            full = np.zeros((len(where), BLOCK, 4), np.uint8)
-            full[:, :, : part.shape[2]] = part
-            out[where] = full.view("<u4")[:, :, 0]
+            where, bit = np.flatnonzero(width == w), np.arange(BLOCK) * w
+            read = window[(at[where] + 7)[:, None] + (bit >> 3)]
+            out[where] = (read >> (bit & 7).astype(np.uint64)) & np.uint64((1 << w) - 1)
     for i in np.flatnonzero(count).tolist():
         c, p = int(count[i]), int(at[i] + 7 + width[i] * BLOCK // 8)
         out[i, raw[p : p + c]] = np.frombuffer(data, "<u4", c, p + c)
