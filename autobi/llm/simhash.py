@@ -174,7 +174,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows without an id stay only if no document of their group has one, and then one of them.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the ``component_id`` of their group in ``groups``."""
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     stay = common.materialize(groups.where(same).groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__times")))
     rows = docs.join(stay.select("__stay"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
