@@ -171,16 +171,20 @@ def host(url: str | None) -> str:
 
 
 def main_text(page: str | None, low: frozenset | set = frozenset()) -> str:
-    """The page's blocks joined by line ends; ``low`` are the paths of its site's unimportant branches."""
+    """The page's blocks joined by line ends; ``low`` are the paths of its site's unimportant branches, of which
+    html, body and those that hold the whole text stay."""
     blocks, _ = parse(page)
     best = max((inside for _, inside, _ in blocks), default=0)
     if best:
         return "\n".join(t for t, inside, _ in blocks if inside == best)
-    return "\n".join(t for t, _, path in blocks if not low or not any(path == x or path.startswith(x + ">") for x in low))
+    under = lambda path, x: path == x or path.startswith(x + ">")
+    low = [x for x in low if x.split(">")[-1].split(".")[0] not in ("html", "body") and not all(under(path, x) for _, _, path in blocks)]
+    return "\n".join(t for t, _, path in blocks if not any(under(path, x) for x in low))
 
 
 def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, host, path, content, layout, declared)``: each page's nodes, with hashes of what they hold."""
+    """``(page_id, host, page, path, content, layout, declared)``: each page's nodes, with hashes of what they hold
+    and of all the page's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
@@ -189,12 +193,13 @@ def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for name, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks, tree = parse(page)
                 declared = any(inside for _, inside, _ in blocks)
-                rows += [(name, host(url), path, digest(texts), digest(layouts), declared) for path, (texts, layouts) in tree.items() if any(texts)]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "path", "content", "layout", "declared"])
+                whole = digest([x for text, _, path in blocks for x in (path, text)])
+                rows += [(name, host(url), whole, path, digest(texts), digest(layouts), declared) for path, (texts, layouts) in tree.items() if any(texts)]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            columns = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "page", "path", "content", "layout", "declared"])
 
-    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, host string, path string, content long, layout long, declared boolean")
+    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, host string, page long, path string, content long, layout long, declared boolean")
 
 
 def importance(nodes: DataFrame, share: float = 0.9) -> DataFrame:
@@ -218,12 +223,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text of a block has its character references decoded, runs of white space made one space and its ends
     trimmed; blocks are joined by one line end. A line break element counts as a space. Branches of less than
-    ``least`` importance on at least ``min_pages`` pages of the host are removed from pages that declare no
-    article. Null and empty pages give an empty text. A null id is kept, without its site's tree. Repeated rows
-    each give a row and count twice in their site; other columns are not read; an empty table gives none.
+    ``least`` importance on at least ``min_pages`` different pages of the host are removed from pages that declare
+    no article, but never html, body or a branch that holds the page's whole text. Null and empty pages give an empty text. A null id is kept, without its site's tree. Repeated rows
+    each give a row and, like other copies of a page, count once in their site; other columns are not read; an empty table gives none.
     """
     nodes = common.materialize(style_trees(pages, id_col, url_col, html_col))
-    low = importance(nodes).where((F.col("importance") < least) & (F.col("pages") >= min_pages)).select("host", "path")
+    low = importance(nodes.dropDuplicates(["host", "page", "path"])).where((F.col("importance") < least) & (F.col("pages") >= min_pages)).select("host", "path")
     found = nodes.where(~F.col("declared")).join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low"))
     found = common.materialize(found.withColumnRenamed("page_id", "low_id"))
 

@@ -152,6 +152,23 @@ def test_style_tree_removes_what_stays_the_same(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_counts_copies_of_a_page_once(spark):
+    page = lambda x: f"<html><body><div class=top>Slogan of the site</div><div class=text><p>text {x}</p></div></body></html>"
+    rows = [(i, f"http://copies.com/{i}", page("alike")) for i in range(90)] + [(i, f"http://copies.com/{i}", page(i)) for i in range(90, 100)]
+    rows += [(200, "http://thrice.com/", page("one"))] * 3 + [(i, f"http://same.com/{i}", page("same")) for i in range(300, 305)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    assert got == {
+        **{i: "text alike" for i in range(90)}, **{i: f"text {i}" for i in range(90, 100)},
+        200: "Slogan of the site\ntext one", **{i: "Slogan of the site\ntext same" for i in range(300, 305)},
+    }
+
+
+def test_branch_of_the_whole_text_stays():
+    page = "<html><body><div class=a><p>one</p><p>two</p></div></body></html>"
+    assert site_tree.main_text(page, {">html", ">html>body", ">html>body>div.a"}) == "one\ntwo"
+
+
 def test_importance(spark):
     nodes = [(i, "h", "a", 1, 1, False) for i in range(4)] + [(i, "h", "b", i, 1, False) for i in range(4)] + [(0, "h", "c", 1, 1, False)]
     df = spark.createDataFrame(nodes, "page_id long, host string, path string, content long, layout long, declared boolean")
