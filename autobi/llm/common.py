@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -31,31 +30,65 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, one of the machine's own serves a local master
+    only (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Where each frame returned by :func:`materialize` lies.
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_WRITTEN: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, **options) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Spark is told to delete the shuffle files of this write when it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    _TABLES[found] = path
+    _WRITTEN.append(path)
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of frames made by :func:`materialize` that nothing will read again."""
+    for table in tables:
+        path = _TABLES.pop(table)
+        _WRITTEN.remove(path)
+        _delete(table.sparkSession, path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced.
 
-    The first round frees the driver's handles, the second what they held; the cleaner works in its own thread.
+def drop_all(spark: SparkSession) -> int:
+    """Delete every table that this process has written by :func:`materialize`; results not yet saved are lost.
+
+    For callers that have saved what they want. Gives the number of tables.
     """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    _TABLES.clear()
+    return count
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,6 +113,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, nulls_first: bool = True) -> DataFrame:
+    """``docs`` with a unique ``__place`` in id order: the id itself, or where ids repeat or lack, a number by id
+    (nulls first or last), a hash of the text, and the text."""
+    key = F.col(id_col).cast("long")
+    same = docs.groupBy(key.alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null")
+    if not same.limit(1).count():
+        return docs.withColumn("__place", key)
+    by_id, text = key.asc_nulls_first() if nulls_first else key.asc_nulls_last(), F.col(text_col).cast("string")
+    ranged = docs.repartitionByRange(partitions(docs.sparkSession), by_id, F.xxhash64(text)).sortWithinPartitions(by_id, F.xxhash64(text), text)
+    return materialize(ranged.withColumn("__place", F.monotonically_increasing_id()))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` inner-joined with ``groups(*keys, count, ...)``, one row a group, ``count`` of the ``total`` rows in it.
+
+    Groups of more than one in ``share`` of all rows, of which there are fewer than ``share``, are broadcast, so no
+    task gets a large group; the others are joined by a shuffle.
+    """
+    limit = max(1, total // share)
+    large = groups.where(F.col(count) > limit)
+    here = rows.join(F.broadcast(large), keys)
+    rest = rows.join(F.broadcast(large.select(keys)), keys, "left_anti").join(groups.where(F.col(count) <= limit), keys)
+    return here.unionByName(rest.select(here.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, root the smallest node reachable.
 

@@ -5,9 +5,10 @@ bits, some chain of consecutive parts has, for each of its prefixes of length l,
 differing bits. While that budget is zero the parts are equal, so those parts together form the join key; the
 rest of the chain is tested on each candidate before the full Hamming distance.
 
-Only distinct fingerprints are compared, so copies cost nothing. A key shared by many distinct fingerprints
-is not paired off: there each fingerprint is sent to all points one bit away (for ``t`` = 2, two fingerprints
-are linked exactly if they share such a point), and links go to one fingerprint of each point.
+Only distinct fingerprints are compared, so copies cost nothing. A key shared by many distinct fingerprints is
+split by the parts of the chain that follow, as long as the budget is one bit: the longer key of one fingerprint
+equals that of the other, or equals it once one of its set bits is cleared. For ``t`` = 2 the short key has 26 bits
+and the long one 51, so that at most 2**13 fingerprints ever share it.
 """
 
 from __future__ import annotations
@@ -69,23 +70,33 @@ def _mask(parts: list[tuple[int, int]]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def links(fps: DataFrame, distance: int = 2, segments: int = 5, hot: int = 16) -> DataFrame:
-    """``(a, b)`` between distinct fingerprints ``fps(fp)`` such that components of these links are exact.
+def links(fps: DataFrame, distance: int = 2, segments: int | None = None, hot: int = 16) -> DataFrame:
+    """``(a, b)`` between distinct fingerprints ``fps(fp)``: links of at most ``distance`` bits with exact components.
 
-    All pairs within ``distance`` that share a key of at most ``hot`` fingerprints are given; for larger keys
-    (``distance`` 1 or 2) enough links that the same components result.
+    Keys of more than ``hot`` fingerprints are split by longer chains; the result does not depend on it. The
+    larger the distance, the shorter the keys and the more candidates they leave: a key has about 128 / (2 *
+    distance + 1) bits, and twice as many when split.
     """
-    spark = fps.sparkSession
+    segments = segments or min(64, 2 * distance + 1)
     parts, budget, equal = ring(segments, distance)
-    if equal == 0 or equal == segments:
-        raise ValueError("needs more segments than differing bits, and a distance of at least 1")
+    if distance < 1:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    if equal == 0:
+        raise ValueError("needs more segments than differing bits")
+    once = max(length for length in range(equal, segments + 1) if budget[length - 1] <= 1)
     turns = [[parts[(i + k) % segments] for k in range(segments)] for i in range(segments)]
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(t[:equal]))) for t in turns])
     keyed = fps.select("fp", F.posexplode(keys).alias("turn", "key"))
     sizes = keyed.groupBy("turn", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.materialize(keyed.join(sizes, ["turn", "key"]))
-    few = shared.where(F.col("n") <= hot)
-    a, b = few.select("turn", "key", F.col("fp").alias("a")), few.select("turn", "key", F.col("fp").alias("b"))
+    few = shared.where(F.col("n") <= hot).select("turn", "key", "fp")
+    many = shared.where(F.col("n") > hot)
+    by_turn = lambda values: F.array(*values)[F.col("turn")]
+    long_key = F.col("fp").bitwiseAND(by_turn([F.lit(_mask(t[:once])) for t in turns]))
+    plain = many.select("turn", long_key.alias("key"), "fp")
+    flips = by_turn([F.array(*[F.lit(_mask([(b, 1)])) for s, w in t[equal:once] for b in range(s, s + w)]) for t in turns])
+    bit = F.explode(F.filter(flips, lambda x: F.col("fp").bitwiseAND(x) != 0)).alias("bit")
+    cleared = many.select("turn", long_key.alias("key"), "fp", bit).select("turn", F.col("key").bitwiseXOR(F.col("bit")).alias("key"), "fp")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     within = F.bit_count(differ) <= distance
     for length in range(segments - 1, equal, -1):  # the shortest chain is tested first
@@ -93,45 +104,36 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 5, hot: int = 16) -
         for i, t in enumerate(turns):
             test = F.when(F.col("turn") == i, F.bit_count(differ.bitwiseAND(F.lit(_mask(t[:length])))) <= budget[length - 1]).otherwise(test)
         within = test & within
-    pairs = a.join(b, ["turn", "key"]).where(F.col("a") < F.col("b")).where(within).select("a", "b")
-    many = shared.where(F.col("n") > hot).select("fp").distinct()
-    return pairs.unionByName(_points(many, distance, common.partitions(spark)))
 
+    def met(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+        a, b = (x.select("turn", "key", F.col("fp").alias(name)) for x, name in ((left, "a"), (right, "b")))
+        pairs = a.join(b, ["turn", "key"])
+        return (pairs.where(F.col("a") < F.col("b")) if ordered else pairs).where(within).select("a", "b")
 
-def _points(fps: DataFrame, distance: int, ranges: int) -> DataFrame:
-    """Links through shared points one bit away, for fingerprints whose keys are too common to pair off."""
-    if distance > 2:
-        raise ValueError("common keys are resolved for a distance of 1 or 2")
-    flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
+    return _thinned(met(few, few, True).unionByName(met(plain, plain, True)).unionByName(met(plain, cleared, False)))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _thinned(pairs: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Of the links in each partition, about ``most`` at a time, those that are needed for the same components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pair: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+        held, size = [], 0
         for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(own), 1 << 14):
-                fp = own[at : at + (1 << 14)]
-                point = (fp[:, None] ^ flips[None, :]).ravel()
-                to = (common.mix64(point) % np.uint64(ranges)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                both = np.stack([point, np.repeat(fp, 65)], axis=1)[order]
-                cut = np.searchsorted(to[order], np.arange(ranges + 1))
-                found = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([both[cut[r] : cut[r + 1]].tobytes() for r in found], pa.binary())], ["range", "rows"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.uint64).reshape(-1, 2) for batch in batches for x in batch.column(1).to_pylist()]
-        if not rows:
-            return
-        rows = np.concatenate(rows)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-        centre = rows[np.flatnonzero(first)[np.cumsum(first) - 1], 1]
-        pair = np.unique(np.stack([centre, rows[:, 1]], axis=1)[centre != rows[:, 1]], axis=0)
-        if distance == 1:
-            pair = pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= 1]
-        pair = _forest(pair)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
-
-    return fps.mapInArrow(send, "range int, rows binary").repartition(ranges, "range").mapInArrow(meet, "a long, b long")
+            held.append(np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)], axis=1))
+            size += batch.num_rows
+            if size >= most:
+                held = [_forest(np.concatenate(held))]
+                size = len(held[0])
+                if 2 * size >= most:
+                    yield out(held[0])
+                    held, size = [], 0
+        if size:
+            yield out(_forest(np.concatenate(held)))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _forest(pair: np.ndarray) -> np.ndarray:
@@ -152,17 +154,18 @@ def _forest(pair: np.ndarray) -> np.ndarray:
     return np.stack([names[moved], names[root[moved]]], axis=1).astype(np.uint64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, segments: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, segments: int | None = None, hot: int = 16) -> DataFrame:
     """One row per row of ``docs``: ``(doc_id, fp, component_id)``.
 
     component_id is the smallest id among the documents reachable by links of at most ``distance`` bits, the
-    document itself included. Null and empty texts share fingerprint zero and are linked like any other.
-    Rows that repeat an id each give a row. A null id gets its group's smallest id (null if all are). Other
-    columns of ``docs`` are not read. An empty table gives an empty result.
+    document itself included; any distance is allowed (:func:`links` says what it costs). Null and empty texts
+    share fingerprint zero and are linked like any other. Rows that repeat an id each give a row. A null id gets
+    its group's smallest id (null if all are). Other columns of ``docs`` are not read. An empty table gives an
+    empty result.
     """
     fps = common.materialize(fingerprints(docs, id_col, text_col, words))
     each = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = common.components(links(each.select("fp"), distance, segments))
+    root = common.components(links(each.select("fp"), distance, segments, hot))
     rooted = each.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.materialize(rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id"))
@@ -170,19 +173,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, all columns: the one with the smallest id, once if its row repeats.
+    """``docs`` with one row of each group, all columns: the one with the smallest id.
 
-    Rows without an id stay only if no document of their group has one, and then one of them.
+    Rows are told apart by their place, not by their id. Among rows of one id the one whose text has the smaller
+    hash comes first; rows without an id come last, so one of them stays only if no row of its group has an id.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+    rows = common.numbered(docs, id_col, text_col, nulls_first=False)
+    return keep_first(rows, near_duplicates(rows, PLACE, text_col, **options))
+
+
+#: The column that :func:`common.numbered` adds.
+PLACE = "__place"
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the ``component_id`` of their group in ``groups``."""
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stay = common.materialize(groups.where(same).groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__times")))
-    rows = docs.join(stay.select("__stay"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    return rows.dropDuplicates([id_col]) if stay.where("__times > 1").limit(1).count() else rows
+def keep_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose place is the ``component_id`` of their group in ``groups(doc_id, component_id)``, without it."""
+    stay = common.materialize(groups.where("doc_id = component_id").select(F.col("doc_id").alias(PLACE)))
+    return rows.join(stay, PLACE, "left_semi").drop(PLACE)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

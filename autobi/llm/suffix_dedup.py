@@ -319,25 +319,12 @@ def repeats(rows: DataFrame, length: int = 100, gram: int = 32, limits: Limits =
     spark = rows.sparkSession
     ranges = common.partitions(spark)
     sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges, limits), ranges))
-    common.release(spark)
     spans = common.materialize(_by_document(sorted_.where("kind = 'open'"), ranges))
     more = common.materialize(_suffixes(rows, spans, length, ranges, limits))
-    common.release(spark)
     found = sorted_.where("kind = 'repeat'").unionByName(more)
     return common.materialize(_by_document(found, ranges))
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a unique ``__place`` in id order: the id itself, or where ids repeat or lack, a number by id
-    (nulls first) and text."""
-    same = docs.groupBy(F.col(id_col).cast("long").alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null")
-    if not same.limit(1).count():
-        return docs.withColumn("__place", F.col(id_col).cast("long"))
-    order = [F.col(id_col).cast("long"), F.col(text_col).cast("string")]
-    ranged = docs.repartitionByRange(common.partitions(docs.sparkSession), order[0], F.xxhash64(order[1])).sortWithinPartitions(order[0], F.xxhash64(order[1]), order[1])
-    return common.materialize(ranged.withColumn("__place", F.monotonically_increasing_id()))
-
-
 def _plain(numbered: DataFrame, text_col: str) -> DataFrame:
     return numbered.select(F.col("__place").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -361,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of a hash of their text. Cutting bytes may split a character; ``kept`` is therefore binary. Texts may
     have up to 2**32 bytes. Other columns are not read; an empty table gives an empty result.
     """
-    docs = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
+    docs = common.numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
     spans = repeats(_plain(docs, "text"), length, gram, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +373,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Bytes of a character that a cut splits go, too. ``chars_col``, where there is one, gets the new number of
     characters. Null texts stay null.
     """
-    numbered = _numbered(docs, id_col, text_col)
+    numbered = common.numbered(docs, id_col, text_col)
     spans = repeats(_plain(numbered, text_col), length, gram).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 

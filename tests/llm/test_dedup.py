@@ -1,6 +1,7 @@
 """SimHash groups, repeated passages and benchmark leaks against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from autobi.llm import common, decontaminate, simhash, suffix_dedup
+from autobi.llm import common, decontaminate, near_copies, simhash, suffix_dedup
 
 
 def frame(spark, rows, extra=False):
@@ -34,7 +35,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_groups(prints):
+def brute_groups(prints, distance=2):
     names = sorted(prints)
     root = {i: i for i in names}
 
@@ -45,7 +46,7 @@ def brute_groups(prints):
 
     for i in names:
         for j in names:
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 2:
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= distance:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in names}
@@ -80,9 +81,9 @@ def test_common_keys_keep_every_link(spark):
         found.add(x)
     signed = {x: x - (1 << 64) if x >> 63 else x for x in found}
     df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
-    for hot in (4, 10_000):
-        got = {r.node: r.root for r in common.components(simhash.links(df, hot=hot)).collect()}
-        groups = brute_groups(found and {x: x for x in found})
+    for hot, distance in ((4, 2), (10_000, 2), (1, 1), (4, 3), (4, 5)):
+        got = {r.node: r.root for r in common.components(simhash.links(df, distance, hot=hot)).collect()}
+        groups = brute_groups(found and {x: x for x in found}, distance)
         ours = {x: got.get(signed[x], signed[x]) for x in found}
         assert len(set(ours.values())) == len(set(groups.values()))
         assert len({(ours[x], groups[x]) for x in found}) == len(set(groups.values()))
@@ -96,6 +97,32 @@ def test_keep_one_with_repeats_and_null_ids(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "fp", "component_id"]
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    """Ids that repeat over different texts: no unique text goes, no copy stays."""
+    for module in (simhash, near_copies):
+        for seed in range(3):
+            rng = random.Random(seed)
+            texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvw") * rng.randint(1, 4) for _ in range(80)) for _ in range(14)]
+            rows = [(rng.choice([1, 2, 3, 3, 5, None, None]), rng.choice(texts)) for _ in range(40)] + [(9, None), (9, ""), (None, None)]
+            rng.shuffle(rows)
+            kept = module.keep_one(frame(spark, rows, extra=True)).collect()
+            assert sorted(r.text or "" for r in kept) == sorted({t or "" for _, t in rows})
+            first = {}
+            for name, text in rows:
+                first.setdefault(text or "", []).append(float("inf") if name is None else name)
+            assert {r.text or "": float("inf") if r.doc_id is None else r.doc_id for r in kept} == {t: min(v) for t, v in first.items()}
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    table = common.materialize(spark.range(5))
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.drop(table)
+    assert not os.path.exists(path)
+    common.materialize(spark.range(5))
+    assert common.drop_all(spark) >= 1 and common.drop_all(spark) == 0
+
+
 def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 200)], "a long, b long")
     got = {r.node: r.root for r in common.components(edges).collect()}
