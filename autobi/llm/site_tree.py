@@ -1,10 +1,11 @@
 """Main text of web pages, with a style tree for each site.
 
-The pages of a host are merged: elements with the same path of tags and classes are one node of the site's tree.
-How much a node's content and its children's layout vary over the pages, as entropy, is its importance; what
-stays the same from page to page (menus, slogans) has little. A page keeps the text of its declared article
-(``article``, else ``main``), less what is declared to be something else; a page that declares none keeps its
-body less such parts and less the branches of low importance in its site's tree.
+The pages of a host are merged: elements with the same path of tags, classes and places are one node of the site's
+tree. The importance of a node is the entropy of its content, and of the layout of its children, over the different
+pages of the host: what stays the same from page to page (menus, slogans, notices) has little and is removed,
+inside articles as well. Two things are known of elements before any page is compared, and cut their importance
+below every limit: a declared purpose other than the page's text (``nav``, ``footer``, ``class=comments``), and
+lying outside the part that the page declares to be its text (``main``, else ``article``).
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from autobi.llm import common
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NUMBER = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
 
 # Elements of HTML by what they are to a reader.
@@ -40,6 +42,10 @@ NAMES = frozenset(
     " menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related replies reply respond"
     " share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Parts of a class name that say nothing of its own; a name counts as declared if its other parts all are in NAMES.
+PLAIN = frozenset("area bar block bottom box container content inner item items left link links list main outer page panel primary right row section secondary site slot text top unit wrap wrapper".split())
+#: Elements told apart from their like by their place; those of running text (p, li, td, ...) are one node.
+PLACED = frozenset("div section ul ol dl table menu details fieldset figure article aside header".split())
 #: An element that starts while one of these is open closes it, unless the second kind lies between.
 SIBLINGS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "dd": (frozenset(["dd", "dt"]), frozenset(["dl"])), "dt": (frozenset(["dd", "dt"]), frozenset(["dl"])),
@@ -48,120 +54,223 @@ SIBLINGS = {
 }
 
 
-class Node:
-    __slots__ = ("children", "inside", "key", "out", "path", "tag", "text")
-
-    def __init__(self, tag: str, key: str, path: str, out: bool, inside: int):
-        self.tag, self.key, self.path, self.out, self.inside = tag, key, path, out, inside
-        self.children: list[str] = []
-        self.text: list[str] = []
-
-
 def declared_out(tag: str, names: list[str], role: str, inside: int) -> bool:
     """Whether an element is declared to be something other than the page's text."""
     if tag in OUT or role in ROLES or (tag == "header" and not inside):
         return True
     if tag in ("html", "body"):
         return False
+    known = lambda part: part in NAMES or (part == "header" and not inside)
     for name in names:
-        if name in NAMES or (name == "header" and not inside):
+        parts = [part for part in re.split("[-_]+", name) if part and part not in PLAIN]
+        if parts and all(map(known, parts)):
             return True
-        if tag not in ("article", "main"):
-            parts = re.split("[-_]+", name)
-            own = parts[0] in NAMES or parts[-1] in NAMES or (parts[-1] == "header" and not inside)
-            if own and parts[0] not in ("has", "with", "no", "is"):
-                return True
     return False
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, int, str]], dict[str, tuple[list[str], list[str]]]]:
-    """Blocks of text in page order as (text, where it lies: 2 article, 1 main, 0 else, path), and for each path
-    its texts and its children's layouts. Parts declared to be something else are left out."""
-    blocks: list[tuple[str, int, str]] = []
-    tree: dict[str, tuple[list[str], list[str]]] = {}
-    root = Node("", "", "", False, 0)
-    stack, buffer, at, page = [root], [], 0, page or ""
-    holder = root
-
-    def flush() -> None:
-        nonlocal buffer
-        text = SPACE.sub(" ", markup.unescape("".join(buffer))).strip() if buffer else ""
-        if text:
-            blocks.append((text, holder.inside, holder.path))
-            for node in stack:
-                node.text.append(text)
-        buffer = []
-
-    def pop(count: int) -> None:
-        for _ in range(count):
-            node = stack.pop()
-            if not node.out and node.path:
-                own = tree.setdefault(node.path, ([], []))
-                own[0].append("\n".join(node.text))
-                own[1].append(" ".join(node.children))
-
-    def depth(tags, barrier=frozenset()) -> int:
-        """How many elements to close so that the nearest one of ``tags`` is closed."""
-        for k, node in enumerate(reversed(stack)):
-            if node.tag in tags:
-                return k + 1
-            if node.tag in barrier:
-                return 0
-        return 0
-
-    def text(part: str) -> None:
-        nonlocal holder
-        if part and not stack[-1].out:
-            if not buffer or not "".join(buffer).strip():
-                holder = stack[-1]
-            buffer.append(part)
-
-    while (hit := TAG.search(page, at)) is not None:
-        text(page[at : hit.start()])
-        at, tag = hit.end(), (hit[2] or "").lower()
-        if not tag:
-            continue
-        if hit[1]:
+MASK, FACTOR = (1 << 64) - 1, 0x9FB21C651E98DF25
+
+
+def fold(value: int, more: int) -> int:
+    return (value * FACTOR + more + 1) & MASK
+
+
+class Open:
+    """The open elements, and of each tag where it was opened, so that closing one never searches the stack."""
+
+    def __init__(self):
+        self.tags: list[str] = [""]
+        self.nodes: list[int] = [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.tags) > size:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        return max((own[-1] for tag in tags if (own := self.at.get(tag))), default=0)
+
+    def close(self, tags, barrier: int = 0) -> None:
+        """Close the innermost of ``tags`` and all in it, unless it lies outside the element at ``barrier``."""
+        place = self.last(tags)
+        if place > barrier:
+            self.cut(place)
+
+
+class Page:
+    """Elements and blocks of text of one page; element 0 is the page itself, and parents come before children.
+
+    Parts declared to be something else are left out. ``inside`` has 1 for what lies in ``main`` and 2 for what
+    lies in an ``article``. Takes time in proportion to the page, whatever its nesting.
+    """
+
+    def __init__(self, page: str | None):
+        self.path, self.parent, self.layout, self.inside, self.whole = [0], [-1], [0], [0], [True]
+        self.blocks: list[tuple[str, int]] = []
+        self._parse(page or "")
+        kinds = [self.inside[node] for _, node in self.blocks]
+        self.region = next((bit for bit in (1, 2) if any(k & bit for k in kinds)), 0)
+
+    def _parse(self, page: str) -> None:
+        stack, counts, at, size = Open(), {}, 0, len(page)
+        buffer: list[str] = []
+        holder, blank, skip = 0, True, 0  # skip: how deep the stack was when a part to leave out began
+
+        def flush() -> None:
+            nonlocal blank
+            text = "" if blank else SPACE.sub(" ", markup.unescape("".join(buffer))).strip()
+            if text:
+                self.blocks.append((text, holder))
+            buffer.clear()
+            blank = True
+
+        def text(part: str) -> None:
+            nonlocal holder, blank
+            if part and not skip:
+                if blank and not part.isspace():
+                    holder, blank = stack.nodes[-1], False
+                buffer.append(part)
+
+        def closed() -> None:
+            nonlocal skip
+            if skip and len(stack.tags) < skip:
+                skip = 0
+
+        quoted = True  # whether quotes may still hide a ">"
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                text(page[at:start])
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            first = page[start + 1 : start + 3]
+            if not first or not (first[0] in "!?" or first.lstrip("/")[:1].isalpha()):
+                text(page[at : start + 1])
+                at = start + 1
+                continue
+            hit = TAG.match(page, start + 1) if quoted and first[0] not in "!?" else None
+            if hit is None:
+                end = page.find(">", start)
+                if end < 0:  # no tag can follow
+                    break
+                text(page[at:start])
+                at = end + 1
+                if first[0] in "!?":
+                    continue
+                quoted = False  # a quote is never closed: from here on it hides nothing
+                hit = re.match(r"(/?)([a-zA-Z][^\s/>]*)([^>]*)>", page[start + 1 : at])
+                if hit is None:
+                    continue
+            else:
+                text(page[at:start])
+                at = hit.end()
+            tag = hit[2].lower()
+            if hit[1]:
+                if tag in BLOCK:
+                    flush()
+                    stack.close((tag,))
+                elif tag not in VOID:
+                    stack.close((tag,), stack.blocks[-1] if stack.blocks else 0)
+                closed()
+                continue
+            if tag == "br":
+                text(" ")
+                continue
             if tag in BLOCK:
                 flush()
-                pop(depth((tag,)))
-            elif tag not in VOID:
-                pop(depth((tag,), BLOCK))
-            continue
-        if tag == "br":
-            text(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-        if tag in VOID:
-            continue
-        if stack[-1].tag == "head" and tag not in HEAD:
-            pop(1)
-        if tag in CLOSES_P:
-            pop(depth(("p",), frozenset(["button", "table", "td", "th", "caption", "object"])))
-        if tag in SIBLINGS:
-            pop(depth(*SIBLINGS[tag]))
-        names, role = [], ""
-        for name, *values in ATTRIBUTE.findall(hit[3]):
-            value = "".join(values).lower()
-            if name.lower() == "role":
-                role = value
+            if tag in VOID:
+                continue
+            if stack.tags[-1] == "head" and tag not in HEAD:
+                stack.cut(len(stack.tags) - 1)
+            if tag in CLOSES_P:
+                stack.close(("p",), stack.last(("button", "table", "td", "th", "caption", "object")))
+            if tag in SIBLINGS:
+                tags, barrier = SIBLINGS[tag]
+                stack.close(tags, stack.last(barrier))
+            closed()
+            names, role = [], ""
+            for name, *values in ATTRIBUTE.findall(hit[3]):
+                value = "".join(values).lower()
+                if name.lower() == "role":
+                    role = value
+                else:
+                    names += value.split()
+            above = stack.nodes[-1]
+            inside = self.inside[above] | (2 if tag == "article" else 1 if tag == "main" or role == "main" else 0)
+            if not skip and declared_out(tag, names, role, self.inside[above]):
+                skip = len(stack.tags) + 1
+            if skip:
+                stack.push(tag, above)
             else:
-                names += value.split()
-        above = stack[-1]
-        inside = max(above.inside, 2 if tag == "article" else 1 if tag == "main" or role == "main" else 0)
-        out = above.out or declared_out(tag, names, role, above.inside)
-        key = ".".join([tag, *names[:2]])
-        if not out:
-            above.children.append(key)
-        stack.append(Node(tag, key, f"{above.path}>{key}" if len(stack) < 40 else above.path, out, inside))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    text(page[at:])
-    flush()
-    pop(len(stack) - 1)
-    return blocks, tree
+                key = ".".join([tag, *(NUMBER.sub("0", name) for name in names[:2])])
+                if tag in PLACED:
+                    place = counts[above, key] = counts.get((above, key), 0) + 1
+                    key = f"{key}[{place}]"
+                own = xxhash.xxh3_64_intdigest(key)
+                self.layout[above] = fold(self.layout[above], own)
+                self.path.append(fold(self.path[above], own))
+                self.parent.append(above)
+                self.layout.append(0)
+                self.inside.append(inside)
+                self.whole.append(tag in ("html", "body"))
+                stack.push(tag, len(self.path) - 1)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = end.start() if end else size
+        text(page[at:])
+        flush()
+
+    def text_blocks(self) -> list[tuple[str, int]]:
+        """The blocks in what the page declares to be its text; all if it declares nothing."""
+        return [b for b in self.blocks if self.inside[b[1]] & self.region] if self.region else self.blocks
+
+    def nodes(self) -> tuple[int, dict[int, tuple[int, int]]]:
+        """A hash of the page's text, and for each path that holds some of it hashes of its content and its layout."""
+        content = [0] * len(self.path)
+        whole = 0
+        for text, node in self.text_blocks():
+            own = xxhash.xxh3_64_intdigest(text)
+            content[node] = fold(content[node], own)
+            whole = fold(fold(whole, self.path[node]), own)
+        found: dict[int, tuple[int, int]] = {}
+        for node in range(len(self.path) - 1, 0, -1):
+            if content[node]:
+                above, path = self.parent[node], self.path[node]
+                content[above] = fold(content[above], content[node])
+                before = found.get(path, (0, 0))
+                found[path] = fold(before[0], content[node]), fold(before[1], self.layout[node])
+        return whole, found
+
+    def text(self, low: frozenset | set = frozenset()) -> str:
+        """The text without the branches ``low`` (paths); of these html, body and those that hold all of it stay."""
+        blocks = self.text_blocks()
+        if low and blocks:
+            held = [0] * len(self.path)
+            for _, node in blocks:
+                held[node] += 1
+            by_path: dict[int, int] = {}
+            for node in range(len(self.path) - 1, 0, -1):
+                held[self.parent[node]] += held[node]
+                if self.path[node] in low:
+                    by_path[self.path[node]] = by_path.get(self.path[node], 0) + held[node]
+            gone = [False] * len(self.path)
+            for node in range(1, len(self.path)):
+                path = self.path[node]
+                gone[node] = gone[self.parent[node]] or (not self.whole[node] and by_path.get(path, len(blocks)) < len(blocks))
+            blocks = [b for b in blocks if not gone[b[1]]]
+        return "\n".join(text for text, _ in blocks)
 
 
 def host(url: str | None) -> str:
@@ -171,35 +280,30 @@ def host(url: str | None) -> str:
 
 
 def main_text(page: str | None, low: frozenset | set = frozenset()) -> str:
-    """The page's blocks joined by line ends; ``low`` are the paths of its site's unimportant branches, of which
-    html, body and those that hold the whole text stay."""
-    blocks, _ = parse(page)
-    best = max((inside for _, inside, _ in blocks), default=0)
-    if best:
-        return "\n".join(t for t, inside, _ in blocks if inside == best)
-    under = lambda path, x: path == x or path.startswith(x + ">")
-    low = [x for x in low if x.split(">")[-1].split(".")[0] not in ("html", "body") and not all(under(path, x) for _, _, path in blocks)]
-    return "\n".join(t for t, _, path in blocks if not any(under(path, x) for x in low))
+    """The page's blocks joined by line ends, less its site's branches of low importance."""
+    return Page(page).text(low)
 
 
 def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, host, page, path, content, layout, declared)``: each page's nodes, with hashes of what they hold
-    and of all the page's blocks."""
+    """``(page_id, host, page, path, content, layout, declared)``: each page's nodes, with hashes of what they hold,
+    of all the page's text, and whether the page declares a part to be its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["page_id", "host", "page", "path", "content", "layout", "declared"]
         for batch in batches:
             rows = []
-            for name, url, page in zip(*(c.to_pylist() for c in batch.columns)):
-                blocks, tree = parse(page)
-                declared = any(inside for _, inside, _ in blocks)
-                whole = digest([x for text, _, path in blocks for x in (path, text)])
-                rows += [(name, host(url), whole, path, digest(texts), digest(layouts), declared) for path, (texts, layouts) in tree.items() if any(texts)]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "host", "page", "path", "content", "layout", "declared"])
+            for name, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                page = Page(html)
+                whole, found = page.nodes()
+                rows += [(name, host(url), signed(whole), signed(path), signed(content), signed(layout), page.region > 0) for path, (content, layout) in found.items()]
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names)
 
-    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, host string, page long, path string, content long, layout long, declared boolean")
+    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, host string, page long, path long, content long, layout long, declared boolean")
 
 
 def importance(nodes: DataFrame, share: float = 0.9) -> DataFrame:
@@ -218,23 +322,29 @@ def _plain(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, min_pages: int = 3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, least_open: float = 0.75, min_pages: int = 3) -> DataFrame:
     """``(page_id, url, text)`` of each page.
 
     Text of a block has its character references decoded, runs of white space made one space and its ends
-    trimmed; blocks are joined by one line end. A line break element counts as a space. Branches of less than
-    ``least`` importance on at least ``min_pages`` different pages of the host are removed from pages that declare
-    no article, but never html, body or a branch that holds the page's whole text. Null and empty pages give an empty text. A null id is kept, without its site's tree. Repeated rows
-    each give a row and, like other copies of a page, count once in their site; other columns are not read; an empty table gives none.
+    trimmed; blocks are joined by one line end. A line break element counts as a space. Branches that at least
+    ``min_pages`` different texts of the host have are removed if their importance is below ``least``, or below
+    ``least_open`` on pages that declare no part to be their text; html, body and branches that hold all of the
+    page's text stay. Null and empty pages give an empty text, and pages without any text but declared other
+    parts do. A null id is kept, without its site's tree. Rows that repeat an id each give a row and lose the
+    branches that are low for one of them; copies of a text count once in their site. Other columns are not
+    read; an empty table gives none. A tag that is never closed counts as text.
     """
     nodes = common.materialize(style_trees(pages, id_col, url_col, html_col))
-    low = importance(nodes.dropDuplicates(["host", "page", "path"])).where((F.col("importance") < least) & (F.col("pages") >= min_pages)).select("host", "path")
-    found = nodes.where(~F.col("declared")).join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("low"))
-    found = common.materialize(found.withColumnRenamed("page_id", "low_id"))
+    once = nodes.dropDuplicates(["host", "page", "path"])
+    low = common.materialize(importance(once).where((F.col("importance") < max(least, least_open)) & (F.col("pages") >= min_pages)))
+    counted = common.materialize(nodes.groupBy("host", "path").agg(F.count("*").alias("n")).join(low, ["host", "path"]))
+    rows = nodes.select("page_id", "host", "path", "declared")
+    found = common.join_groups(rows, counted, ["host", "path"], "n", nodes.count()).where(F.col("importance") < F.when(F.col("declared"), least).otherwise(least_open))
+    found = common.materialize(found.groupBy(F.col("page_id").alias("low_id")).agg(F.collect_set("path").alias("low")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, frozenset(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(page, {x & MASK for x in low or ()}) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = _plain(pages, id_col, url_col, html_col).join(found, F.col("page_id") == F.col("low_id"), "left")

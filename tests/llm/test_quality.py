@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -165,8 +166,63 @@ def test_style_tree_counts_copies_of_a_page_once(spark):
 
 
 def test_branch_of_the_whole_text_stays():
-    page = "<html><body><div class=a><p>one</p><p>two</p></div></body></html>"
-    assert site_tree.main_text(page, {">html", ">html>body", ">html>body>div.a"}) == "one\ntwo"
+    page = site_tree.Page("<html><body><div class=a><p>one</p><p>two</p></div></body></html>")
+    assert page.text(set(page.path)) == "one\ntwo"
+    page = site_tree.Page("<html><body><div class=a><p>one</p><p>two</p></div><div>three</div></body></html>")
+    assert page.text({page.path[-1]}) == "one\ntwo" and page.text({page.path[3]}) == "three"
+
+
+def test_declared_names_are_whole_and_main_goes_before_articles():
+    assert site_tree.main_text("<article class='comment'>reader</article><article><div class='notice-board'>Real</div><p class='ad-hoc'>also real</p></article>") == "Real\nalso real"
+    assert site_tree.main_text("<main><p>Real text</p></main><section><article>Teaser card</article></section>") == "Real text"
+    assert site_tree.main_text("<article><p>a</p><div class='comment-list'>x</div><div class='cookie-notice'>y</div><div class='site-footer'>z</div></article>") == "a"
+
+
+def test_importance_alone_tells_menus_from_text(spark):
+    """No telling tags or names: the menu, a slogan inside the text part and the foot stay the same and go."""
+    def page(i, k):
+        return f"<body><ul class=x1><li>Start<li>News</ul><div class=x2><div class=x3><p>Written for readers of site {i}</p></div><h1>Title {i} {k}</h1><p>First {k}</p><p>Second {i} {k}</div><div>All rights are ours</div>"
+
+    articles = [(1000 + k, "http://art.com/", f"<article><p>Same hint on every page</p><div><p>Words {k}</p></div></article>") for k in range(8)]
+    rows = [(10 * i + k, f"http://site{i}.com/{k}", page(i, k)) for i in range(3) for k in range(9)] + articles
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{10 * i + k: f"Title {i} {k}\nFirst {k}\nSecond {i} {k}" for i in range(3) for k in range(9)}, **{1000 + k: f"Words {k}" for k in range(8)}}
+
+
+def test_importance_equals_entropy_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, f"http://h{rng.randrange(3)}.com/", f"<div class=a>{rng.randrange(4)}</div><div class=b><p>{rng.randrange(9)}</p>{'<ul><li>z</ul>' * rng.randrange(2)}</div>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes = site_tree.style_trees(df).dropDuplicates(["host", "page", "path"])
+    got = {(r.host, r.path): (r.pages, r.importance) for r in site_tree.importance(nodes).collect()}
+    seen = {}
+    for _, url, html in rows:
+        page = site_tree.Page(html)
+        for node in range(1, len(page.path)):
+            below = lambda n: n == node or (n > 0 and below(page.parent[n]))  # noqa: B023, E731
+            own = tuple(t for t, n in page.blocks if below(n))
+            seen.setdefault((site_tree.host(url), page.path[node]), {})[tuple(page.blocks)] = own, page.layout[node]
+    want = {}
+    for key, pages in seen.items():
+        n, total = len(pages), 0.0
+        for k, weight in ((0, 0.9), (1, 0.1)):
+            counts = np.array(list(Counter(v[k] for v in pages.values()).values())) / n
+            total += weight * (float(-(counts * np.log(counts)).sum() / np.log(n)) if n > 1 else 1.0)
+        want[key] = n, total
+    signed = {(h, p - 2**64 if p >> 63 else p): v for (h, p), v in want.items()}
+    assert got.keys() == signed.keys()
+    for key, value in signed.items():
+        assert got[key] == pytest.approx(value)
+
+
+def test_long_and_deep_pages_take_linear_time():
+    pages = ["<p>" + "<span>x</span>" * 40_000, "<div>x" * 40_000, "<a " * 40_000, '<a x="' * 40_000, "<!" * 40_000, "<span>" * 20_000 + "</b>" * 20_000, "<p><button>" + "<span>" * 20_000 + "<div>" * 20_000]
+    for page in pages:
+        start = time.perf_counter()
+        site_tree.Page(page).nodes()
+        assert time.perf_counter() - start < 5
+    deep = site_tree.Page("<div>" * 60 + "<p>below</p>")
+    assert len(set(deep.path)) == 62 and deep.text() == "below"
 
 
 def test_importance(spark):
