@@ -9,14 +9,17 @@ the places where they occur.
 
 1. Each task parses its texts and sends (trigger, phrase, place) rows, one for each phrase that it holds; the
    receiving task sorts them into corpus order. Later places of a phrase are repeats as a whole.
-2. A dictionary phrase whose trigger no other phrase has holds no other repeats. The others are read again and
-   their suffixes of ``length`` bytes sorted with those of the other phrases; all but the first are repeats.
+2. A dictionary phrase whose trigger no other phrase has holds no other repeats. The bytes of the others come
+   together by trigger, and a suffix array of this part of the dictionary, by doubling up to ``length`` bytes, puts
+   their suffixes in order; the parse gives the corpus order of equal ones. All but the first are repeats. As phrases
+   overlap by all but one byte of a passage, no suffix goes on in the next phrase, so the parse needs no suffix
+   array of its own.
 3. Each text drops the bytes that its repeats cover.
 
-Suffixes and phrases are compared by two 64-bit hashes with independent bases, not byte by byte: only equality
-within the sorted order matters here, and hashes spread a very common trigger over all tasks. A trigger that one
-task sees in more than ``Limits.hot`` distinct phrases is known to need step 2, so those phrases skip step 1 but for one
-mark; no task gets all phrases of a common trigger.
+A trigger of more than ``Limits.hot`` distinct phrases is hot (its phrases lie around a common passage, with ever
+different neighbours). Its phrases are parsed once more with whole passages as triggers: each passage goes by its own
+hash, once from each run of a task, so no task gets all of a common trigger or passage. In steps 1 and here phrases are
+compared by two 64-bit hashes with independent bases; in the suffix arrays bytes are.
 """
 
 from __future__ import annotations
@@ -162,9 +165,12 @@ def _batch(kind: str, to: list[int], data: list[bytes]) -> pa.RecordBatch:
 
 #: Rows of a phrase: trigger, content, document, start, passages (0: only a mark that the trigger is hot).
 PHRASE = (U, U, np.int64, np.uint32, np.uint8)
+#: Spans: document, start, passages; ``HOT`` is added to the passages of a phrase with a hot trigger.
 SPAN = (np.int64, np.uint32, np.uint32)
-SUFFIX = (U, U, np.int64, np.uint32)
+HOT = 1 << 16
+PASSAGE = (U, U, np.int64, np.uint32)
 BLOBS = "kind string, range int, rows binary"
+PARTS = BLOBS + ", trigger long, doc long, start long, count int, bytes binary"
 
 
 def _parsed(docs: DataFrame, length: int, gram: int, ranges: int, limits: Limits) -> DataFrame:
@@ -180,7 +186,7 @@ def _parsed(docs: DataFrame, length: int, gram: int, ranges: int, limits: Limits
         group = np.cumsum(new_trigger) - 1
         hot = (np.bincount(group[first]) > limits.hot)[group] & first
         if hot.any():
-            yield _batch("open", *_split([doc[hot], start[hot], count[hot].astype(np.uint32)], _range(doc[hot], ranges), ranges))
+            yield _batch("open", *_split([doc[hot], start[hot], count[hot].astype(np.uint32) + np.uint32(HOT)], _range(doc[hot], ranges), ranges))
         mark = hot & new_trigger
         count = np.where(mark, 0, count).astype(np.uint8)
         send = (first & ~hot) | mark
@@ -209,7 +215,7 @@ def _range(doc: np.ndarray, ranges: int) -> np.ndarray:
         return (common.mix64(doc.astype(np.int64).view(U)) % U(ranges)).astype(np.int64)
 
 
-def _sorted_phrases(rows: DataFrame, ranges: int) -> DataFrame:
+def _sorted_phrases(rows: DataFrame, ranges: int, limits: Limits) -> DataFrame:
     """Corpus order of the phrases: later places of a phrase as repeats, first places with a shared trigger as open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +235,16 @@ def _sorted_phrases(rows: DataFrame, ranges: int) -> DataFrame:
         real = count > 0
         new_trigger = np.concatenate(([True], trigger[1:] != trigger[:-1]))
         group = np.cumsum(new_trigger) - 1
-        hot = np.bincount(group[~real], minlength=group[-1] + 1) > 0
         same = ~new_trigger & np.concatenate(([False], (content[1:] == content[:-1]) & real[1:] & real[:-1]))
         again = real & same
         first = real & ~same
-        shared = first & (hot | (np.bincount(group[first], minlength=group[-1] + 1) > 1))[group]
-        for kind, which in (("repeat", again), ("open", shared)):
+        distinct = np.bincount(group[first], minlength=group[-1] + 1)
+        hot = (np.bincount(group[~real], minlength=group[-1] + 1) > 0) | (distinct > limits.hot)
+        shared = first & (hot | (distinct > 1))[group]
+        passages = count.astype(np.uint32) + np.where(hot[group], np.uint32(HOT), np.uint32(0))
+        for kind, which, number in (("repeat", again, count.astype(np.uint32)), ("open", shared, passages)):
             if which.any():
-                yield _batch(kind, [0], _split([doc[which], start[which], count[which].astype(np.uint32)], np.zeros(int(which.sum()), np.int64), 1)[1])
+                yield _batch(kind, [0], _split([doc[which], start[which], number[which]], np.zeros(int(which.sum()), np.int64), 1)[1])
 
     return rows.repartition(ranges, "range").mapInArrow(run, BLOBS)
 
@@ -265,12 +273,34 @@ def _by_document(rows: DataFrame, ranges: int) -> DataFrame:
     return sent.mapInArrow(gather, "key long, spans binary")
 
 
-def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int, limits: Limits) -> DataFrame:
-    """All passages of the open phrases in sorted order: those that are not the first of their kind."""
+def _opened(docs: DataFrame, spans: DataFrame, length: int, gram: int, ranges: int, limits: Limits) -> DataFrame:
+    """Of the open phrases: ``phrase`` rows with their bytes and triggers; of those with a hot trigger ``passage``
+    blobs by hash, and ``repeat`` blobs of passages that the task has met before."""
 
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def plain(kind: str, to: list[int], data: list[bytes]) -> pa.RecordBatch:
+        n = len(to)
+        rest = [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays([*_batch(kind, to, data).columns, *rest], ["kind", "range", "rows", "trigger", "doc", "start", "count", "bytes"])
+
+    def passages(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         one, two, doc, start = (np.concatenate([h[k] for h in held]) for k in range(4))
-        return _batch("", *_split([one, two, doc, start.astype(np.uint32)], (one % U(ranges)).astype(np.int64), ranges))
+        by = np.lexsort((start, doc, two, one))
+        one, two, doc, start = one[by], two[by], doc[by], start[by].astype(np.uint32)
+        again = np.concatenate(([False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
+        if again.any():
+            yield plain("repeat", *_split([doc[again], start[again], np.ones(int(again.sum()), np.uint32)], _range(doc[again], ranges), ranges))
+        rows = [x[~again] for x in (one, two, doc, start)]
+        yield plain("passage", *_split(rows, (rows[0] % U(ranges)).astype(np.int64), ranges))
+
+    def phrase_rows(raw: np.ndarray, doc: int, pair: np.ndarray) -> pa.RecordBatch:
+        ends = pair.sum(axis=1) + length - 1
+        parts = [raw[a:b].tobytes() for a, b in zip(pair[:, 0].tolist(), ends.tolist())]
+        bounds = np.concatenate(([0], np.cumsum(ends - pair[:, 0]))).astype(np.int64)
+        trigger = phrases(np.frombuffer(b"".join(parts), np.uint8), bounds, length, gram)[2]
+        n = len(parts)
+        first = [pa.array(["phrase"] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        rest = [pa.array(trigger.view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1].astype(np.int32)), pa.array(parts, pa.binary())]
+        return pa.RecordBatch.from_arrays([*first, *rest], ["kind", "range", "rows", "trigger", "doc", "start", "count", "bytes"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -278,7 +308,10 @@ def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int, limit
             for batch in batches:
                 for name, text, spans in zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), batch.column(2).to_pylist()):
                     pair = np.frombuffer(spans, np.uint32).reshape(-1, 2).astype(np.int64)
-                    raw = np.frombuffer(text, np.uint8)
+                    raw, hot = np.frombuffer(text, np.uint8), pair[:, 1] >= HOT
+                    cold, pair = pair[~hot], pair[hot] - np.array([0, HOT])
+                    for at in range(0, len(cold), 4096):
+                        yield phrase_rows(raw, name, cold[at : at + 4096])
                     last = 0
                     while last < len(pair):  # a bounded part of the text at a time
                         base = int(pair[last, 0])
@@ -291,38 +324,110 @@ def _suffixes(docs: DataFrame, spans: DataFrame, length: int, ranges: int, limit
                         size += len(own)
                         last = stop
                         if size >= limits.rows:
-                            yield flush(held)
+                            yield from passages(held)
                             held, size = [], 0
             if size:
-                yield flush(held)
+                yield from passages(held)
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, doc, start = _join([x for batch in batches for x in batch.column(0).to_pylist()], SUFFIX)
-        if not len(one):
-            return
+    found = docs.join(spans, F.col("doc_id") == F.col("key")).select("doc_id", "text", "spans")
+    return found.mapInArrow(send, PARTS)
+
+
+def ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """For each place of ``raw``, the rank of its suffix by the first ``length`` bytes (equal ones have equal ranks).
+
+    A suffix array by doubling: places are ordered by their first 8 bytes, then, from the ranks of two places, by
+    twice as many, up to ``length``. Bytes after the end count as zero.
+    """
+    size = len(raw)
+    step = min(8, length)
+    padded = np.concatenate([raw, np.zeros(step, np.uint8)])
+    key = np.zeros(size, U)
+    for k in range(step):
+        key = key << U(8) | padded[k : k + size].astype(U)
+    rank = np.unique(key, return_inverse=True)[1].astype(U)
+    while step < length:
+        shift = min(step, length - step)
+        behind = np.concatenate([rank[shift:] + U(1), np.zeros(min(shift, size), U)])[:size]
+        rank = np.unique(rank * U(size + 1) + behind, return_inverse=True)[1].astype(U)
+        step += shift
+    return rank
+
+
+def _runs(doc: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Passages as one blob of spans."""
+    by = np.lexsort((start, doc))
+    doc, start = doc[by], start[by].astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))))
+    count = np.diff(np.append(new, len(doc)))
+    return _split([doc[new], start[new].astype(np.uint32), count.astype(np.uint32)], np.zeros(len(new), np.int64), 1)[1]
+
+
+def _suffix_sorted(opened: DataFrame, length: int, ranges: int, limits: Limits) -> DataFrame:
+    """Repeats among phrases with a common trigger, from suffix arrays of some 100 triggers and more at a time."""
+
+    def repeated(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, start, count = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        sizes = np.array([len(r[4]) for r in rows], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        with np.errstate(over="ignore"):
+            rank = ranks(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), length)
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        rank, doc, start = rank[np.repeat(begin, count) + inner], np.repeat(doc, count), np.repeat(start, count) + inner
+        by = np.lexsort((start, doc, rank))
+        which = by[1:][rank[by][1:] == rank[by][:-1]]
+        if len(which):
+            yield _batch("repeat", [0], _runs(doc[which], start[which]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= limits.chunk and row[0] != held[-1][0]:
+                    yield from repeated(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield from repeated(held)
+
+    rows = opened.where("kind = 'phrase'").select("trigger", "doc", "start", "count", "bytes")
+    return rows.repartition(ranges, "trigger").sortWithinPartitions("trigger").mapInArrow(run, BLOBS)
+
+
+def _hashed(opened: DataFrame, ranges: int) -> DataFrame:
+    """Repeats among the passages of hot triggers, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, doc, start = _join([x for batch in batches for x in batch.column(0).to_pylist()], PASSAGE)
         by = np.lexsort((start, doc, two, one))
-        same = np.concatenate(([False], (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])))
-        which = by[same]
-        which = which[np.lexsort((start[which], doc[which]))]
-        doc, start = doc[which], start[which].astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(doc)))
-        yield _batch("repeat", [0], _split([doc[new], start[new].astype(np.uint32), count.astype(np.uint32)], np.zeros(len(new), np.int64), 1)[1] or [np.int64(0).tobytes()])
+        which = by[1:][(one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])]
+        if len(which):
+            yield _batch("repeat", [0], _runs(doc[which], start[which]))
 
-    found = docs.join(spans, F.col("doc_id") == F.col("key")).select("doc_id", "text", "spans")
-    return found.mapInArrow(send, BLOBS).repartition(ranges, "range").select("rows").mapInArrow(order, BLOBS)
+    return opened.where("kind = 'passage'").select("range", "rows").repartition(ranges, "range").select("rows").mapInArrow(run, BLOBS)
+
+
+def _ranges(rows: DataFrame, each: int = 64 << 20) -> int:
+    """How many ranges hashes and ids are dealt to: one for each 64 MB of text, at least as many as Spark's setting."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(common.partitions(rows.sparkSession), -(-size // each))
 
 
 def repeats(rows: DataFrame, length: int = 100, gram: int = 32, limits: Limits = Limits()) -> DataFrame:
     """``(key, spans)`` for rows ``(doc_id, text)`` with unique ids and no nulls: for each document with repeats,
     (start, passages) pairs of the passages to remove."""
-    spark = rows.sparkSession
-    ranges = common.partitions(spark)
-    sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges, limits), ranges))
+    if not gram <= length < gram + 255:
+        raise ValueError("a passage must be as long as a trigger, and less than 255 bytes longer")
+    ranges = _ranges(rows)
+    sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges, limits), ranges, limits))
     spans = common.materialize(_by_document(sorted_.where("kind = 'open'"), ranges))
-    more = common.materialize(_suffixes(rows, spans, length, ranges, limits))
-    found = sorted_.where("kind = 'repeat'").unionByName(more)
-    return common.materialize(_by_document(found, ranges))
+    opened = common.materialize(_opened(rows, spans, length, gram, ranges, limits))
+    more = common.materialize(_suffix_sorted(opened, length, ranges, limits).unionByName(_hashed(opened, ranges)))
+    found = [x.where("kind = 'repeat'").select("rows") for x in (sorted_, opened, more)]
+    out = common.materialize(_by_document(found[0].unionByName(found[1]).unionByName(found[2]), ranges))
+    common.drop(sorted_, spans, opened, more)
+    return out
 
 
 def _plain(numbered: DataFrame, text_col: str) -> DataFrame:

@@ -191,6 +191,27 @@ def test_cut_repeats_keeps_columns(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_ranks_order_suffixes():
+    rng = random.Random(3)
+    for length in (1, 5, 8, 9, 16, 33, 100):
+        raw = bytes(rng.choice(b"ab") for _ in range(400)) + b"a" * 300
+        rank = suffix_dedup.ranks(np.frombuffer(raw, np.uint8), length).tolist()
+        keys = [raw[i : i + length] for i in range(len(raw) - length + 1)]
+        order = {k: n for n, k in enumerate(sorted(set(keys)))}
+        known = sorted({rank[i] for i in range(len(keys))})
+        assert [known.index(rank[i]) for i in range(len(keys))] == [order[k] for k in keys]
+
+
+def test_a_common_line_between_different_neighbours(spark):
+    """Hot triggers: the passages at the line's edges differ in each document, those in it are the same."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(230))
+    rows = [(i, "".join(rng.choice("qrstuvwxyz ") for _ in range(120)) + line + "".join(rng.choice("qrstuvwxyz ") for _ in range(120))) for i in range(300)]
+    for hot, size in ((3, 400), (64, 1 << 19)):
+        got = digest(suffix_dedup.remove_repeats(frame(spark, rows), limits=suffix_dedup.Limits(chunk=5000, rows=size, hot=hot)))
+        assert got == brute_removed(rows)
+
+
 def test_phrases_hold_each_passage_once():
     rng = np.random.default_rng(5)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
