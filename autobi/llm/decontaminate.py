@@ -1,16 +1,22 @@
 """Benchmark decontamination: documents that hold a near copy of a benchmark item.
 
-Every window of as many words as an item has is compared with it. Windows get a SimHash of their five-word
-shingles; a table of the item fingerprints for each of eight blocks gives all items that some block does not
-rule out (fingerprints within the radius differ in at most radius // 8 bits of some block), then the full
-Hamming distance and at last the weighted similarity of the shingles decide. Before that, windows that hold too
-few shingles of each item of their size to reach the similarity are passed over; this loses nothing, as a
-similarity s to an item of m shingles needs s * m of them.
+Every window of as many words as an item has is compared with it. Windows and items get a SimHash of 256 bits from
+their five-word shingles. The fingerprints are cut into 16 blocks; items are indexed by the value of each block. Of two
+fingerprints that differ in at most ``radius`` bits some block differs in at most ``radius // 16``, so looking up all values
+that near to a window's blocks finds all items within the radius. The full Hamming distance and at last the weighted
+similarity of the shingles decide.
+
+At a similarity of 0.8 about 39 bits differ, with a standard deviation of 6; the radius is 63. Of two unrelated
+fingerprints, about one pair in six is left by the blocks, and none by the distance. Windows in which too few
+shingles are known from any item to reach the similarity with one of their size get no fingerprint; this loses
+nothing, as a similarity s to an item of m shingles needs s * m of them.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,9 +28,12 @@ from pyspark.sql import functions as F
 
 from autobi.llm import common
 
-#: Items that are sent to every task at once; a larger benchmark is worked off in as many passes as needed.
-ITEMS = 20_000
-WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
+#: Items and bytes of their texts that are sent to every task at once (one item at least); a larger benchmark is
+#: worked off in as many passes as needed.
+ITEMS, BYTES = 20_000, 32 << 20
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 63
+WORDS_OF_PRINT = 4  # of 64 bits each
+BLOCKS, VALUES = 16, 1 << 16
 
 
 def _mix(values: np.ndarray, words: int) -> np.ndarray:
@@ -55,10 +64,62 @@ def word_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
 
 
-def simhash(rows: np.ndarray) -> int:
-    """Majority of the bits of the shingles, repeats included."""
-    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(rows), bitorder="little").tobytes(), "little")
+def spread(rows: np.ndarray) -> np.ndarray:
+    """The 256 bits of each shingle, as bytes of 0 and 1."""
+    with np.errstate(over="ignore"):
+        wide = np.stack([common.mix64(rows + np.uint64(k) * np.uint64(0xC2B2AE3D27D4EB4F)) for k in range(WORDS_OF_PRINT)], axis=1)
+    return np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
+
+
+def simhash(rows: np.ndarray, at: np.ndarray, span: int, most: int = 1 << 12) -> np.ndarray:
+    """Majority of the bits of the shingles, repeats included, of each window of ``span`` shingles that starts ``at``."""
+    found = np.zeros((len(at), WORDS_OF_PRINT), np.uint64)
+    done = 0
+    while done < len(at):  # windows that start near each other share one running sum
+        stop = int(np.searchsorted(at, at[done] + most))
+        base = int(at[done])
+        bits = spread(rows[base : int(at[stop - 1]) + span])
+        sums = np.zeros((len(bits) + 1, bits.shape[1]), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        here = at[done:stop] - base
+        found[done:stop] = np.packbits(2 * (sums[here + span] - sums[here]) > span, axis=1, bitorder="little").view(np.uint64)
+        done = stop
+    return found
+
+
+@functools.lru_cache(maxsize=4)
+def near_values(most: int) -> np.ndarray:
+    """All block values with at most ``most`` bits set."""
+    return np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(16), k)], np.uint16)
+
+
+class Index:
+    """Items of one size by the values of their fingerprints' blocks."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.near, self.radius = prints, near_values(min(16, radius // BLOCKS)), radius
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        self.order = np.argsort(blocks, axis=0, kind="stable").T
+        self.values = np.ascontiguousarray(np.take_along_axis(blocks, np.argsort(blocks, axis=0, kind="stable"), axis=0).T)
+        self.known = np.zeros((BLOCKS, VALUES), bool)
+        for k in range(BLOCKS):
+            self.known[k, blocks[:, k]] = True
+
+    def candidates(self, value: np.ndarray) -> np.ndarray:
+        """Items of which some block is near enough to the same block of ``value``."""
+        found = []
+        for k, block in enumerate(value.view(np.uint16)):
+            looked = self.near ^ block
+            looked = looked[self.known[k, looked]]
+            if len(looked):
+                first, last = np.searchsorted(self.values[k], looked, "left"), np.searchsorted(self.values[k], looked, "right")
+                size = last - first
+                found.append(self.order[k][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def within(self, value: np.ndarray) -> np.ndarray:
+        own = self.candidates(value)
+        return own[np.bitwise_count(self.prints[own] ^ value).sum(axis=1) <= self.radius]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,23 +151,19 @@ class Group:
     """Items whose shingles have the same number of words."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], words: int, radius: int, threshold: float):
-        self.words, self.radius, self.threshold = words, radius, threshold
+        self.words, self.threshold = words, threshold
         found = [(name, _mix(own, words), len(own)) for name, own in items]
-        self.names, self.rows, self.sizes = [x[0] for x in found], [x[1] for x in found], np.array([x[2] for x in found], np.int64)
-        self.prints = np.array([simhash(r) for r in self.rows], np.uint64)
-        flat = np.concatenate(self.rows)
-        self.known, place = np.unique(flat, return_inverse=True)
-        #: items of each known shingle
-        self.owners = np.repeat(np.arange(len(found)), [len(r) for r in self.rows])[np.argsort(place, kind="stable")]
-        self.owned = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.known))))).astype(np.int64)
+        self.names, self.rows = [x[0] for x in found], [x[1] for x in found]
+        self.known = np.unique(np.concatenate(self.rows))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        byte = np.arange(256, dtype=np.uint8)
-        own = self.prints[:, None] >> (np.arange(BLOCKS, dtype=np.uint64) * np.uint64(8)) & np.uint64(255)
-        near = radius // BLOCKS
-        #: for each block and value, whether an item's block differs in few enough bits
-        self.tables = [np.bitwise_count(byte[:, None] ^ own[:, k].astype(np.uint8)[None, :]) <= near for k in range(BLOCKS)]
-        self.by_size = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
+        sizes = np.array([x[2] for x in found], np.int64)
+        #: for each item size: the items, how many of their shingles a window must hold, and their index
+        self.by_size = {}
+        for size in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == size)
+            prints = np.concatenate([simhash(self.rows[i], np.zeros(1, np.int64), len(self.rows[i])) for i in which])
+            self.by_size[size] = which, int(np.ceil(threshold * (size - words + 1) - 1e-9)), Index(prints, radius)
 
     def hits(self, rows: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.bits[(rows & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -116,53 +173,51 @@ class Group:
             found[maybe] = self.known[at] == rows[maybe]
         return found
 
-    def windows(self, rows: np.ndarray, places: np.ndarray, n_words: int) -> dict[int, set[int]]:
-        """For each item size, the starts of the windows that hold enough shingles of some item of that size."""
-        where = np.searchsorted(self.known, rows[places])
-        found: dict[int, set[int]] = {}
-        for item in np.unique(np.concatenate([self.owners[self.owned[k] : self.owned[k + 1]] for k in np.unique(where)])).tolist():
-            size = int(self.sizes[item])
-            need = int(np.ceil(self.threshold * len(self.rows[item]) - 1e-9))
-            own = places[np.isin(rows[places], self.rows[item])]
-            if len(own) < need:
-                continue
+    def windows(self, rows: np.ndarray, n_words: int):
+        """(size, shingles in a window, starts of the windows that hold enough known shingles) for each item size."""
+        hit = self.hits(rows)
+        if not hit.any():
+            return
+        before = np.concatenate(([0], np.cumsum(hit)))
+        for size, (_, need, _) in self.by_size.items():
             span = max(1, min(size, n_words) - self.words + 1)
-            low, high = max(0, int(own[0]) - span + 1), min(len(rows) - span, int(own[-1]))
-            at = np.arange(low, high + 1)
-            held = np.searchsorted(own, at + span) - np.searchsorted(own, at)
-            if len(at := at[held >= need]):
-                found.setdefault(size, set()).update(at.tolist())
-        return found
+            if span >= need:
+                at = np.flatnonzero(before[span:] - before[:-span] >= need)
+                if len(at):
+                    yield size, span, at
 
     def match(self, rows: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
-        hit = self.hits(rows)
-        if not hit.any():
-            return []
         best: dict[int, tuple[float, int, int]] = {}
-        for size, starts in self.windows(rows, np.flatnonzero(hit), n_words).items():
-            which, span = self.by_size[size], max(1, min(size, n_words) - self.words + 1)
-            for at in sorted(starts):
-                window = rows[at : at + span]
-                value = simhash(window)
-                keep = np.zeros(len(which), bool)
-                for k in range(BLOCKS):
-                    keep |= self.tables[k][value >> 8 * k & 255][which]
-                for item in which[keep].tolist():
-                    if int(self.prints[item] ^ np.uint64(value)).bit_count() <= self.radius:
-                        s = similarity(window, self.rows[item])
-                        if s >= self.threshold and (item not in best or s > best[item][0]):
-                            best[item] = s, at, min(size, n_words)
+        for size, span, starts in self.windows(rows, n_words):
+            which, _, index = self.by_size[size]
+            for at, value in zip(starts.tolist(), simhash(rows, starts, span)):
+                for item in which[index.within(value)].tolist():
+                    s = similarity(rows[at : at + span], self.rows[item])
+                    if s >= self.threshold and (item not in best or s > best[item][0]):
+                        best[item] = s, at, min(size, n_words)
         return [(self.names[i], *best[i]) for i in sorted(best)]
 
 
+_ITEMS: dict[str, Items] = {}
+
+
+def _items(name: str, sent, words: int, radius: int, threshold: float) -> Items:
+    """The slice's items, built once in each Python worker."""
+    if name not in _ITEMS:
+        _ITEMS.clear()
+        _ITEMS[name] = Items(sent.value, words, radius, threshold)
+    return _ITEMS[name]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, radius: int = RADIUS, at_once: int = ITEMS) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: each document with each item it holds.
 
-    similarity is the best of the document's windows, first_word where that window starts. A document with fewer
-    words than the item is one window; an item of fewer words than a shingle is one shingle. Null and empty texts and items match nothing. Rows that repeat an id each
-    give rows; an item id that repeats is compared in each of its texts. Other columns are not read; empty tables
-    give an empty result. The benchmark is read in slices of ``at_once`` items in id order, each sent to all
-    tasks, with one pass over the documents for each.
+    similarity is the best of the document's windows, first_word where the first such window starts. A document with
+    fewer words than the item is one window; an item of fewer words than a shingle is one shingle. Null and empty
+    texts and items match nothing, nor do items without an id. Rows that repeat an id each give rows; an item id
+    that repeats is compared in each of its texts. A document without an id keeps its null. Other columns are not
+    read; empty tables give an empty result. The benchmark is read in slices of at most ``at_once`` items and
+    ``BYTES`` bytes in id order, each sent to all tasks, with one pass over the documents for each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = [_matched(rows, sent, words, radius, threshold) for sent in _slices(benchmark, item_col, item_text_col, at_once)]
@@ -170,27 +225,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, at_once: int) -> Iterator:
-    """Broadcasts of at most about ``at_once`` items each, at least one; rows of an id come together."""
-    spark = benchmark.sparkSession
+    """Broadcasts of the items, bounded in items and bytes; at least one, which may be empty."""
+    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    own = items.orderBy("item_id").limit(at_once).collect()
-    while True:
-        full = len(own) == at_once
-        if full:
-            own = [r for r in own if r.item_id != own[-1].item_id] + items.where(F.col("item_id") == own[-1].item_id).collect()
-        yield spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in own])
-        own = full and items.where(F.col("item_id") > own[-1].item_id).orderBy("item_id").limit(at_once).collect()
-        if not own:
-            return
+    own, size, count = [], 0, 0
+    for row in items.orderBy("item_id", "text").toLocalIterator():
+        text = row.text.encode()
+        if own and (len(own) >= at_once or size + len(text) > BYTES):
+            yield context.broadcast(own)
+            own, size, count = [], 0, count + 1
+        own.append((row.item_id, text))
+        size += len(text)
+    if own or not count:
+        yield context.broadcast(own)
 
 
 def _matched(rows: DataFrame, sent, words: int, radius: int, threshold: float) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes = Items(sent.value, words, radius, threshold), WordHashes()
+        items, hashes = _items(name, sent, words, radius, threshold), WordHashes()
         for batch in batches:
             found = []
-            for name, text in zip(batch.column(0).to_pylist(), common.binary(batch.column(1))):
-                found += [(name, *m) for m in items.match(word_hashes(text, hashes))]
+            for doc, text in zip(batch.column(0).to_pylist(), common.binary(batch.column(1))):
+                found += [(doc, *m) for m in items.match(word_hashes(text, hashes))]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             columns = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -199,12 +257,16 @@ def _matched(rows: DataFrame, sent, words: int, radius: int, threshold: float) -
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, radius: int = RADIUS, at_once: int = ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item; nothing is shuffled for it."""
+    """The rows of ``docs``, all columns, that hold no benchmark item; nothing is shuffled for it.
+
+    Null and empty texts hold none and stay, each row is judged by itself whatever its id, and empty tables are
+    allowed; items are read as by :func:`leaks`.
+    """
     at, schema = docs.columns.index(text_col), docs.schema
     for sent in _slices(benchmark, item_col, item_text_col, at_once):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(sent.value, words, radius, threshold), WordHashes()
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            items, hashes = _items(name, sent, words, radius, threshold), WordHashes()
             for batch in batches:
                 yield batch.filter(pa.array([not items.match(word_hashes(t, hashes)) for t in common.binary(batch.column(at))], pa.bool_()))
 

@@ -265,3 +265,28 @@ def test_leaks_against_every_window(spark):
     assert kept == {n for n, _ in rows} - {n for n, _ in want}
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.leaks(frame(spark, rows).limit(0), bench).count() == 0
+
+
+def test_blocks_find_every_item_within_the_radius_and_prune():
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**63, (2000, 4)).astype(np.uint64)
+    index = decontaminate.Index(prints, decontaminate.RADIUS)
+    left = 0
+    for _ in range(60):
+        value = prints[rng.integers(2000)].copy()
+        bits = np.unpackbits(value.view(np.uint8))
+        bits[rng.choice(256, rng.integers(0, 64), replace=False)] ^= 1
+        value = np.packbits(bits).view(np.uint64)
+        want = np.flatnonzero(np.bitwise_count(prints ^ value).sum(axis=1) <= decontaminate.RADIUS)
+        assert len(want) and index.within(value).tolist() == want.tolist()
+        left += len(index.candidates(value))
+    assert left < 0.2 * 60 * 2000
+
+
+def test_window_fingerprints_by_brute_force():
+    rng = np.random.default_rng(10)
+    rows = rng.integers(0, 2**63, 500).astype(np.uint64)
+    at = np.array([0, 3, 77, 400])
+    bits = decontaminate.spread(rows)
+    want = [np.packbits(2 * bits[a : a + 30].sum(axis=0, dtype=np.int64) > 30, bitorder="little").view(np.uint64).tolist() for a in at]
+    assert decontaminate.simhash(rows, at, 30, most=50).tolist() == want
