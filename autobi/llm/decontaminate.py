@@ -4,11 +4,12 @@ Every window of as many words as an item has is compared with it. Windows and it
 their five-word shingles. The fingerprints are cut into 16 blocks; items are indexed by the value of each block. Of two
 fingerprints that differ in at most ``radius`` bits some block differs in at most ``radius // 16``, so looking up all values
 that near to a window's blocks finds all items within the radius. The full Hamming distance and at last the weighted
-similarity of the shingles decide.
+similarity of the shingles decide. (Where fewer values are indexed than are near to a block, the indexed ones are looked
+through instead.)
 
 At a similarity of 0.8 about 39 bits differ, with a standard deviation of 6; the radius is 63. Of two unrelated
-fingerprints, about one pair in six is left by the blocks, and none by the distance. Windows in which too few
-shingles are known from any item to reach the similarity with one of their size get no fingerprint; this loses
+fingerprints, about one pair in six is left by the blocks, and none by the distance. Windows that hold too few shingles
+of all items of their size together to reach the similarity with one of them get no fingerprint; this loses
 nothing, as a similarity s to an item of m shingles needs s * m of them.
 """
 
@@ -97,7 +98,8 @@ class Index:
     """Items of one size by the values of their fingerprints' blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.near, self.radius = prints, near_values(min(16, radius // BLOCKS)), radius
+        self.prints, self.radius, self.most = prints, radius, min(16, radius // BLOCKS)
+        self.near = near_values(self.most)
         blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
         self.order = np.argsort(blocks, axis=0, kind="stable").T
         self.values = np.ascontiguousarray(np.take_along_axis(blocks, np.argsort(blocks, axis=0, kind="stable"), axis=0).T)
@@ -105,21 +107,29 @@ class Index:
         for k in range(BLOCKS):
             self.known[k, blocks[:, k]] = True
 
-    def candidates(self, value: np.ndarray) -> np.ndarray:
-        """Items of which some block is near enough to the same block of ``value``."""
+    def candidates(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``values``, item) of which some block of the one is near enough to the same block of the other."""
+        blocks, n = values.view(np.uint16).reshape(-1, BLOCKS), len(self.prints)
+        if n <= len(self.near):
+            own = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+            return np.nonzero((np.bitwise_count(blocks[:, None] ^ own[None]) <= self.most).any(axis=2))
         found = []
-        for k, block in enumerate(value.view(np.uint16)):
-            looked = self.near ^ block
-            looked = looked[self.known[k, looked]]
-            if len(looked):
+        for place, value in enumerate(blocks):
+            for k, block in enumerate(value):
+                looked = self.near ^ block
+                looked = looked[self.known[k, looked]]
                 first, last = np.searchsorted(self.values[k], looked, "left"), np.searchsorted(self.values[k], looked, "right")
                 size = last - first
-                found.append(self.order[k][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                found.append(place * n + self.order[k][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return np.divmod(np.unique(np.concatenate(found)), n) if found else (np.zeros(0, np.int64),) * 2
 
-    def within(self, value: np.ndarray) -> np.ndarray:
-        own = self.candidates(value)
-        return own[np.bitwise_count(self.prints[own] ^ value).sum(axis=1) <= self.radius]
+    def within(self, values: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place in ``values``, item) within the radius, a bounded number of ``values`` at a time."""
+        step = max(1, (1 << 18) // max(1, min(len(self.prints), len(self.near))))
+        for at in range(0, len(values), step):
+            place, item = self.candidates(values[at : at + step])
+            near = np.bitwise_count(self.prints[item] ^ values[at + place]).sum(axis=1) <= self.radius
+            yield from zip((at + place[near]).tolist(), item[near].tolist())
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -154,47 +164,57 @@ class Group:
         self.words, self.threshold = words, threshold
         found = [(name, _mix(own, words), len(own)) for name, own in items]
         self.names, self.rows = [x[0] for x in found], [x[1] for x in found]
-        self.known = np.unique(np.concatenate(self.rows))
+        sizes = np.array([x[2] for x in found], np.int64)
+        self.sizes, kind = np.unique(sizes, return_inverse=True)
+        self.known, place = np.unique(np.concatenate(self.rows), return_inverse=True)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        sizes = np.array([x[2] for x in found], np.int64)
-        #: for each item size: the items, how many of their shingles a window must hold, and their index
-        self.by_size = {}
-        for size in np.unique(sizes).tolist():
-            which = np.flatnonzero(sizes == size)
+        #: of each known shingle the sizes of the items that have it
+        pair = np.unique(place * len(self.sizes) + np.repeat(kind, [len(r) for r in self.rows]))
+        self.kinds = pair % len(self.sizes)
+        self.cut = np.searchsorted(pair // len(self.sizes), np.arange(len(self.known) + 1))
+        #: for each size: the items, how many of their shingles a window must hold, and their index
+        self.of_size = []
+        for k, size in enumerate(self.sizes.tolist()):
+            which = np.flatnonzero(kind == k)
             prints = np.concatenate([simhash(self.rows[i], np.zeros(1, np.int64), len(self.rows[i])) for i in which])
-            self.by_size[size] = which, int(np.ceil(threshold * (size - words + 1) - 1e-9)), Index(prints, radius)
+            self.of_size.append((which, int(np.ceil(threshold * (size - words + 1) - 1e-9)), Index(prints, radius)))
 
-    def hits(self, rows: np.ndarray) -> np.ndarray:
+    def hits(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known shingles, and which."""
         maybe = np.flatnonzero(self.bits[(rows & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        found = np.zeros(len(rows), bool)
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.known, rows[maybe]), len(self.known) - 1)
-            found[maybe] = self.known[at] == rows[maybe]
-        return found
-
-    def windows(self, rows: np.ndarray, n_words: int):
-        """(size, shingles in a window, starts of the windows that hold enough known shingles) for each item size."""
-        hit = self.hits(rows)
-        if not hit.any():
+        at = np.minimum(np.searchsorted(self.known, rows[maybe]), len(self.known) - 1)
+        same = self.known[at] == rows[maybe]
+        return maybe[same], at[same]
+
+    def windows(self, rows: np.ndarray, n_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(which size, shingles in a window, starts of the windows that hold enough shingles of that size's items)."""
+        place, which = self.hits(rows)
+        if not len(place):
             return
-        before = np.concatenate(([0], np.cumsum(hit)))
-        for size, (_, need, _) in self.by_size.items():
-            span = max(1, min(size, n_words) - self.words + 1)
-            if span >= need:
-                at = np.flatnonzero(before[span:] - before[:-span] >= need)
-                if len(at):
-                    yield size, span, at
+        count = self.cut[which + 1] - self.cut[which]
+        kinds = self.kinds[np.repeat(self.cut[which] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        order = np.argsort(kinds, kind="stable")
+        kinds, place = kinds[order], np.repeat(place, count)[order]
+        ends = np.append(np.flatnonzero(np.diff(kinds)) + 1, len(kinds))
+        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            kind, own = int(kinds[first]), place[first:last]
+            span, need = max(1, min(int(self.sizes[kind]), n_words) - self.words + 1), self.of_size[kind][1]
+            if span >= need and len(own) >= need:
+                start = np.unique(np.clip(own[:, None] - np.arange(span)[None, :], 0, len(rows) - span)) if len(own) * span < 1 << 22 else np.arange(len(rows) - span + 1)
+                held = np.searchsorted(own, start + span) - np.searchsorted(own, start)
+                if (held >= need).any():
+                    yield kind, span, start[held >= need]
 
     def match(self, rows: np.ndarray, n_words: int) -> list[tuple[int, float, int, int]]:
         best: dict[int, tuple[float, int, int]] = {}
-        for size, span, starts in self.windows(rows, n_words):
-            which, _, index = self.by_size[size]
-            for at, value in zip(starts.tolist(), simhash(rows, starts, span)):
-                for item in which[index.within(value)].tolist():
-                    s = similarity(rows[at : at + span], self.rows[item])
-                    if s >= self.threshold and (item not in best or s > best[item][0]):
-                        best[item] = s, at, min(size, n_words)
+        for kind, span, starts in self.windows(rows, n_words):
+            which, _, index = self.of_size[kind]
+            for place, item in index.within(simhash(rows, starts, span)):
+                at, item = int(starts[place]), int(which[item])
+                s = similarity(rows[at : at + span], self.rows[item])
+                if s >= self.threshold and (item not in best or (-s, at) < (-best[item][0], best[item][1])):
+                    best[item] = s, at, min(int(self.sizes[kind]), n_words)
         return [(self.names[i], *best[i]) for i in sorted(best)]
 
 

@@ -269,18 +269,18 @@ def test_leaks_against_every_window(spark):
 
 def test_blocks_find_every_item_within_the_radius_and_prune():
     rng = np.random.default_rng(9)
-    prints = rng.integers(0, 2**63, (2000, 4)).astype(np.uint64)
-    index = decontaminate.Index(prints, decontaminate.RADIUS)
-    left = 0
-    for _ in range(60):
-        value = prints[rng.integers(2000)].copy()
-        bits = np.unpackbits(value.view(np.uint8))
-        bits[rng.choice(256, rng.integers(0, 64), replace=False)] ^= 1
-        value = np.packbits(bits).view(np.uint64)
-        want = np.flatnonzero(np.bitwise_count(prints ^ value).sum(axis=1) <= decontaminate.RADIUS)
-        assert len(want) and index.within(value).tolist() == want.tolist()
-        left += len(index.candidates(value))
-    assert left < 0.2 * 60 * 2000
+    for n in (3, 300, 2000):  # looked through, and looked up by near values
+        prints = rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
+        index = decontaminate.Index(prints, decontaminate.RADIUS)
+        values = []
+        for _ in range(60):
+            bits = np.unpackbits(prints[rng.integers(n)].copy().view(np.uint8))
+            bits[rng.choice(256, rng.integers(0, 64), replace=False)] ^= 1
+            values.append(np.packbits(bits).view(np.uint64))
+        values = np.array(values)
+        near = np.bitwise_count(prints[None] ^ values[:, None]).sum(axis=2) <= decontaminate.RADIUS
+        assert near.any(axis=1).all() and sorted(index.within(values)) == list(zip(*(x.tolist() for x in np.nonzero(near))))
+        assert len(index.candidates(values)[0]) < 0.2 * 60 * n + 60
 
 
 def test_window_fingerprints_by_brute_force():
