@@ -21,6 +21,9 @@ from autobi.llm import common
 from autobi.llm.quality_gbt import SAMPLE, labelled_sample, statistics
 
 BUCKETS = 1 << 20
+#: Standard errors by which a feature's share of good documents must differ from the whole, documents that must have
+#: it, and how many features are used at most (the most telling ones). The same at every size.
+CLEAR, LEAST, FEATURES = 5.0, 5, 4096
 EDGE, KEPT, LONGEST = b".,;:!?\"'()[]{}", 400_000, 48
 PREFIXES = (4, 5, 6)
 #: Features beside words: limits of the shares that switch one on.
@@ -51,16 +54,6 @@ def features(text: bytes | None) -> np.ndarray:
     return np.array([b for word in set(text.split()) for b in buckets(word)] + switches(text), np.int64)
 
 
-def telling(place: np.ndarray, n_with: np.ndarray, n_with_good: np.ndarray, n: int, n_good: float, clear: float | None = None) -> np.ndarray:
-    """Features whose share of good documents differs from the whole by ``clear`` standard errors (by default 4 for
-    up to 400 documents, rising to 7 for several thousand), and all switches."""
-    clear = clear or min(7.0, 4.0 * max(1.0, n / 400) ** 0.25)
-    mean = n_good / n
-    differ = np.abs(n_with_good - mean * n_with) / np.sqrt(np.maximum(n_with, 1) * mean * (1 - mean))
-    words = place[(differ >= clear) & (n_with >= 5) & (place < BUCKETS)]
-    return np.concatenate([np.sort(words), np.arange(BUCKETS, SIZE)])
-
-
 def fit_weights(lists: list[np.ndarray], good: np.ndarray, used: np.ndarray, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and offset of a logistic model on the used features, by full-batch steps with a rate for each weight."""
     weights, n = np.zeros(SIZE), len(good)
@@ -81,9 +74,9 @@ def fit_weights(lists: list[np.ndarray], good: np.ndarray, used: np.ndarray, rou
     return weights, float(offset)
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and offset from rows ``(text, good)``. Tasks count and pick the features; only counts of features that
-    may tell something, and the picked features of each row, come to the driver."""
+def train(labelled: DataFrame, clear: float = CLEAR, least: int = LEAST, most: int = FEATURES) -> tuple[np.ndarray, float]:
+    """Weights and offset from rows ``(text, good)``. Tasks count and pick the features; to the driver come the places
+    of at most ``most`` features, and one bit for each of them from each row, however long its text."""
     n, n_good = (float(v or 0) for v in labelled.agg(F.count("*"), F.sum("good")).first())
     if not 0 < n_good < n:
         return np.zeros(SIZE), float(np.log((n_good + 0.5) / (n - n_good + 0.5)))
@@ -101,19 +94,23 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
     counted = labelled.mapInArrow(count, "place int, n long, n_good long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good"))
     mean = n_good / n
     differ = F.abs(F.col("n_good") - mean * F.col("n")) / F.sqrt(F.col("n") * mean * (1 - mean))
-    rows = counted.where((differ >= 4) & (F.col("n") >= 5)).toPandas()
-    used = telling(*(rows[c].to_numpy() for c in ("place", "n", "n_good")), n, n_good)
+    words = counted.withColumn("differ", differ).where((F.col("differ") >= clear) & (F.col("n") >= least) & (F.col("place") < BUCKETS))
+    picked = words.orderBy(F.desc("differ"), "place").limit(most).select("place").toArrow().column("place").to_numpy()
+    used = np.concatenate([np.sort(picked), np.arange(BUCKETS, SIZE)]).astype(np.int64)
     sent = labelled.sparkSession.sparkContext.broadcast(used)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(SIZE, bool)
-        wanted[sent.value] = True
+        place = np.full(SIZE, -1, np.int64)
+        place[sent.value] = np.arange(len(sent.value))
         for batch in batches:
-            own = [x[wanted[x]].tolist() for x in map(features, common.binary(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["places", "good"])
-
-    found = labelled.mapInArrow(pick, "places array<int>, good int").toArrow()
-    lists = [np.asarray(x, np.int64) for x in found.column("places").to_pylist()]
+            bits = np.zeros((batch.num_rows, len(sent.value)), bool)
+            for row, text in enumerate(common.binary(batch.column(0))):
+                own = place[features(text)]
+                bits[row, own[own >= 0]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()), batch.column(1)], ["bits", "good"])
+
+    found = labelled.mapInArrow(pick, "bits binary, good int").toArrow()
+    lists = [used[np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))[: len(used)])] for x in found.column("bits").to_pylist()]
     return fit_weights(lists, found.column("good").to_numpy().astype(np.float64), used)
 
 
@@ -160,7 +157,10 @@ def posteriors(scored: DataFrame) -> DataFrame:
     inner = mean * (1 - mean)
     spread = ((float(total.q or 0) - n * mean * mean) - (total.hosts - 1) * inner) / max(n - float(total.nn or 0) / max(n, 1), 1e-9) if n else 0.0
     weight = float(np.clip(inner / spread - 1, 2.0, 1e4)) if spread > 0 else 1e4
-    joined = scored.join(paths, ["host", "path"]).join(hosts, "host")
+    paths, scored = common.materialize(paths), common.materialize(scored)
+    many = hosts.join(paths.groupBy("host").agg(F.count("*").alias("paths")), "host")
+    sites = common.join_groups(paths, many, ["host"], "paths", paths.count())
+    joined = common.join_groups(scored, sites, ["host", "path"], "n_path", int(n))
     others = lambda kind: (F.col(f"s_{kind}") - F.col("chance"), F.col(f"n_{kind}") - 1)
     (hs, hn), (ps, pn) = others("host"), others("path")
     joined = joined.withColumn("host_posterior", (hs + weight * mean) / (hn + weight))
@@ -173,14 +173,16 @@ def posteriors(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, evidence, host_posterior, path_posterior, score, kept)`` of each document.
 
-    A document is good if its label says quality 1 and toxic 0 (a null label counts as 0). The document model is
-    fitted on at most ``sample`` labelled documents; host and path figures come from all documents. kept: a score
-    of at least 0. Null and empty texts have no words, so only the offset speaks; a null host or path is a site
-    of its own. Without labels of both kinds evidence is constant. Repeated rows each give a row and count twice
-    in their site; an empty table gives an empty result; other columns are not read.
+    A document is good if its label says quality 1 and toxic 0 (a null counts as 0); of labels that contradict each
+    other the bad one holds. The document model is fitted on at most ``sample`` labelled documents, of an id that
+    repeats on the smallest of its texts; host and path figures come from all documents. kept: a score of at least 0.
+    Null and empty texts have no words, so only the offset speaks; a null host or path is a site of its own. Without
+    labels of both kinds evidence is constant. Labels without an id are left out; documents without one are judged like
+    others. Repeated rows each give a row and count twice in their site; an empty table gives an empty result; other
+    columns are not read.
     """
     flags = labels.withColumn("good", ((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
-    chosen = labelled_sample(docs, flags, ["good"], sample, id_col, text_col).orderBy("doc_id", "text")
+    chosen = labelled_sample(docs, flags, "good", sample, id_col, text_col).orderBy("doc_id")
     weights, offset = train(common.materialize(chosen.select("text", "good")))
     scored = common.materialize(evidence(docs, weights, offset, id_col, text_col, host_col, path_col))
     found = posteriors(scored)

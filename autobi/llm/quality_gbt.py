@@ -186,17 +186,25 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     return rows.mapInArrow(run, SCHEMA + (", features array<double>" if trees is None else ", score double, base_failed boolean"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``sample`` labelled documents, chosen by a hash of the id: ``(doc_id, text, *columns)``."""
-    chosen = labels.where(F.col("doc_id").isNotNull()).select("doc_id", *columns).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__labelled")
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``sample`` labelled documents, chosen by a hash of the id: ``(doc_id, text, column)``.
+
+    Labels without an id or a value are left out before the choice. Of labels of one id that contradict each other
+    the lowest holds, of its texts the smallest.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__labelled")).agg(F.min(column).alias(column))
+    order, count = F.xxhash64("__labelled"), known.count()
+    if count > 2 * sample:  # what is far beyond the limit need not come together to be sorted
+        known = known.where(order < int(-(2**63) + 2**64 * 1.5 * sample / count))
+    chosen = known.orderBy(order, "__labelled").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__labelled")).drop("__labelled")
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__labelled"))  # ``sample`` pairs of numbers
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(column).alias(column))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees from the labelled documents; at most ``sample`` rows of figures come to the driver."""
-    chosen = common.materialize(labelled_sample(docs, labels, ["quality"], sample, id_col, text_col).where("quality is not null").dropDuplicates(["doc_id"]))
+    chosen = common.materialize(labelled_sample(docs, labels, "quality", sample, id_col, text_col))
     rows = measured(chosen).join(chosen.select("doc_id", "quality"), "doc_id").orderBy("doc_id").select("features", "quality").collect()
     x = np.array([r.features for r in rows], np.float64).reshape(-1, len(FEATURES))
     return grow(x, np.array([r.quality for r in rows], np.float64), list(FEATURES.values()))
@@ -207,15 +215,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows. kept: not base_failed
     and a score (log odds that the document is good) of at least 0. Null and empty texts have no words and fail.
-    Without labels of both kinds the score is one constant, at least 0 unless all labels are bad. Repeated rows
-    each give a row; an empty table gives an empty result; other columns are not read.
+    Without labels of both kinds the score is one constant, at least 0 unless all labels are bad. Of labels that
+    contradict each other the lowest holds. A null id is kept. Repeated rows each give a row; an empty table gives an empty result; other columns are not read.
     """
     found = measured(docs, id_col, text_col, fit(docs, labels, sample, id_col, text_col))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`quality_rules` keeps; nothing is shuffled for it."""
+    """The rows of ``docs``, all columns, that :func:`quality_rules` keeps; nothing is shuffled for it.
+
+    Each row is judged by its text, whatever its id; null and empty texts go; empty tables are allowed.
+    """
     trees, at = fit(docs, labels, sample, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

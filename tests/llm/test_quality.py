@@ -5,11 +5,13 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from autobi.llm import quality_bayes, quality_gbt, site_tree, url_filter
+from autobi.llm import common, quality_bayes, quality_gbt, site_tree, url_filter
 
 TEXTS = [None, "", " \n\n ", "a", "a b c a b c", "a b c d a b c", "x x x x", "line\nline\n\n\nline \nother", "# $ | <b> 100% & [é] é é", "one two three\n" * 40, "WORD!! " * 100, "é" * 50_000]
 
@@ -111,6 +113,81 @@ def test_posteriors_shrink_and_leave_the_document_out(spark):
     assert alone.path_posterior == pytest.approx(alone.host_posterior)  # no other document on its path
 
 
+POSTERIORS = """
+WITH s AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, evidence)))) AS c FROM scored),
+p AS (SELECT host, path, count(*) AS n_path, sum(c) AS s_path FROM s GROUP BY ALL),
+h AS (SELECT host, sum(n_path) AS n_host, sum(s_path) AS s_host FROM p GROUP BY ALL),
+t AS (SELECT sum(n_host) AS n, greatest(1e-4, least(1 - 1e-4, sum(s_host) / sum(n_host))) AS m, sum(s_host * s_host / n_host) AS q,
+             count(*) AS k, sum(n_host * n_host) AS nn FROM h),
+v AS (SELECT *, m * (1 - m) AS inside, (q - n * m * m - (k - 1) * m * (1 - m)) / greatest(n - nn / n, 1e-9) AS spread FROM t),
+w AS (SELECT *, CASE WHEN spread > 0 THEN greatest(2, least(1e4, inside / spread - 1)) ELSE 1e4 END AS weight FROM v),
+hp AS (SELECT s.*, n_path, s_path, m, weight, (s_host - c + weight * m) / (n_host - 1 + weight) AS host_posterior
+       FROM s JOIN p USING (host, path) JOIN h USING (host) CROSS JOIN w),
+pp AS (SELECT *, (s_path - c + weight * host_posterior) / (n_path - 1 + weight) AS path_posterior FROM hp)
+SELECT doc_id, host_posterior, path_posterior,
+       evidence + ln(greatest(1e-4, least(1 - 1e-4, path_posterior)) / (1 - greatest(1e-4, least(1 - 1e-4, path_posterior)))) - ln(m / (1 - m)) AS score
+FROM pp"""
+
+
+def test_posteriors_equal_sql(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(3000):
+        host = "big" if i % 3 == 0 else f"h{rng.integers(40)}"
+        rows.append((i, host, f"p{rng.integers(3) if host != 'big' or i % 2 else 0}", float(rng.normal(len(host) - 2, 2))))
+    scored = pd.DataFrame(rows, columns=["doc_id", "host", "path", "evidence"])
+    got = quality_bayes.posteriors(spark.createDataFrame(scored)).select("doc_id", "host_posterior", "path_posterior", "score").toPandas().sort_values("doc_id")
+    want = duckdb.query(POSTERIORS).df().sort_values("doc_id")
+    assert len(got) == 3000
+    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9)
+
+
+def test_site_decides_doubtful_documents(spark):
+    """The same evidence is kept on a good site and rejected on a bad one; without any site it decides by itself."""
+    rows = [(i, "good", "a", 3.0) for i in range(60)] + [(100 + i, "bad", "a", -3.0) for i in range(60)]
+    rows += [(k, host, "a", e) for k, (host, e) in enumerate([("good", -0.6), ("bad", -0.6), ("good", 0.6), ("bad", 0.6), ("new", 0.6), ("new2", -0.6)], 200)]
+    got = {r.doc_id: r.score >= 0 for r in quality_bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")).collect()}
+    assert [got[k] for k in range(200, 206)] == [True, False, True, False, True, False]
+
+
+def test_join_groups_keeps_every_row(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 70}") for i in range(4000)], "i long, k string")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    for share in (1, 10, 1000):
+        got = common.join_groups(rows, groups, ["k"], "n", 4000, share)
+        assert got.count() == 4000 and got.where("i > top").count() == 0 and got.select("i").distinct().count() == 4000
+
+
+def test_contradicting_and_missing_labels(spark):
+    docs, labels = corpus(spark, 60)
+    odd = labels.select("doc_id", F.when(F.col("doc_id") % 4 == 3, None).otherwise(F.col("quality")).alias("quality"), "toxic")
+    twice = odd.unionByName(odd.where("doc_id < 9").withColumn("quality", F.lit(0))).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    got = {r.doc_id: (r.text, r.quality) for r in quality_gbt.labelled_sample(docs, twice, "quality").collect()}
+    texts = {r.doc_id: r.text for r in docs.where("text is not null").collect()}
+    value = {r.doc_id: r.quality for r in odd.collect()}
+    assert got == {i: (texts[i], 0 if i < 9 else value[i]) for i in texts if i < 9 or value[i] is not None}
+    some = quality_gbt.labelled_sample(docs, twice, "quality", sample=10).collect()
+    assert len(some) == 10 and {(r.doc_id, (r.text, r.quality)) for r in some} <= set(got.items())
+
+
+def test_tree_scores_node_by_node():
+    rng = np.random.default_rng(6)
+    x = rng.random((400, 4))
+    trees = quality_gbt.grow(x, (x[:, 0] + x[:, 1] > 1).astype(float), [1, 0, -1, 0], trees=8)
+
+    def walk(row):
+        total = trees.start
+        for node in trees.roots.tolist():
+            while trees.feature[node] >= 0:
+                node = int(trees.left[node] if row[trees.feature[node]] <= trees.limit[node] else trees.right[node])
+            total += trees.value[node]
+        return total
+
+    new = rng.random((200, 4)) * 1.4 - 0.2
+    assert trees.score(new).tolist() == pytest.approx([walk(r) for r in new])
+
+
 def test_classifier_edges(spark):
     docs, labels = corpus(spark, 30)
     odd = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("source"), "lang", F.lit(1).alias("chance"))
