@@ -11,7 +11,7 @@ from autobi.llm.site_tree import op9_site_tree
 from autobi.llm.suffix_dedup import op8_suffix_dedup
 from autobi.llm.token_counts import op2_token_counts
 from autobi.llm.token_files import op6_token_files
-from autobi.llm.url_filter import RULES, SOFT, STRICT, op3_url_filter
+from autobi.llm.url_filter import LIMIT, RULES, op3_url_filter, terms
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -32,21 +32,24 @@ def _url_filter_sql() -> str:
         host, path = rule.split("/", 1)
         return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}')"
 
-    def found(terms) -> str:
-        return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT" for t in terms)
+    def found(weights) -> str:
+        return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::BIGINT * {w}" for t, w in weights)
 
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    weights = terms()
+    strict, soft = ([(t, 1) for t, w in weights.items() if (w >= LIMIT) is hard] for hard in (True, False))
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
     by_rule = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in ordered) + " END"
     return f"""
     WITH cut AS (
-      SELECT page_id, lower(coalesce(url, '')) AS low,
-             CASE WHEN url LIKE '%://%' THEN lower(regexp_extract(url, '^(.*?)://([^/?#]*)', 2)) ELSE '' END AS host,
-             CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(.*?)://[^/?#]*([^?#]*)', 2) ELSE '' END AS path
+      SELECT page_id, {lower("coalesce(url, '')")} AS low,
+             CASE WHEN url LIKE '%://%' THEN {lower("regexp_extract(url, '(?s)^(.*?)://([^/?#]*)', 2)")} ELSE '' END AS host,
+             CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^(.*?)://[^/?#]*([^?#]*)', 2) ELSE '' END AS path
       FROM pages),
-    hit AS (SELECT *, {found(STRICT)} AS n_strict, {found(SOFT)} AS n_soft, {rule} AS rule FROM cut)
+    hit AS (SELECT *, {found(strict)} AS n_strict, {found(soft)} AS n_soft, {found(weights.items())} AS weight, {rule} AS rule FROM cut)
     SELECT page_id, host, path, rule,
-           coalesce({by_rule}, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+           coalesce({by_rule}, CASE WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
     FROM hit"""
 
 

@@ -10,6 +10,7 @@ another character, so text is cut before each run of space marks and each cut is
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -143,7 +144,7 @@ class Codec(dict):
         normal, align = self.normalize(text)
         width = self.width[ids]
         if (ids == self.unknown).any():  # one unknown piece stands for a run of characters: the library knows its surface
-            width = np.array([len(p.surface.replace(" ", "▁").encode()) for p in self.processor.encode(text.decode("utf-8", "replace"), out_type="immutable_proto").pieces], np.int32)
+            width = np.array([len(p.surface.replace(" ", "▁").encode()) for p in self.processor.encode(text.decode("utf-8", "replace"), return_type="proto").pieces], np.int32)
         end = np.cumsum(width)
         if len(end) and end[-1] != len(normal):
             raise ValueError("pieces do not tile the normalised text")
@@ -155,8 +156,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
-    """``(doc_id, ids, begins, ends)``, with ``decode`` also ``decoded``: the library's decoding of the ids.
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, digest: bool = False) -> DataFrame:
+    """``(doc_id, ids, begins, ends)``, with ``decode`` also ``decoded``: the library's decoding of the ids, with
+    ``digest`` also ``spans_sha256``: lowercase hex of begin, end, begin, ... as little-endian unsigned 32-bit integers.
 
     ids are those of the sentencepiece library without begin or end ids; begins and ends are byte offsets in
     the UTF-8 source. Null and empty texts give empty arrays and an empty decoding. Bytes that are no UTF-8
@@ -180,10 +182,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 if decode:
                     arrays.append(pa.array([own.processor.decode(r[0].tolist()) if len(r[0]) else "" for r in rows], pa.string()))
                     names.append("decoded")
+                if digest:
+                    arrays.append(pa.array([hashlib.sha256(np.stack(r[1:], axis=1).astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()))
+                    names.append("spans_sha256")
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode)
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode + ", spans_sha256 string" * digest)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -210,5 +215,5 @@ def digest_columns() -> dict:
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    encoded = encode(common.read(spark, sf_dir, "documents"), default_model(), decode=True)
-    return encoded.select("doc_id", *[c.alias(name) for name, c in digest_columns().items()])
+    encoded = encode(common.read(spark, sf_dir, "documents"), default_model(), decode=True, digest=True)
+    return encoded.select("doc_id", *[c.alias(name) for name, c in digest_columns().items()], "spans_sha256")

@@ -208,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
     The tokenizer must drop white space and never join across it (ids are found word by word). Each document
     ends with ``end_id``; null and empty texts are that id alone. Null ids come first; rows that repeat an id
-    follow each other. An empty table writes no image.
+    follow each other in the order of their texts (null first, then by bytes). An empty table writes no image.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ranged = rows.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ranged.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, data binary")
     return common.materialize(files, maxRecordsPerFile=IMAGES)
 

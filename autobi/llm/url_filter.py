@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +11,20 @@ from pyspark.sql import functions as F
 
 from autobi.llm import common
 
-#: One of these rejects a URL.
-STRICT = ("cheap-pills", "spam-farm", "casino", "porn", "xxx", "viagra", "malware", "phishing", "warez", "escort")
-#: Two different ones of these reject a URL.
-SOFT = ("adult", "bet", "bonus", "cheap", "crypto", "deal", "farm", "free", "loan", "pills", "poker", "spam", "win")
+
+def terms(path: str | None = None) -> dict[str, int]:
+    """Weights by term, from lines of a term, a tab and its weight; by default the list that comes with this package."""
+    if path:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+    else:
+        text = resources.files("autobi.llm").joinpath("url_terms.tsv").read_text("utf-8")
+    pairs = (line.split("\t") for line in text.splitlines() if line.strip() and not line.startswith("#"))
+    return {term.encode().lower().decode(): int(weight) for term, weight in pairs}
+
+
+#: The weight at which a URL is rejected: terms that have it alone are strict, the others soft.
+LIMIT = 2
 #: Rules of the registered query, (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -57,45 +68,50 @@ class Rules:
 
 
 class Vocabulary:
-    def __init__(self, strict, soft):
+    """Terms are compared byte by byte; A-Z count as a-z."""
+
+    def __init__(self, weights: Mapping[str, int]):
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
-        for weight, terms in (("soft", soft), ("strict", strict)):
-            for term in terms:
-                self.machine.add_word(term, (weight, term))
+        for term, weight in weights.items():
+            self.machine.add_word(term.encode().decode("latin-1"), (weight, term))
         self.machine.make_automaton()
 
-    def hits(self, url: str) -> tuple[set[str], set[str]]:
-        """Distinct strict and soft terms that stand between characters other than letters and digits."""
-        text, found = url.lower(), {"strict": set(), "soft": set()}
-        for last, (weight, term) in self.machine.iter(text):
-            first = last - len(term) + 1
-            if (first == 0 or not text[first - 1].isalnum()) and (last + 1 == len(text) or not text[last + 1].isalnum()):
-                found[weight].add(term)
-        return found["strict"], found["soft"]
+    def hits(self, url: str) -> dict[str, int]:
+        """Distinct terms with their weights that stand between bytes other than a-z and 0-9."""
+        text = url.encode().lower().decode("latin-1")
+        found: dict[str, int] = {}
+        inner = lambda c: c.isascii() and c.isalnum()
+        for last, (weight, term) in self.machine.iter(text) if len(self.machine) else ():
+            first = last - len(term.encode()) + 1
+            if (first == 0 or not inner(text[first - 1])) and (last + 1 == len(text) or not inner(text[last + 1])):
+                found[term] = weight
+        return found
 
 
-def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, min_soft: int = 2, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, weights: Mapping[str, int] | None = None, limit: int = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict, n_strict, n_soft)`` of each URL.
 
-    A rule decides if one fits; otherwise a URL is blocked on one strict term or ``min_soft`` different soft
-    terms. A null URL, or one without ``://``, has empty host and path; a null one has no terms and is allowed.
-    Rule and term lists are sent to every task: they are configuration of known size. Repeated rows each give a
-    row; other columns are not read; an empty table gives an empty result.
+    A rule decides if one fits, of equal rules the blocking one; otherwise a URL is blocked if its distinct terms
+    weigh ``limit`` or more together: one strict term (of that weight alone), or several soft ones. A null URL, or one
+    without ``://``, has empty host and path; a null one has no terms and is allowed. Rules and terms are sent to
+    every task: they are configuration of known size. Null ids are kept. Repeated rows each give a row; other columns
+    are not read; an empty table gives an empty result.
     """
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
+    rules, weights = tuple(rules), dict(terms() if weights is None else weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = Rules(rules), Vocabulary(strict, soft)
+        own, words = Rules(rules), Vocabulary(weights)
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = own.find(host, path)
-                hard, mild = words.hits(url or "")
-                verdict = rule[1] if rule else "block" if hard or len(mild) >= min_soft else "allow"
-                rows.append((host, path, rule and rule[0], verdict, len(hard), len(mild)))
+                found = list(words.hits(url or "").values())
+                verdict = rule[1] if rule else "block" if sum(found) >= limit else "allow"
+                strict = sum(w >= limit for w in found)
+                rows.append((host, path, rule and rule[0], verdict, strict, len(found) - strict))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])

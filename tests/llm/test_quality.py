@@ -209,6 +209,33 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_urls_are_compared_byte_by_byte(spark):
+    import duckdb
+
+    from autobi.llm import queries
+
+    urls = ["http://x.org/éporn/a", "http://x.org/İporn", "http://x.org/PORN/É", "http://x.org/pornİ", "HTTP://ÉX.ORG/Free-1/BONUS", "http://ÀX.NET/es/1", "x\n://a.net/fr/\nb?c", "http://x.org/sponsor-a_bonus free", "", None, "http://a.com", "http://blog.adult-x.example.net/en/2", "http://x.org/spam-farms", "http://x.org/%66ree/bet"]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).toPandas().sort_values("page_id").reset_index(drop=True)
+    pages = pd.DataFrame(rows, columns=["page_id", "url"])
+    want = duckdb.query(queries.ORACLES["op3_url_filter"]).df().sort_values("page_id").reset_index(drop=True)
+    assert pages is not None
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    assert got.verdict.tolist()[:4] == ["block"] * 4
+
+
+def test_url_rules_and_weights_are_parameters(spark, tmp_path):
+    path = tmp_path / "terms.tsv"
+    path.write_text("# comment\nOne\t1\ntwo\t1\nthree\t2\nbig\t3\n")
+    weights = url_filter.terms(str(path))
+    assert weights == {"one": 1, "two": 1, "three": 2, "big": 3}
+    df = spark.createDataFrame([(1, "http://a.b/one"), (2, "http://a.b/one/two"), (3, "http://a.b/three"), (None, "http://a.b/big/one"), (5, "http://c.d/x")] * 2, "page_id long, url string")
+    rules = [("allow", "c.d/x"), ("block", "c.d/x")]
+    for limit, blocked in ((2, {2, 3, None, 5}), (3, {None, 5}), (9, {5})):
+        got = url_filter.url_filter(df, rules, weights, limit).collect()
+        assert len(got) == 10 and {r.page_id for r in got if r.verdict == "block"} == blocked
+
+
 def test_main_text():
     page = (
         '<html><head><title>t</title><script>var a="</p>";</script></head><body><header>top</header><nav><ul><li>menu</ul></nav><div class="ad">buy</div>'

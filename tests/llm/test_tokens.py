@@ -82,6 +82,34 @@ def test_digests(spark):
     assert (found[7].n_tokens, found[7].decoded_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_span_digests_against_the_library(spark):
+    rows, df = frame(spark)
+    library = sentencepiece_codec.codec(tokenizers.path(MODEL)).processor
+    want = {}
+    for name, text in rows:
+        text = text or ""
+        spans = [k for p in library.encode(text, return_type="proto").pieces for k in (p.begin, p.end)]
+        want[name] = hashlib.sha256(np.array(spans, "<u4").tobytes()).hexdigest()
+    got = sentencepiece_codec.encode(df.unionByName(df), tokenizers.path(MODEL), digest=True).select("doc_id", "spans_sha256").collect()
+    assert len(got) == 2 * len(rows) and {tuple(r) for r in got} == set(want.items())
+
+
+def test_files_of_repeated_ids_are_in_the_order_of_texts(spark):
+    rows = [(5, "b c"), (5, "a"), (5, None), (5, "é"), (2, "z"), (None, "x"), (None, "w"), (5, "a")]
+    names = [(None, "w"), (None, "x"), (2, "z"), (5, ""), (5, "a"), (5, "a"), (5, "b c"), (5, "é")]
+    library = token_files.words(tokenizers.path(WORDS))
+    want, start = [], 0
+    for name, text in names:
+        ids = np.frombuffer(library.ids(text.encode()), "<u4").tolist() + [2]
+        want.append((name, start, ids))
+        start += len(ids)
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizers.path(WORDS), 2)
+        got = sorted((r.start, r.doc_id, list(r.ids)) for r in token_files.documents(files).collect())
+        assert [(d, s, i) for s, d, i in got] == want
+
+
 def compiled(mapping: dict[bytes, bytes]) -> bytes:
     """A compiled character map: a double-array trie laid out one free block at a time, and its pool."""
     tree, pool = {}, b""
