@@ -162,5 +162,6 @@ def parse_range(col: Column) -> Column:
 
 
 def row_hash(*cols: Column) -> Column:
-    """SHA-256 of the columns' texts joined by bars; a null differs from an empty text."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]), 256)
+    """SHA-256 of the columns' texts, each led by its length and a colon; a null is a minus sign."""
+    parts = [F.coalesce(F.concat(F.char_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols]
+    return F.sha2(F.concat(*parts), 256)

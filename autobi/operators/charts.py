@@ -145,9 +145,9 @@ def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", n: int =
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
-    """A repeatable random sample of n rows: those with the smallest hashes."""
+    """A repeatable random sample of n rows: those whose keys, with the seed before them, have the smallest SHA-256."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256), *keys).limit(n)
 
 
 def scatter(df: DataFrame, x: str, y: str, n: int = 2000, filters: Iterable[Filter] = (), key: str | None = None, seed: int = 42) -> DataFrame:
@@ -157,7 +157,7 @@ def scatter(df: DataFrame, x: str, y: str, n: int = 2000, filters: Iterable[Filt
     if key:
         columns.append(rows[coerce.field(rows, key).name].alias("__key"))
     flat = rows.select(columns).where("x is not null and y is not null")
-    return sample_n(flat, n, ["__key", "x", "y"] if key else ["x", "y"], seed).select("x", "y")
+    return sample_n(flat, n, "__key" if key else ["x", "y"], seed).select("x", "y")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20, filters: Iterable[Filter] = ()) -> DataFrame:

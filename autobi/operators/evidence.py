@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from autobi.functions import coerce
 from autobi.operators import charts, signals
+from autobi.operators.percentiles import quantile, quantiles
 from autobi.operators.profile import profile
 
 
@@ -22,18 +23,19 @@ def quality(df: DataFrame, x: str | None = None, y: str | None = None, exact: bo
     given = ~coerce.is_blank(coerce.label(df, x)) if x else F.lit(False)
     value = coerce.num(df, y) if y else F.lit(None).cast("double")
     rows = df.select(stamp.alias("x"), given.alias("given"), value.alias("y"))
-    skew = F.when(F.stddev_pop("y") > 1e-9, (F.avg("y") - F.percentile("y", F.lit(0.5))) / F.stddev_pop("y")).otherwise(0.0)
+    skew = F.when(F.stddev_pop("y") > 1e-9, (F.avg("y") - quantile(F.col("y"), 0.5, exact)) / F.stddev_pop("y")).otherwise(0.0)
     of_axes = rows.agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count_if(F.col("given") & F.col("x").isNull()).alias("unparsable_dates"), F.count_if(F.col("y") < 0).alias("negative_values"), (F.abs(F.coalesce(skew, F.lit(0.0))) >= 1.5).alias("extreme_skew"))
     return of_all.join(F.broadcast(of_axes))  # one row each
 
 
-def distribution(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def distribution(df: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Count, moments, percentiles, interquartile range, variation and skew of each series' y."""
-    q = lambda p: F.percentile("y", F.lit(p))
+    levels = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
     made = df.where("y is not null").groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("y").alias("mean"), q(0.5).alias("median"), F.stddev_pop("y").alias("stddev"), F.min("y").alias("min"), F.max("y").alias("max"),
-        q(0.05).alias("p05"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.95).alias("p95"),
+        F.count("*").alias("n"), F.avg("y").alias("mean"), quantiles(F.col("y"), list(levels.values()), exact).alias("q"), F.stddev_pop("y").alias("stddev"), F.min("y").alias("min"), F.max("y").alias("max")
     )
+    own = [F.col("q")[k].alias(n) for k, n in enumerate(levels)]
+    made = made.select(*by, "n", "mean", own[0], "stddev", "min", "max", *own[1:])
     s, m = F.col("stddev"), F.col("mean")
     return made.withColumns({"iqr": F.col("p75") - F.col("p25"), "cv": F.when(F.abs(m) > 1e-9, s / F.abs(m)).otherwise(0.0), "skew": F.when(s > 1e-9, (m - F.col("median")) / s).otherwise(0.0)})
 

@@ -21,9 +21,16 @@ def quantile(col: Column, q: float, exact: bool = True) -> Column:
     return F.percentile(col, F.lit(q)) if exact else F.percentile_approx(col, F.lit(q), F.lit(10_000)).cast("double")
 
 
+def quantiles(col: Column, levels: Sequence[float], exact: bool = True) -> Column:
+    """Several quantiles as an array, from one buffer of values."""
+    many = F.array(*[F.lit(q) for q in levels])
+    return F.percentile(col, many) if exact else F.percentile_approx(col, many, F.lit(10_000)).cast("array<double>")
+
+
 def percentiles(df: DataFrame, col: str, by: Sequence[str] = (), levels: dict[str, float] = LEVELS, exact: bool = True) -> DataFrame:
     rows = df.select(*by, coerce.num(df, col).alias("v")).where("v is not null")
-    return rows.groupBy(*by).agg(*[quantile(F.col("v"), q, exact).alias(n) for n, q in levels.items()])
+    found = rows.groupBy(*by).agg(quantiles(F.col("v"), list(levels.values()), exact).alias("q"))
+    return found.select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(levels)])
 
 
 def bucket(df: DataFrame, spec: QuerySpec) -> Column:

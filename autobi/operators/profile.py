@@ -43,14 +43,14 @@ def _inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Col
 def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, table: str | None = None) -> DataFrame:
     """One row for each column: ``column, inferred_type, row_count, null_rate, distinct_count, min, max``.
 
-    One aggregation over all columns, then one row for each. Distinct values are counted exactly by a scan of each
-    column by itself (which reads that column only and combines equal values before they are shuffled), or, not
-    exact, by a sketch in the one aggregation. Blank text counts as null. ``table`` adds its name as a first column.
+    One aggregation over all columns, then one row for each. Distinct values are counted in a second scan by the
+    96 bits of two hashes, all columns at once and equal values combined before they are shuffled, or, not exact, by a
+    sketch in the one aggregation. Blank text counts as null. ``table`` adds its name as a first column.
     """
     rows = df.limit(sample_rows) if sample_rows else df
     apart = exact and not sample_rows
     distinct = F.count_distinct if exact else F.approx_count_distinct
-    figures, shown, counts = [F.count("*").alias("__rows")], [], []
+    figures, shown, hashes = [F.count("*").alias("__rows")], [], []
     for k, f in enumerate(simple_columns(df)):
         c = rows[f.name]
         full = ~coerce.is_blank(c)
@@ -64,17 +64,17 @@ def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, t
         figures += [v.alias(f"{n}_{k}") for n, v in own.items()]
         made = {n: F.col(f"{n}_{k}") for n in own}
         if apart:
-            values = rows.select(c.alias("v")).where(~coerce.is_blank(F.col("v"))).groupBy("v").agg(F.lit(1).alias("one"))
-            counts.append(values.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n"))
-            made["distinct"] = F.col("__distinct")[k]
+            hashes.append(F.when(full, F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("h"), F.hash(c).alias("g"))))
+            made["distinct"] = F.coalesce(F.col("__distinct")[k], F.lit(0)).cast("long")
         total = F.col("__rows")
         kind = _inferred(f.dataType, made, total)
         limits = [F.when(kind == "Number", made[n]).alias(n) for n in ("min", "max")]
         null_rate = F.when(total > 0, 1 - made["full"] / total).otherwise(0.0)
         shown.append(F.struct(F.lit(f.name).alias("column"), kind.alias("inferred_type"), total.alias("row_count"), null_rate.alias("null_rate"), made["distinct"].alias("distinct_count"), *limits))
     whole = rows.agg(*figures)
-    if counts:
-        each = functools.reduce(DataFrame.unionByName, counts).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("__distinct"))
+    if hashes:
+        values = rows.select(F.explode(F.array(*hashes)).alias("v")).where("v is not null").select("v.*").distinct()
+        each = values.groupBy("k").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("__distinct"))
         whole = whole.join(F.broadcast(each))  # one row each
     out = whole.select(F.explode(F.array(*shown)).alias("p")).select("p.*")
     return out.select(F.lit(table).alias("table"), "*") if table else out

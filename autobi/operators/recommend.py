@@ -61,7 +61,7 @@ def score(found: DataFrame, profiles: DataFrame) -> DataFrame:
     side = lambda name: profiles.select("table", F.col("column").alias(name), F.col("role").alias(f"{name}_role"), F.col("distinct_count").alias(f"{name}_distinct"), F.col("null_rate").alias(f"{name}_null"), F.col("row_count").alias(f"{name}_rows"))
     both = found.join(side("x"), ["table", "x"]).join(side("y"), ["table", "y"], "left")
     coverage = F.coalesce(1 - F.col("y_null"), F.lit(0.0))  # a histogram has no second axis
-    share = F.coalesce(F.least(F.lit(1.0), F.col("y_distinct") / F.greatest(F.lit(1), F.col("y_rows"))), F.lit(0.0))
+    share = F.least(F.lit(1.0), F.coalesce(F.col("y_distinct") / F.greatest(F.lit(1), F.col("y_rows")), F.lit(0.0)))  # least() passes over nulls
     low = F.col("x_distinct") <= F.greatest(F.lit(20), F.floor(F.col("x_rows") * 0.05))
     summed = F.coalesce(F.col("agg").isin("sum", "avg"), F.lit(False))
     base = lambda k: F.create_map(*[F.lit(v) for c, b in BASE.items() for v in (c, b[k])])[F.col("chart")]
@@ -81,7 +81,9 @@ def score(found: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def recommend(profiles: DataFrame, compat: bool = False) -> DataFrame:
     """At most twelve charts for each table, best first: ``table, rank, chart, x, y, agg, bin, score, impact``."""
-    known = roles(profiles, compat).persist()  # a row for each column of each table, looked up several times
+    spark = profiles.sparkSession
+    # A row for each column of each table, as many as the schemas hold: it is looked up several times, profiled once.
+    known = spark.createDataFrame(roles(profiles, compat).toArrow())
     scored = score(candidates(known), known)
     rank = F.row_number().over(Window.partitionBy("table").orderBy(F.desc("score"), F.desc("impact"), F.asc("generation")))
     bars = F.row_number().over(Window.partitionBy("table", "chart").orderBy("generation"))

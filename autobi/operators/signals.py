@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autobi.operators import charts
+from autobi.operators.percentiles import quantiles
 
 # Limits between the classes.
 FLAT, STRONG, CALM, WILD = 0.06, 0.35, 0.15, 0.45
@@ -44,11 +45,11 @@ def volatility(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return moments(df, by).select(*by, kind.alias("volatility"), F.when(kind == "High", 0.35).when(kind == "Medium", 0.2).otherwise(0.1).alias("volatility_strength"))
 
 
-def fences(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def fences(df: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """``n, mean, stddev, lo, hi``: what lies outside is an outlier. Fences are 1.5 interquartile ranges out, or
     3 standard deviations where that range is about zero."""
-    q = lambda p: F.percentile("y", F.lit(p))
-    made = df.where("y is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("stddev"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    made = df.where("y is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("stddev"), quantiles(F.col("y"), (0.25, 0.75), exact).alias("q"))
+    made = made.withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]})
     iqr = F.col("q3") - F.col("q1")
     far = F.when(iqr > 1e-9, F.col("q1") - 1.5 * iqr).when(F.col("stddev") > 1e-9, F.col("mean") - 3 * F.col("stddev"))
     near = F.when(iqr > 1e-9, F.col("q3") + 1.5 * iqr).when(F.col("stddev") > 1e-9, F.col("mean") + 3 * F.col("stddev"))

@@ -77,12 +77,14 @@ def preset(name: str, df: DataFrame | None = None, metric: str | None = None) ->
 def what_if_summary(compared: DataFrame, drivers: int = 3) -> DataFrame:
     """One row: mean, sum and largest change, change of spread and slope over the dimensions, and main drivers."""
     indexed = charts.with_index(compared, (), "dimension")
-    ranked = indexed.withColumn("rank", F.row_number().over(charts.over((), F.desc(F.abs("delta")), F.asc("dimension"))))
     slope = lambda c: F.coalesce(F.regr_slope(c, "i"), F.lit(0.0))
-    texts = F.sort_array(F.collect_list(F.when(F.col("rank") <= drivers, F.struct("rank", F.concat("dimension", F.lit(": "), coerce.fmt(F.col("delta"))).alias("text")))))
-    return ranked.agg(
+    figures = indexed.agg(
         F.avg("delta").alias("mean_delta"), F.sum("delta").alias("sum_delta"), F.max("delta").alias("max_delta"),
         (F.stddev_pop("simulated") - F.stddev_pop("baseline")).alias("stddev_change"),
         (slope("simulated") - slope("baseline")).alias("slope_change"),
-        F.array_join(F.transform(texts, lambda t: t["text"]), "; ").alias("drivers"),
     )
+    size = F.abs(F.col("delta"))
+    first = compared.orderBy(F.desc(size), "dimension").limit(drivers)
+    text = F.struct((-size).alias("size"), "dimension", F.concat("dimension", F.lit(": "), coerce.fmt(F.col("delta"))).alias("text"))
+    named = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda t: t["text"]), "; ").alias("drivers"))
+    return figures.join(F.broadcast(named))  # one row each

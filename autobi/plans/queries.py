@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,24 @@ query(
     f"WITH {NUMBERED} SELECT series, x, round(y, 5) AS y, round(CASE WHEN i >= 7 THEN avg(y) OVER (PARTITION BY series ORDER BY x ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END, 5) AS trailing_mean FROM pts",
     5,
 )(lambda t: charts.trailing_mean(daily(t), 7, by=["series"]))
+query(
+    "line_capped",
+    """WITH d AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS x, sum(o_totalprice) AS v FROM orders GROUP BY 1), c AS (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS x FROM d),
+    n AS (SELECT c.x, v, row_number() OVER (ORDER BY c.x) - 1 AS i, count(*) OVER () AS n FROM c LEFT JOIN d ON d.x = c.x) SELECT x::TIMESTAMP AS x, round(v, 2) AS value FROM n WHERE i % greatest(1, ceil(n / 2000.0)::BIGINT) = 0""",
+    2,
+)(lambda t: charts.chart(t("orders"), QuerySpec("line", "o_orderdate", "o_totalprice", "day", "sum")))
+query("chart_overridden", "SELECT o_orderpriority AS series, date_trunc('year', o_orderdate)::TIMESTAMP AS x, max(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")(
+    lambda t: charts.chart(t("orders"), QuerySpec("line", "o_orderdate", "o_totalprice", "day", "sum").replace(bin="year", agg="max", series="o_orderpriority", filters=F_ORDERS), gaps="none")
+)
+query("row_ids", "SELECT count(*) AS rows, count(*) AS numbers, TRUE AS rising FROM lineitem")(
+    lambda t: tables.with_row_id(t("lineitem")).agg(F.count("*").alias("rows"), F.count_distinct("row_id").alias("numbers"), (F.min("row_id") >= 0).alias("rising"))
+)
+query(
+    "sample_spread",
+    f"""WITH {NUMBERED}, want AS (SELECT DISTINCT series, round_even(k * (n - 1) / 39.0::DOUBLE, 0)::BIGINT AS i FROM (SELECT DISTINCT series, n FROM pts), range(40) r(k))
+    SELECT p.series, x, round(y, 2) AS y FROM pts p LEFT JOIN want w ON w.series = p.series AND w.i = p.i WHERE n <= 40 OR w.i IS NOT NULL""",
+    2,
+)(lambda t: evidence.aggregated_sample(daily(t), ["series"], 40).unionByName(evidence.aggregated_sample(daily(t), ["series"], 40, sensitive=True)))
 query("top_series", "SELECT o_orderpriority AS series, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, series LIMIT 3", 2)(lambda t: charts.top_series(daily(t), 3, value="y"))
 
 # ---- parsing and formatting --------------------------------------------------------------------------------
@@ -129,6 +148,56 @@ query(
     )
 )
 
+
+
+def more_scalars(t) -> DataFrame:
+    """Numbers and dates written as text, and numbers that stand for times, read and written."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    low = F.floor(price / 1000) * 1000
+    label = F.when(k % 2 == 0, F.format_string("[%d, %d)", low, low + 1000)).otherwise(F.format_string("%d - %d", low + 1000, low))
+    word = F.element_at(F.array(*[F.date_format("o_orderdate", x) for x in ("dd-MM-yyyy", "yyyy/MM/dd", "yyyyMMdd")], F.lit("12 May")), (k % 4 + 1).cast("int"))
+    rows = t("orders").select("o_orderkey", "o_orderpriority", price, F.format_number(price, 2).alias("text"), label.alias("label"), word.alias("word"), F.when(k % 3 == 0, k + 1_600_000_000).when(k % 3 == 1, (k + 1_600_000_000) * 1000).otherwise(k).alias("number"))
+    limits = coerce.parse_range(F.col("label"))
+    return rows.select(
+        "o_orderkey", coerce.num(rows, "text", strict=True).alias("strict"), coerce.ts_from_number(F.col("number")).alias("stamp"), coerce.looks_like_date(F.col("o_orderpriority")).alias("dashed"), coerce.looks_like_date(F.col("word")).alias("date_like"),
+        coerce.is_date_word(F.col("word")).alias("date_word"), coerce.fmt(F.col("o_totalprice")).alias("two"), coerce.fmt(F.col("o_totalprice") / 4, 4, trim=True).alias("trimmed"), coerce.fmt(F.col("o_totalprice") / 700_001, 1, percent=True).alias("percent"),
+        limits["lo"].alias("lo"), limits["hi"].alias("hi"),
+    )
+
+
+query(
+    "scalar_functions_more",
+    """SELECT o_orderkey, round(o_totalprice, 2) AS strict, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE make_timestamp((o_orderkey + 1600000000) * 1000000) END AS stamp, contains(o_orderpriority, '-') AS dashed, o_orderkey % 4 <> 3 AS date_like,
+    o_orderkey % 4 <> 3 AS date_word, printf('%.2f', o_totalprice) AS two, rtrim(rtrim(printf('%.4f', o_totalprice / 4), '0'), '.') AS trimmed, printf('%.1f', o_totalprice / 700001 * 100) || '%' AS percent,
+    floor(o_totalprice / 1000) * 1000::DOUBLE AS lo, floor(o_totalprice / 1000) * 1000::DOUBLE + 1000 AS hi FROM orders""",
+)(more_scalars)
+
+
+def from_csv(t) -> DataFrame:
+    """Orders written as a CSV file, ingested with inferred types, and summed up."""
+    spark = t("orders").sparkSession
+    file, table = tables.scratch(spark), tables.scratch(spark)
+    t("orders").write.option("header", True).csv(file)
+    rows = tables.ingest_csv(spark, file, table).select("rows")
+    kinds = spark.read.parquet(table).agg(
+        F.count("o_totalprice").alias("prices"), F.round(F.sum("o_totalprice") / F.count("*"), 4).alias("mean_price"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count_distinct("o_orderpriority").alias("priorities"), F.max("o_orderkey").cast("long").alias("top")
+    )
+    return rows.join(F.broadcast(kinds))  # one row each
+
+
+query("csv_ingest", "SELECT count(*) AS rows, count(o_totalprice) AS prices, round(sum(o_totalprice) / count(*), 4) AS mean_price, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_orderpriority) AS priorities, max(o_orderkey) AS top FROM orders")(from_csv)
+
+
+def bad_csv(t) -> DataFrame:
+    """Events as lines of text, every tenth too short: skipped by a scan, padded by a tolerant one."""
+    line = F.when(F.col("event_id") % 10 == 0, F.concat_ws(",", "event_id", "user_id")).otherwise(F.concat_ws(",", "event_id", "user_id", "event_type", "value"))
+    file = tables.scratch(t("events").sparkSession)
+    t("events").select(line.alias("value")).write.option("lineSep", "\n").text(file)
+    schema = "event_id string, user_id string, event_type string, value string"
+    scans = [tables.scan_csv(t("events").sparkSession, file, schema, tolerant=x, header=False).agg(F.lit(x).alias("tolerant"), F.count("*").alias("rows"), F.count("event_type").alias("types")) for x in (False, True)]
+    return scans[0].unionByName(scans[1])
+
+
 # ---- bars, scatter, histograms -----------------------------------------------------------------------------
 
 query("bar_top_parts", "SELECT l_partkey::VARCHAR AS category, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1 ORDER BY value DESC, category LIMIT 20", 2)(lambda t: charts.bar(t("lineitem"), "l_partkey", "l_extendedprice"))
@@ -141,25 +210,26 @@ query(
     SELECT c.category, s.series, round(coalesce(p.value, 0), 2) AS value FROM (SELECT DISTINCT category FROM p) c CROSS JOIN s LEFT JOIN p ON p.category = c.category AND p.series = s.series""",
     2,
 )(lambda t: charts.bar(t("orders"), "o_custkey", "o_totalprice", series="o_orderpriority"))
-query("scatter_sample")(lambda t: charts.scatter(t("part"), "p_size", "p_retailprice", 500, key="p_partkey"))
+query("scatter_sample", "SELECT x, y FROM (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part ORDER BY sha256('42:' || p_partkey) LIMIT 500)")(lambda t: charts.scatter(t("part"), "p_size", "p_retailprice", 500, key="p_partkey"))
 
 
 def histogram_sql(table: str, column: str, bins: int) -> str:
     return f"""WITH s AS (SELECT min({column})::DOUBLE AS low, max({column})::DOUBLE AS high FROM {table}),
     f AS (SELECT *, CASE WHEN high - low < 1e-4 THEN 1 ELSE {bins} END AS bins FROM s), w AS (SELECT *, (high - low) / bins AS width FROM f),
     c AS (SELECT CASE WHEN bins = 1 THEN 0 ELSE least(floor(({column} - low) / width), bins - 1) END::INTEGER AS bin, count(*) AS n FROM {table}, w WHERE {column} IS NOT NULL GROUP BY 1)
-    SELECT b::INTEGER AS bin, round(low + b * width, 4) AS lo, round(CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END, 4) AS hi, coalesce(n, 0)::BIGINT AS count
+    SELECT b::INTEGER AS bin, round(low + b * width, 4) AS lo, round(CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END, 4) AS hi, coalesce(n, 0)::BIGINT AS count,
+    printf('[%.2f, %.2f)', low + b * width, CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END) AS label
     FROM w, range({bins}) r(b) LEFT JOIN c ON c.bin = b WHERE b < bins"""
 
 
-query("histogram_price", histogram_sql("orders", "o_totalprice", 20))(lambda t: charts.histogram(t("orders"), "o_totalprice").drop("label"))
-query("histogram_constant", histogram_sql("(SELECT l_linenumber FROM lineitem WHERE l_linenumber = 1)", "l_linenumber", 20))(lambda t: charts.histogram(t("lineitem"), "l_linenumber", filters=(Filter("l_linenumber", "eq", (1,)),)).drop("label"))
+query("histogram_price", histogram_sql("orders", "o_totalprice", 20))(lambda t: charts.histogram(t("orders"), "o_totalprice"))
+query("histogram_constant", histogram_sql("(SELECT l_linenumber FROM lineitem WHERE l_linenumber = 1)", "l_linenumber", 20))(lambda t: charts.histogram(t("lineitem"), "l_linenumber", filters=(Filter("l_linenumber", "eq", (1,)),)))
 
 # ---- filters -----------------------------------------------------------------------------------------------
 
 
 def kept(name: str, table: str, key: str, where: str, *conditions: Filter) -> None:
-    query(name, f"SELECT {key} FROM {table} WHERE {where}")(lambda t: filters.apply(t(table), conditions).select(key))
+    query(name, f"SELECT {key} FROM {table} WHERE {where}")(lambda t: filters.apply(t(table), conditions).select(key.split(", ")))
 
 
 kept("filter_between_multi", "orders", "o_orderkey", "o_totalprice BETWEEN 1000 AND 50000 OR o_totalprice BETWEEN 200000 AND 250000", Filter("o_totalprice", "between", (1000, 50000, 200000, 250000)))
@@ -168,10 +238,15 @@ kept("filter_in", "orders", "o_orderkey", "o_orderstatus IN ('F', 'P')", Filter(
 kept("filter_or_chain", "orders", "o_orderkey", "(o_orderstatus = 'P' OR o_totalprice > 300000) AND o_custkey < 700", Filter("o_orderstatus", "eq", ("P",)), Filter("o_totalprice", "gt", (300000,), "or"), Filter("o_custkey", "lt", (700,)))
 kept("filter_date_gte", "orders", "o_orderkey", "o_orderdate >= TIMESTAMP '1997-06-01'", Filter("o_orderdate", "gte", ("1997-06-01",)))
 kept("filter_not_eq", "events", "event_id", "event_type <> 'click' AND value <= 50", Filter("event_type", "not_eq", ("click",)), Filter("value", "lte", (50,)))
+# Literals as text, as requests carry them: compared in the column's own type.
+kept("filter_text_literal", "lineitem", "l_orderkey, l_linenumber", "l_orderkey > 3000 AND l_linenumber IN (1, 3) AND l_quantity >= 10.5 AND l_shipdate < TIMESTAMP '1997-06-01'", Filter("l_orderkey", "gt", ("3,000",)), Filter("l_linenumber", "in", ("1", "3", "2.5")), Filter("l_quantity", "gte", ("10.5",)), Filter("l_shipdate", "lt", ("1997-06-01",)))
+kept("filter_text_between", "orders", "o_orderkey", "o_orderkey BETWEEN 101 AND 500 OR o_orderkey BETWEEN 1000 AND 1100", Filter("o_orderkey", "between", ("100.5", "500.9", "1000", "1.1e3")))
+kept("filter_text_beyond", "orders", "o_orderkey", "o_custkey < 300", Filter("o_orderkey", "lt", ("99999999999999999999",)), Filter("o_custkey", "lt", ("299.5",)), Filter("o_orderkey", "not_eq", ("0.5",)))
 query("drop_values", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")(lambda t: filters.drop_values(t("orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"]).select("o_orderkey"))
-query("search_any_column", "SELECT c_custkey FROM customer WHERE c_custkey::VARCHAR LIKE '%11%' OR lower(c_name) LIKE '%11%' OR c_nationkey::VARCHAR LIKE '%11%' OR lower(c_mktsegment) LIKE '%11%'")(lambda t: filters.search(t("customer"), "11").select("c_custkey"))
+query("search_any_column", "SELECT c_custkey FROM customer WHERE c_custkey::VARCHAR LIKE '%11%' OR lower(c_name) LIKE '%11%' OR c_nationkey::VARCHAR LIKE '%11%' OR c_acctbal::VARCHAR LIKE '%11%' OR lower(c_mktsegment) LIKE '%11%'")(lambda t: filters.search(t("customer"), "11").select("c_custkey"))
+query("search_dates", "SELECT o_orderkey FROM orders WHERE o_orderkey::VARCHAR LIKE '%7-1%' OR o_custkey::VARCHAR LIKE '%7-1%' OR lower(o_orderstatus) LIKE '%7-1%' OR o_totalprice::VARCHAR LIKE '%7-1%' OR o_orderdate::VARCHAR LIKE '%7-1%' OR lower(o_orderpriority) LIKE '%7-1%'")(lambda t: filters.search(t("orders"), "7-1").select("o_orderkey"))
 query("group_by_guard", "SELECT count(*) AS rows, count(DISTINCT o_orderpriority) AS distinct, count(DISTINCT o_orderpriority) <= least(50, greatest(20, floor(count(*) * 0.05))) AS allowed FROM orders")(lambda t: filters.guard_group_by(t("orders"), "o_orderpriority"))
-query("row_hashes", "SELECT c_custkey, sha256(concat_ws('|', coalesce(c_name, '\\N'), coalesce(c_mktsegment, '\\N'))) AS h FROM customer")(lambda t: t("customer").select("c_custkey", coerce.row_hash(F.col("c_name"), F.col("c_mktsegment")).alias("h")))
+query("row_hashes", "SELECT c_custkey, sha256(concat(coalesce(length(c_name) || ':' || c_name, '-'), coalesce(length(c_mktsegment) || ':' || c_mktsegment, '-'))) AS h FROM customer")(lambda t: t("customer").select("c_custkey", coerce.row_hash(F.col("c_name"), F.col("c_mktsegment")).alias("h")))
 
 # ---- percentiles -------------------------------------------------------------------------------------------
 
@@ -187,11 +262,14 @@ query("has_multi", "SELECT max(n) > 1 AS multi FROM (SELECT count(*) AS n FROM o
 # ---- what-if -----------------------------------------------------------------------------------------------
 
 
-def whatif_sql(source: str, dim: str, metric: str, agg: str, simulated: str, keep: str = "TRUE", final: str = "SELECT dimension, round(baseline, 2) AS baseline, round(simulated, 2) AS simulated, round(delta, 2) AS delta, round(delta_percent, 2) AS delta_percent FROM d") -> str:
-    return f"""WITH src AS (SELECT {dim}::VARCHAR AS dimension, {metric}::DOUBLE AS m, * FROM {source}),
-    b AS (SELECT dimension, {agg}(m)::DOUBLE AS baseline FROM src GROUP BY 1), s AS (SELECT dimension, {agg}({simulated})::DOUBLE AS simulated FROM src WHERE {keep} GROUP BY 1),
-    c AS (SELECT coalesce(b.dimension, s.dimension) AS dimension, coalesce(baseline, 0) AS baseline, coalesce(simulated, 0) AS simulated FROM b FULL JOIN s ON b.dimension = s.dimension),
-    d AS (SELECT *, simulated - baseline AS delta, CASE WHEN abs(baseline) < 1e-7 THEN NULL ELSE (simulated - baseline) / abs(baseline) * 100 END AS delta_percent FROM c)
+SHOWN = "SELECT dimension, round(baseline, 2) AS baseline, round(simulated, 2) AS simulated, round(delta, 2) AS delta, round(delta_percent, 2) AS delta_percent FROM d"
+
+
+def whatif_sql(source: str, dim: str, metric: str, agg: str, simulated: str, keep: str = "TRUE", final: str = SHOWN) -> str:
+    """Both sides in one aggregation over the rows, the simulated one by a filter."""
+    return f"""WITH rows_ AS (SELECT *, {metric}::DOUBLE AS m, {dim} || '' AS dimension FROM {source}),
+    sides AS (SELECT dimension, coalesce({agg}(m), 0)::DOUBLE AS baseline, coalesce({agg}({simulated}) FILTER ({keep}), 0)::DOUBLE AS simulated FROM rows_ GROUP BY dimension),
+    d AS (SELECT *, simulated - baseline AS delta, 100 * (simulated - baseline) / CASE WHEN abs(baseline) >= 1e-7 THEN abs(baseline) END AS delta_percent FROM sides)
     {final}"""
 
 
@@ -222,12 +300,12 @@ query(
         *SHIP,
         final=""", e AS (SELECT *, row_number() OVER (ORDER BY dimension) - 1 AS i, row_number() OVER (ORDER BY abs(delta) DESC, dimension) AS rank FROM d)
         SELECT round(avg(delta), 2) AS mean_delta, round(sum(delta), 2) AS sum_delta, round(max(delta), 2) AS max_delta, round(stddev_pop(simulated) - stddev_pop(baseline), 2) AS stddev_change,
-        round(regr_slope(simulated, i) - regr_slope(baseline, i), 2) AS slope_change FROM e""",
+        round(regr_slope(simulated, i) - regr_slope(baseline, i), 2) AS slope_change, string_agg(dimension || ': ' || printf('%.2f', delta), '; ' ORDER BY rank) FILTER (rank <= 3) AS drivers FROM e""",
     ),
     2,
-)(lambda t: whatif.what_if_summary(clamped(t)).drop("drivers"))
+)(lambda t: whatif.what_if_summary(clamped(t)))
 query("whatif_cap_p95", "SELECT quantile_disc(o_totalprice, 0.95) AS cap FROM orders")(lambda t: whatif.cap_at_p95(t("orders"), "o_totalprice"))
-query("top_deltas", whatif_sql(*SHIP, final="SELECT dimension, round(baseline, 2) AS baseline, round(simulated, 2) AS simulated, round(delta, 2) AS delta, round(delta_percent, 2) AS delta_percent FROM d ORDER BY abs(coalesce(d.delta_percent, d.delta)) DESC, dimension LIMIT 5"), 2)(lambda t: whatif.top_deltas(clamped(t), 5))
+query("top_deltas", whatif_sql(*SHIP, final=SHOWN + " ORDER BY abs(coalesce(d.delta_percent, d.delta)) DESC, dimension LIMIT 5"), 2)(lambda t: whatif.top_deltas(clamped(t), 5))
 query(
     "compare_tables",
     """WITH a AS (SELECT c_mktsegment AS dimension, avg(c_acctbal) AS v FROM customer WHERE c_nationkey < 12 AND c_mktsegment <> 'BUILDING' GROUP BY 1), b AS (SELECT c_mktsegment AS dimension, avg(c_acctbal) AS v FROM customer WHERE c_nationkey >= 12 AND c_mktsegment <> 'MACHINERY' GROUP BY 1),
@@ -238,21 +316,24 @@ query(
 # ---- row browser and facets --------------------------------------------------------------------------------
 
 FACETS = (Filter("o_orderstatus", "eq", ("F",)), Filter("o_orderpriority", "in", ("1-URGENT", "2-HIGH")), Filter("o_totalprice", "gt", (50000,)))
-query("browse_page", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY customer.c_custkey LIMIT 25 OFFSET 25")(lambda t: browse.browse(t("customer").drop("c_acctbal"), (Filter("c_mktsegment", "eq", ("BUILDING",)),), number=2, size=25, key="c_custkey"))
-query("browse_sorted_search", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer WHERE c_custkey::VARCHAR LIKE '%7%' OR lower(c_name) LIKE '%7%' OR c_nationkey::VARCHAR LIKE '%7%' OR lower(c_mktsegment) LIKE '%7%' ORDER BY c_mktsegment DESC, customer.c_custkey LIMIT 50")(
-    lambda t: browse.browse(t("customer").drop("c_acctbal"), search="7", rules=[("c_mktsegment", "desc")], key="c_custkey")
+query("browse_page", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY customer.c_custkey LIMIT 25 OFFSET 25")(lambda t: browse.browse(t("customer"), (Filter("c_mktsegment", "eq", ("BUILDING",)),), number=2, size=25, key="c_custkey"))
+query("browse_sorted_search", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey::VARCHAR LIKE '%7%' OR lower(c_name) LIKE '%7%' OR c_nationkey::VARCHAR LIKE '%7%' OR c_acctbal::VARCHAR LIKE '%7%' OR lower(c_mktsegment) LIKE '%7%' ORDER BY c_mktsegment DESC, customer.c_custkey LIMIT 50")(
+    lambda t: browse.browse(t("customer"), search="7", rules=[("c_mktsegment", "desc")], key="c_custkey")
 )
 query("page_info", "SELECT count(*) AS rows, ceil(count(*) / 50.0)::BIGINT AS pages, count(*) > 100000 AS truncated FROM orders")(lambda t: browse.page_info(t("orders")))
 
 
-def stats_sql(table: str, column: str, number: str, date: str, kind: str) -> str:
-    full = f"coalesce(trim({column}::VARCHAR), '') <> ''"
-    return f"SELECT count(*) AS rows, count(*) FILTER (NOT ({full})) AS blanks, count(DISTINCT {column}) FILTER ({full}) AS distinct, count(*) FILTER ({full} AND {number}) AS numbers, count(*) FILTER ({full} AND {date}) AS dates, '{kind}' AS kind FROM {table}"
+def stats_sql(table: str, column: str) -> str:
+    """Counts by what the values read as, and the kind they lead to."""
+    text, full = f"{column}::VARCHAR", f"coalesce(trim({column}::VARCHAR), '') <> ''"
+    return f"""SELECT *, CASE WHEN rows > blanks AND numbers >= 0.9 * (rows - blanks) THEN 'Number' WHEN rows > blanks AND dates >= 0.9 * (rows - blanks) THEN 'Date' WHEN "distinct" <= 50 THEN 'Category' ELSE 'String' END AS kind FROM (
+    SELECT count(*) AS rows, count(*) FILTER (NOT ({full})) AS blanks, count(DISTINCT {column}) FILTER ({full}) AS "distinct", count(*) FILTER ({full} AND try_cast({text} AS DOUBLE) IS NOT NULL) AS numbers,
+    count(*) FILTER ({full} AND try_cast({text} AS TIMESTAMP) IS NOT NULL) AS dates FROM {table})"""
 
 
-query("field_stats_num", stats_sql("lineitem", "l_quantity", "TRUE", "FALSE", "Number"))(lambda t: browse.field_stats(t("lineitem"), "l_quantity"))
-query("field_stats_text", stats_sql("customer", "c_mktsegment", "FALSE", "FALSE", "Category"))(lambda t: browse.field_stats(t("customer"), "c_mktsegment"))
-query("field_stats_date", stats_sql("events", "ts", "FALSE", "TRUE", "Date"))(lambda t: browse.field_stats(t("events"), "ts"))
+query("field_stats_num", stats_sql("lineitem", "l_quantity"))(lambda t: browse.field_stats(t("lineitem"), "l_quantity"))
+query("field_stats_text", stats_sql("customer", "c_mktsegment"))(lambda t: browse.field_stats(t("customer"), "c_mktsegment"))
+query("field_stats_date", stats_sql("events", "ts"))(lambda t: browse.field_stats(t("events"), "ts"))
 query("top_values", "SELECT p_brand AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY count DESC, value LIMIT 12")(lambda t: browse.top_values(t("part"), "p_brand"))
 query("top_values_others", "WITH v AS (SELECT p_type AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY count DESC, value LIMIT 3) SELECT * FROM v UNION ALL SELECT 'Others', (SELECT count(*) FROM part) - (SELECT sum(count) FROM v)::BIGINT AS rest WHERE rest > 0")(lambda t: browse.with_others(browse.top_values(t("part"), "p_type", 3), browse.field_stats(t("part"), "p_type")))
 RANGES = "w AS (SELECT *, (high - low) / 8 AS width FROM s), c AS (SELECT least(floor((v - low) / width), 7)::INTEGER AS bin, min(v) AS lo, max(v) AS hi, count(*) AS count FROM src, w GROUP BY 1 ORDER BY count DESC, bin LIMIT 8)"
@@ -264,30 +345,54 @@ query(
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct FROM orders WHERE {w}" for c, w in (("o_custkey", f"{_S} AND {_P} AND {_T}"), ("o_orderstatus", f"{_P} AND {_T}"), ("o_orderpriority", f"{_S} AND {_T}"))),
 )(lambda t: browse.facet_distinct(t("orders"), FACETS, ["o_custkey", "o_orderstatus", "o_orderpriority"]))
 query("facet_values", f"SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE {_S} AND {_T} GROUP BY 1 ORDER BY count DESC, value LIMIT 12")(lambda t: browse.facet_values(t("orders"), FACETS, "o_orderpriority"))
-query("page_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 0.0::DOUBLE AS null_rate, count(DISTINCT {c}) AS distinct FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")))(lambda t: browse.page_stats(t("nation")))
+query("page_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') / count(*), 4)::DOUBLE AS null_rate, count(DISTINCT {c}) AS distinct FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")))(lambda t: browse.page_stats(t("nation")))
 query("rows_behind_point", "SELECT * FROM orders WHERE o_orderpriority = '3-MEDIUM' ORDER BY o_orderkey LIMIT 200", 6)(lambda t: charts.rows_behind(t("orders"), "o_orderpriority", "3-MEDIUM", key="o_orderkey"))
 query("rows_behind_contains", "SELECT * FROM orders WHERE lower(o_orderpriority) LIKE '%medium%' ORDER BY o_orderkey LIMIT 200", 6)(lambda t: charts.rows_behind(t("orders"), "o_orderpriority", "MEDIUM", key="o_orderkey"))
-query("drilldown_histogram", histogram_sql("(SELECT * FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000)", "o_totalprice", 20))(lambda t: charts.chart(t("orders"), charts.drilldown(QuerySpec("histogram", "o_totalprice"), "[100000, 150000)")).drop("label"))
+query("drilldown_histogram", histogram_sql("(SELECT * FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000)", "o_totalprice", 20))(lambda t: charts.chart(t("orders"), charts.drilldown(QuerySpec("histogram", "o_totalprice"), "[100000, 150000)")))
 query("drilldown_bar", "SELECT o_orderstatus AS category, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1", 2)(lambda t: charts.chart(t("orders"), charts.drilldown(QuerySpec("bar", "o_orderstatus", "o_totalprice"), "P")))
 
 # ---- profiles and recommendations --------------------------------------------------------------------------
 
+#: Columns of single values of all tables.
 PROFILED = {
-    "orders": [("o_orderkey", "Number"), ("o_custkey", "Number"), ("o_orderstatus", "Category"), ("o_totalprice", "Number"), ("o_orderdate", "Date"), ("o_orderpriority", "Category")],
-    "customer": [("c_custkey", "Number"), ("c_name", "String"), ("c_nationkey", "Number"), ("c_acctbal", "Number"), ("c_mktsegment", "Category")],
-    "supplier": [("s_suppkey", "Number"), ("s_name", "String"), ("s_nationkey", "Number"), ("s_acctbal", "Number")],
-    "nation": [("n_nationkey", "Number"), ("n_name", "String"), ("n_regionkey", "Number")],
-    "region": [("r_regionkey", "Number"), ("r_name", "Category")],
-    "lineitem": [(c, "Number") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")] + [("l_returnflag", "Category"), ("l_linestatus", "Category"), ("l_shipdate", "Date")],
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "nation": "n_nationkey n_name n_regionkey",
+    "region": "r_regionkey r_name",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+WORDS_SQL = {
+    "bools": f"lower(trim({{c}})) IN ({', '.join(repr(w) for w in coerce.BOOL_WORDS)})",
+    "numbers": r"regexp_full_match(regexp_replace({c}, '[, ]', '', 'g'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')",
+    "dates": r"""(regexp_full_match(trim({c}), '[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}([ T][0-9:.]+)?|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}|[0-9]{{8}}')
+      AND coalesce(try_cast(replace(trim({c}), '/', '-') AS TIMESTAMP), try_strptime(trim({c}), ['%Y%m%d', '%d/%m/%Y', '%m/%d/%Y', '%d-%m-%Y', '%m-%d-%Y'])) IS NOT NULL)""",
 }
 
 
-def profile_sql(table: str, name: str | None = None) -> str:
+def profile_sql(table: str, name: str | None = None, columns: str | None = None) -> str:
+    """Types, null rates and ends, computed from the table's values and their types."""
     parts = []
-    for c, kind in PROFILED[table]:
-        full = f"coalesce(trim({c}::VARCHAR), '') <> ''"
-        ends = f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max" if kind == "Number" else "NULL::DOUBLE AS min, NULL::DOUBLE AS max"
-        parts.append(f"SELECT {f"'{name}' AS \"table\", " if name else ''}'{c}' AS \"column\", '{kind}' AS inferred_type, count(*) AS row_count, round(1 - count(*) FILTER ({full}) / count(*), 4)::DOUBLE AS null_rate, count(DISTINCT {c}) FILTER ({full}) AS distinct_count, {ends} FROM {table}")
+    for c in (columns or PROFILED[table]).split():
+        text = f"{c}::VARCHAR"
+        full = f"coalesce(trim({text}), '') <> ''"
+        words = ", ".join(f"count(*) FILTER ({full} AND {test.format(c=text)}) AS {k}" for k, test in WORDS_SQL.items())
+        parts.append(
+            f"""SELECT {f"'{name}' AS \"table\", " if name else ''}'{c}' AS "column", inferred_type, row_count, round(1 - f / row_count, 4)::DOUBLE AS null_rate, d AS distinct_count,
+            CASE WHEN inferred_type = 'Number' THEN low END AS min, CASE WHEN inferred_type = 'Number' THEN high END AS max FROM (
+            SELECT *, CASE WHEN f = 0 THEN 'String' WHEN kind IN ('TIMESTAMP', 'DATE') THEN 'Date' WHEN kind = 'BOOLEAN' THEN 'Boolean' WHEN kind <> 'VARCHAR' THEN 'Number' WHEN bools >= 0.9 * f THEN 'Boolean'
+              WHEN dates >= 0.9 * f THEN 'Date' WHEN numbers >= 0.9 * f THEN 'Number' WHEN d <= greatest(20, floor(row_count * 0.05)) THEN 'Category' ELSE 'String' END AS inferred_type FROM (
+            SELECT any_value(typeof({c})) AS kind, count(*) AS row_count, count(*) FILTER ({full}) AS f, count(DISTINCT {c}) FILTER ({full}) AS d, {words},
+              min(try_cast(regexp_replace({text}, '[, ]', '', 'g') AS DOUBLE)) AS low, max(try_cast(regexp_replace({text}, '[, ]', '', 'g') AS DOUBLE)) AS high FROM {table}))"""
+        )
     return " UNION ALL ".join(parts)
 
 
@@ -295,12 +400,31 @@ def profiled(t) -> DataFrame:
     return profile.profile_tables({n: t(n) for n in PROFILED})
 
 
+def texts(t) -> DataFrame:
+    """Orders as they come from a file: all text, with gaps, thousands marks, several date forms and stray words."""
+    k, date = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = F.element_at(F.array(F.date_format(date, "yyyy-MM-dd"), F.date_format(date, "dd/MM/yyyy"), F.date_format(date, "yyyyMMdd")), (k % 3 + 1).cast("int"))
+    return t("orders").select(
+        F.when(k % 7 != 0, forms).alias("day"), F.when(k % 11 == 0, F.lit("  ")).when(k % 13 == 0, F.lit("n/a")).otherwise(F.format_number("o_totalprice", 2)).alias("price"),
+        F.when(k % 5 == 0, F.lit("?")).otherwise(k.cast("string")).alias("mixed"), F.element_at(F.array(F.lit("Yes"), F.lit(" no"), F.lit("1"), F.lit(None)), (k % 4 + 1).cast("int")).alias("flag"),
+        F.when(k % 2 == 0, F.col("o_orderpriority")).alias("priority"), F.lit(None).cast("string").alias("empty"),
+    )
+
+
+TEXTS = """(SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y%m%d') END END AS day,
+CASE WHEN o_orderkey % 11 = 0 THEN '  ' WHEN o_orderkey % 13 = 0 THEN 'n/a' ELSE format('{:,.2f}', o_totalprice) END AS price, CASE WHEN o_orderkey % 5 = 0 THEN '?' ELSE o_orderkey::VARCHAR END AS mixed,
+CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no' WHEN 2 THEN '1' END AS flag, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority, NULL::VARCHAR AS empty FROM orders)"""
+
 query("profile_orders", profile_sql("orders"))(lambda t: profile.profile(t("orders")))
+query("profile_texts", profile_sql(TEXTS, columns="day price mixed flag priority empty"))(lambda t: profile.profile(texts(t)))
+query("field_stats_texts", " UNION ALL ".join(
+    f"""SELECT '{c}' AS field, count(*) AS rows, count(*) FILTER (coalesce(trim({c}), '') = '') AS blanks, count(DISTINCT {c}) FILTER (trim({c}) <> '') AS distinct FROM {TEXTS}""" for c in ("day", "price", "flag"))
+)(lambda t: functools.reduce(DataFrame.unionByName, [browse.field_stats(texts(t), c).select(F.lit(c).alias("field"), "rows", "blanks", "distinct") for c in ("day", "price", "flag")]))
 query("profile_all_tables", " UNION ALL ".join(profile_sql(n, n) for n in PROFILED))(profiled)
 query(
     "profile_top_values",
-    " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS count FROM customer GROUP BY ALL ORDER BY count DESC, value LIMIT 3)" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")),
-)(lambda t: profile.profile_top_values(t("customer").drop("c_acctbal")))
+    " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS count FROM customer GROUP BY ALL ORDER BY count DESC, value LIMIT 3)" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
+)(lambda t: profile.profile_top_values(t("customer")))
 ROLES = """r AS (SELECT *, CASE WHEN inferred_type = 'Date' THEN 'Time' WHEN regexp_matches(lower("column"), '(^|_)(id|key)($|_)|key$') OR (inferred_type IN ('String', 'Category') AND distinct_count >= 0.98 * row_count) THEN 'Id'
 WHEN inferred_type = 'Number' THEN 'Measure' ELSE 'Category' END AS role FROM p)"""
 
@@ -319,15 +443,31 @@ def recommend_sql(*names: str) -> str:
       UNION ALL SELECT me."table", 'bar', gr."column", me."column", 'sum', NULL, gr.k * 10 + me.k + 100 FROM gr JOIN me ON me."table" = gr."table" AND me.k <= 2
       UNION ALL SELECT "table", 'histogram', "column", NULL, NULL, NULL, k + 200 FROM me WHERE k <= 2
       UNION ALL SELECT "table", 'scatter', x, y, NULL, NULL, o + 300 FROM (SELECT a."table", a."column" AS x, b."column" AS y, row_number() OVER (PARTITION BY a."table" ORDER BY a.k, b.k) AS o FROM me a JOIN me b ON a."table" = b."table" AND a.k < b.k) WHERE o <= 2),
-    f AS (SELECT c.*, xr.inferred_type = 'Date' AS dated, xr.distinct_count <= greatest(20, floor(xr.row_count * 0.05)) AS low, coalesce(1 - yr.null_rate, 0) AS cover, coalesce(least(1, yr.distinct_count / greatest(1, yr.row_count)), 0) AS share
+    f AS (SELECT c.*, xr.inferred_type = 'Date' AS dated, xr.distinct_count <= greatest(20, floor(xr.row_count * 0.05)) AS low, coalesce(1 - yr.null_rate, 0) AS cover, least(1, coalesce(yr.distinct_count / greatest(1, yr.row_count), 0)) AS share
       FROM c JOIN r xr ON xr."table" = c."table" AND xr."column" = c.x LEFT JOIN r yr ON yr."table" = c."table" AND yr."column" = c.y),
     s AS (SELECT *, round_even(greatest(0, least(1, {base(0)} + 0.18 * cover + 0.22 * share + CASE WHEN dated THEN 0.14 WHEN low THEN 0.08 ELSE -0.04 END + CASE WHEN agg IN ('sum', 'avg') THEN 0.05 ELSE 0 END)), 3)::DOUBLE AS score,
       round_even(greatest(0, least(1, {base(1)} + 0.3 * share + 0.15 * cover + CASE WHEN dated THEN 0.08 WHEN low THEN 0.04 ELSE 0 END)), 3)::DOUBLE AS impact FROM f)
     SELECT "table", chart, x, y, agg, bin, score, impact, row_number() OVER (PARTITION BY "table" ORDER BY score DESC, impact DESC, g)::INTEGER AS rank FROM s QUALIFY rank <= 12"""
 
 
+query(
+    "column_roles_compat",
+    f"""WITH p AS ({' UNION ALL '.join(profile_sql(n, n) for n in PROFILED)}) SELECT "table", "column", CASE WHEN inferred_type = 'Date' THEN 'Time' WHEN contains(lower("column"), 'id')
+    OR (inferred_type IN ('String', 'Category') AND distinct_count >= 0.98 * row_count AND row_count > 0) THEN 'Id' WHEN inferred_type = 'Number' THEN 'Measure' ELSE 'Category' END AS role FROM p""",
+)(lambda t: recommend.roles(profiled(t), compat=True).select("table", "column", "role"))
 query("column_roles", f'WITH {roles_sql(*PROFILED)} SELECT "table", "column", inferred_type, role FROM r')(lambda t: recommend.roles(profiled(t)).select("table", "column", "inferred_type", "role"))
 query("recommend_orders", recommend_sql("orders"))(lambda t: recommend.recommend(profile.profile(t("orders"), table="orders")).drop("criteria"))
+query("recommend_chosen", f"SELECT * FROM ({recommend_sql('orders')}) WHERE chart = 'bar' AND score >= 0.5 AND contains(lower(concat_ws(' ', x, y)), 'price')")(
+    lambda t: recommend.choose(recommend.recommend(profile.profile(t("orders"), table="orders")), "bar", 0.5, "Price", "impact").drop("criteria")
+)
+query(
+    "recommend_criteria",
+    f"""WITH r AS (SELECT * FROM ({recommend_sql('orders')})), p AS ({profile_sql('orders')}), b AS (SELECT r.chart, r.x, r.y, r.agg, px.inferred_type = 'Date' AS timed, px.distinct_count <= greatest(20, floor(px.row_count * 0.05)) AS few,
+      coalesce(1 - py.null_rate, 0) >= 0.95 AS whole, coalesce(py.distinct_count / greatest(1, py.row_count), 0) >= 0.5 AS many FROM r JOIN p px ON px."column" = r.x LEFT JOIN p py ON py."column" = r.y)
+    SELECT chart, x, y, array_to_string(list_filter([CASE WHEN whole THEN 'the measure is almost complete' END, CASE WHEN many THEN 'the measure takes many values' END, CASE WHEN timed THEN 'the axis is time' END,
+      CASE WHEN few THEN 'the axis has few values' END, CASE WHEN agg IN ('sum', 'avg') THEN 'rows are summarised' END], lambda c: c IS NOT NULL)[1:5], '; ') AS criteria FROM b""",
+)(lambda t: recommend.recommend(profile.profile(t("orders"), table="orders")).select("chart", "x", "y", F.array_join("criteria", "; ").alias("criteria")))
+query("profile_sample", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", least(700, count(*)) AS row_count FROM orders" for c in PROFILED["orders"].split()))(lambda t: profile.profile(t("orders"), sample_rows=700).select("column", "row_count"))
 query("recommend_all_tables", recommend_sql(*PROFILED))(lambda t: recommend.recommend(profiled(t)).drop("criteria"))
 
 # ---- signals -----------------------------------------------------------------------------------------------
@@ -358,8 +498,9 @@ query(
 
 query(
     "quality_table",
-    """WITH d AS (SELECT greatest(count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_totalprice), count(DISTINCT o_orderdate)) AS d, count(*) AS n FROM orders)
-    SELECT n AS rows, 6::BIGINT AS columns, 0.0::DOUBLE AS mean_null_rate, 0.0::DOUBLE AS max_null_rate, 'o_custkey' AS max_null_column, round(greatest(0, 1 - d / n), 4)::DOUBLE AS duplicate_rate_est,
+    f"""WITH nulls AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') / count(*) AS r FROM orders" for c in PROFILED['orders'].split())}),
+    d AS (SELECT greatest(count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_totalprice), count(DISTINCT o_orderdate)) AS d, count(*) AS n FROM orders)
+    SELECT n AS rows, (SELECT count(*) FROM nulls) AS columns, (SELECT avg(r) FROM nulls) AS mean_null_rate, (SELECT max(r) FROM nulls) AS max_null_rate, (SELECT c FROM nulls ORDER BY r DESC, c LIMIT 1) AS max_null_column, round(greatest(0, 1 - d / n), 4)::DOUBLE AS duplicate_rate_est,
     (SELECT min(o_orderdate) FROM orders) AS first, (SELECT max(o_orderdate) FROM orders) AS last, 0::BIGINT AS unparsable_dates, (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS negative_values,
     (SELECT abs((avg(o_totalprice) - median(o_totalprice)) / stddev_pop(o_totalprice)) >= 1.5 FROM orders) AS extreme_skew FROM d""",
 )(lambda t: evidence.quality(t("orders"), "o_orderdate", "o_totalprice"))
@@ -428,6 +569,36 @@ query(
 )(lambda t: forecast.forecast(monthly(t), "moving_average", 12, "month", BY))
 
 
+query("segments_hidden", f"SELECT 'segment' AS segment, total, share_percent, stability, outlier, rank FROM ({ORACLES['segment_breakdown']})", 2)(lambda t: evidence.segment_breakdown(daily(t), sensitive=True))
+
+
+def every_fact(t) -> DataFrame:
+    """Facts of series, segments, forecasts and a scenario."""
+    return evidence.all_facts(
+        evidence.facts(evidence.series_stats(daily(t), BY), "TS", ["slope", "volatility_ratio"], "y", BY),
+        evidence.facts(evidence.segment_breakdown(daily(t)), "SEG", ["total", "share_percent"], None, ["segment"]),
+        evidence.facts(forecast.forecast(monthly(t), "naive", 12, "month", BY), "FORECAST", ["forecast", "upper"], None, ["series", "step"]),
+        evidence.facts(whatif.what_if_summary(clamped(t)), "SCN", ["mean_delta", "sum_delta", "max_delta"], "price"),
+    )
+
+
+def facts_sql(source: str, prefix: str, values: list[str], name: str | None = None, keys: tuple[str, ...] = ()) -> str:
+    ident = "".join(f" || '_' || regexp_replace(upper({k}::VARCHAR), '[^A-Z0-9]', '_', 'g')" for k in keys)
+    words = "".join(f" || ' ' || {k}::VARCHAR" for k in keys)
+    named, of = (f"_{name.upper()}", f" of {name}") if name else ("", "")
+    return " UNION ALL ".join(f"SELECT '{prefix}_{v.upper()}{named}'{ident} AS evidence_id, '{v}{of}'{words} AS claim, {v} AS value FROM ({ORACLES[source]})" for v in values)
+
+
+query(
+    "evidence_facts_all",
+    " UNION ALL ".join([
+        facts_sql("timeseries_stats", "TS", ["slope", "volatility_ratio"], "y", ("series",)), facts_sql("segment_breakdown", "SEG", ["total", "share_percent"], None, ("segment",)),
+        facts_sql("forecast_naive", "FORECAST", ["forecast", "upper"], None, ("series", "step")), facts_sql("whatif_conclusion", "SCN", ["mean_delta", "sum_delta", "max_delta"], "price"),
+    ]),
+    2,
+)(every_fact)
+
+
 def known_facts(t) -> DataFrame:
     rows = t("events").select(F.col("event_type").alias("series"), F.col("value").alias("y"))
     return evidence.all_facts(
@@ -463,6 +634,9 @@ query(
 )(lambda t: questions.classify_intent(t("conversations")).select("conv_id", "turn", "intent", "chart"))
 
 
+query("csv_bad_rows", "SELECT FALSE AS tolerant, count(*) FILTER (event_id % 10 <> 0) AS rows, count(*) FILTER (event_id % 10 <> 0) AS types FROM events UNION ALL SELECT TRUE, count(*), count(*) FILTER (event_id % 10 <> 0) FROM events")(bad_csv)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly revenue of finished orders with empty months shown."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,16 +12,16 @@ from pyspark.sql import types as T
 from autobi.functions import coerce
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, tolerant: bool = False) -> DataFrame:
-    """A CSV file with a header row; rows of the wrong width are skipped, or padded and cut if tolerant.
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, tolerant: bool = False, header: bool = True) -> DataFrame:
+    """A CSV file, by default with a header row; rows of the wrong width are skipped, or padded and cut if tolerant.
 
-    Without a schema all columns are text, to be typed by :func:`typed`.
+    Without a schema all columns are text named by the header, to be typed by :func:`typed`.
     """
     if schema is None:
         names = spark.read.option("header", True).csv(path).columns
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     mode = "PERMISSIVE" if tolerant else "DROPMALFORMED"
-    return spark.read.options(header=True, mode=mode, columnPruning=False).schema(schema).csv(path)
+    return spark.read.options(header=header, mode=mode, columnPruning=False).schema(schema).csv(path)
 
 
 def typed(df: DataFrame, profile_rows: list) -> DataFrame:
@@ -47,6 +50,14 @@ def ingest_csv(spark: SparkSession, path: str, out: str, mode: str = "errorifexi
     return spark.read.parquet(out).agg(F.count("*").alias("rows")).select(F.lit(out).alias("path"), "rows")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (a temporary one of this machine under a local master)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found or f'file://{tempfile.mkdtemp()}'}/scratch-{uuid.uuid4().hex}"
+
+
 def expired(df: DataFrame, access: str, as_of: str, days: int) -> DataFrame:
     """Rows last used at least ``days`` days before ``as_of``."""
     return df.where(coerce.ts(df, access) <= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days)))

@@ -1,8 +1,11 @@
 import datetime as dt
+from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from autobi.functions import coerce
 from autobi.operators import browse, charts, evidence, filters, forecast, percentiles, profile, questions, recommend, redact, signals, whatif
 from autobi.plans.spec import Filter, QuerySpec, Step
 from tests.helpers import day, rows, series
@@ -326,3 +329,53 @@ def test_redaction_and_intents(spark):
     texts = ["Show the TREND", "any anomaly?", "break it down", "hello", None]
     got = questions.classify_intent(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert [r.intent for r in got.collect()] == ["Trend", "Outliers", "Breakdown", "Compare", "Compare"]
+
+
+# ---- text literals, hashes, plans
+
+
+def brute_text_filter(values, op, literals):
+    numbers = [Fraction(x.replace(",", "")) for x in literals]
+    tests = {
+        "eq": lambda v: v == numbers[0], "not_eq": lambda v: v != numbers[0], "gt": lambda v: v > numbers[0], "gte": lambda v: v >= numbers[0], "lt": lambda v: v < numbers[0], "lte": lambda v: v <= numbers[0],
+        "in": lambda v: v in numbers, "between": lambda v: any(a <= v <= b for a, b in zip(numbers[::2], numbers[1::2])),
+    }
+    return [k for k, v in enumerate(values) if v is not None and tests[op](Fraction(v))]
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "decimal(10,2)", "decimal(4,0)"])
+def test_text_literals_compare_exactly(spark, kind):
+    if kind == "bigint":
+        values = [None, 0, -1, 5, 2**53, 2**53 + 1, 2**63 - 1, -(2**63)]
+    else:
+        values = [None, *([0, -1, 5, 6, 7, 127, -128] if "decimal" not in kind else [Decimal("0"), Decimal("-1.25") if "2" in kind else Decimal(-1), Decimal(5), Decimal("5.01") if "2" in kind else Decimal(6)])]
+    rows = spark.createDataFrame(list(enumerate(values)), f"k int, v {kind}")
+    literals = ["5", "5.5", "5.010", "-1.25", "-0.001", "9,007,199,254,740,992", "9007199254740993", "1e3", "99999999999999999999999", "-99999999999999999999999", "9223372036854775807", "-9223372036854775808", "-10000000000", "128"]
+    for op in ("eq", "not_eq", "gt", "gte", "lt", "lte"):
+        for x in literals:
+            got = [r.k for r in filters.apply(rows, [Filter("v", op, (x,))]).select("k").collect()] if op in ("eq", "lt", "gte") or x in literals[:6] else None
+            assert got is None or sorted(got) == brute_text_filter(values, op, [x]), (op, x)
+    for op, x in (("in", ("5", "5.5", "-1")), ("between", ("4.5", "6.5", "-1.5", "-0.5"))):
+        assert sorted(r.k for r in filters.apply(rows, [Filter("v", op, x)]).collect()) == brute_text_filter(values, op, x)
+
+
+def test_text_literals_reach_the_scan(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    conditions = {
+        "GreaterThan(l_orderkey,3000)": Filter("l_orderkey", "gt", ("3,000",)), "(l_linenumber": Filter("l_linenumber", "in", ("1", "3")),
+        "LessThanOrEqual(l_quantity,10.5)": Filter("l_quantity", "lte", ("10.5",)), "GreaterThanOrEqual(l_shipdate": Filter("l_shipdate", "gte", ("1997-06-01",)),
+    }
+    for part, condition in conditions.items():
+        plan = filters.apply(items, [condition])._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters") :].split("]")[0].replace("IsNotNull(", "")
+        assert part in pushed, (part, pushed)
+
+
+def test_row_hashes_tell_columns_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("\\N", "c"), (None, "c"), ("", "c"), ("1:a", "c"), ("-", "c")], "a string, b string")
+    assert rows.select(coerce.row_hash(F.col("a"), F.col("b"))).distinct().count() == 7
+
+
+def test_profile_scans_a_table_twice(spark):
+    plan = profile.profile(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Python" not in plan
