@@ -322,7 +322,7 @@ def _plain(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, least_open: float = 0.75, min_pages: int = 3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, least_open: float = 0.8, min_pages: int = 3) -> DataFrame:
     """``(page_id, url, text)`` of each page.
 
     Text of a block has its character references decoded, runs of white space made one space and its ends
