@@ -257,6 +257,8 @@ query("percentile_by_month", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP
 query("percentile_by_category", "SELECT l_returnflag AS bucket, l_linestatus AS series, round(quantile_cont(l_extendedprice, 0.95), 4) AS percentile FROM lineitem GROUP BY ALL")(lambda t: percentiles.percentile_by(t("lineitem"), QuerySpec("bar", "l_returnflag", "l_extendedprice", series="l_linestatus"), 0.95))
 query("percentile_view_line", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS x, round(sum(o_totalprice), 4) AS value, round(quantile_cont(o_totalprice, 0.1), 4) AS percentile FROM orders GROUP BY 1")(lambda t: percentiles.percentile_view(t("orders"), QuerySpec("line", "o_orderdate", "o_totalprice", "month"), 0.1))
 query("percentile_view_overall", "SELECT c_mktsegment AS category, round(sum(c_acctbal), 2) AS value, (SELECT round(quantile_cont(c_acctbal, 0.9), 2) FROM customer) AS percentile FROM customer GROUP BY 1", 2)(lambda t: percentiles.percentile_view(t("customer"), QuerySpec("bar", "c_mktsegment", "c_acctbal"), 0.9, "overall"))
+query("percentile_view_bar", "SELECT o_orderpriority AS category, round(sum(o_totalprice), 2) AS value, round(quantile_cont(o_totalprice, 0.9), 2) AS percentile FROM orders GROUP BY 1", 2)(lambda t: percentiles.percentile_view(t("orders"), QuerySpec("bar", "o_orderpriority", "o_totalprice"), 0.9))
+query("percentile_view_single", "SELECT c_custkey::VARCHAR AS category, round(c_acctbal, 2) AS value, (SELECT round(quantile_cont(c_acctbal, 0.95), 2) FROM customer) AS percentile FROM customer ORDER BY c_acctbal DESC, category LIMIT 20", 2)(lambda t: percentiles.percentile_view(t("customer"), QuerySpec("bar", "c_custkey", "c_acctbal"), 0.95))
 query("has_multi", "SELECT max(n) > 1 AS multi FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")(lambda t: percentiles.has_multi(t("orders"), "o_custkey"))
 
 # ---- what-if -----------------------------------------------------------------------------------------------
@@ -305,6 +307,9 @@ query(
     2,
 )(lambda t: whatif.what_if_summary(clamped(t)))
 query("whatif_cap_p95", "SELECT quantile_disc(o_totalprice, 0.95) AS cap FROM orders")(lambda t: whatif.cap_at_p95(t("orders"), "o_totalprice"))
+query("whatif_presets", " UNION ALL ".join(f"SELECT '{n}' AS preset, * FROM ({whatif_sql('orders', 'o_orderpriority', 'o_totalprice', 'sum', v)})" for n, v in (("plus_10", "m * 1.1::DOUBLE"), ("minus_10", "m * 0.9::DOUBLE"), ("cap_p95", "least(m, (SELECT quantile_disc(o_totalprice, 0.95) FROM orders))"))), 2)(
+    lambda t: functools.reduce(DataFrame.unionByName, [whatif.what_if(t("orders"), "o_totalprice", "o_orderpriority", "sum", whatif.preset(n, t("orders"), "o_totalprice")).select(F.lit(n).alias("preset"), "*") for n in ("plus_10", "minus_10", "cap_p95")])
+)
 query("top_deltas", whatif_sql(*SHIP, final=SHOWN + " ORDER BY abs(coalesce(d.delta_percent, d.delta)) DESC, dimension LIMIT 5"), 2)(lambda t: whatif.top_deltas(clamped(t), 5))
 query(
     "compare_tables",
