@@ -213,12 +213,17 @@ query(
 query("scatter_sample", "SELECT x, y FROM (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part ORDER BY sha256('42:' || p_partkey) LIMIT 500)")(lambda t: charts.scatter(t("part"), "p_size", "p_retailprice", 500, key="p_partkey"))
 
 
+def fixed(x: str, digits: int) -> str:
+    """A double as text with so many digits, halves of its shortest decimal form rounded up."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(36, 16), {digits})::DECIMAL(36, {digits})::VARCHAR"
+
+
 def histogram_sql(table: str, column: str, bins: int) -> str:
     return f"""WITH s AS (SELECT min({column})::DOUBLE AS low, max({column})::DOUBLE AS high FROM {table}),
     f AS (SELECT *, CASE WHEN high - low < 1e-4 THEN 1 ELSE {bins} END AS bins FROM s), w AS (SELECT *, (high - low) / bins AS width FROM f),
     c AS (SELECT CASE WHEN bins = 1 THEN 0 ELSE least(floor(({column} - low) / width), bins - 1) END::INTEGER AS bin, count(*) AS n FROM {table}, w WHERE {column} IS NOT NULL GROUP BY 1)
     SELECT b::INTEGER AS bin, round(low + b * width, 4) AS lo, round(CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END, 4) AS hi, coalesce(n, 0)::BIGINT AS count,
-    printf('[%.2f, %.2f)', low + b * width, CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END) AS label
+    '[' || {fixed('low + b * width', 2)} || ', ' || {fixed('CASE WHEN b = bins - 1 THEN high ELSE low + (b + 1) * width END', 2)} || ')' AS label
     FROM w, range({bins}) r(b) LEFT JOIN c ON c.bin = b WHERE b < bins"""
 
 
@@ -300,9 +305,9 @@ query(
     "whatif_conclusion",
     whatif_sql(
         *SHIP,
-        final=""", e AS (SELECT *, row_number() OVER (ORDER BY dimension) - 1 AS i, row_number() OVER (ORDER BY abs(delta) DESC, dimension) AS rank FROM d)
+        final=f""", e AS (SELECT *, row_number() OVER (ORDER BY dimension) - 1 AS i, row_number() OVER (ORDER BY abs(delta) DESC, dimension) AS rank FROM d)
         SELECT round(avg(delta), 2) AS mean_delta, round(sum(delta), 2) AS sum_delta, round(max(delta), 2) AS max_delta, round(stddev_pop(simulated) - stddev_pop(baseline), 2) AS stddev_change,
-        round(regr_slope(simulated, i) - regr_slope(baseline, i), 2) AS slope_change, string_agg(dimension || ': ' || printf('%.2f', delta), '; ' ORDER BY rank) FILTER (rank <= 3) AS drivers FROM e""",
+        round(regr_slope(simulated, i) - regr_slope(baseline, i), 2) AS slope_change, string_agg(dimension || ': ' || {fixed('delta', 2)}, '; ' ORDER BY rank) FILTER (rank <= 3) AS drivers FROM e""",
     ),
     2,
 )(lambda t: whatif.what_if_summary(clamped(t)))
