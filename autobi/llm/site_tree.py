@@ -42,8 +42,12 @@ NAMES = frozenset(
     " menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related replies reply respond"
     " share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Parts of a class name that say nothing of its own; a name counts as declared if its other parts all are in NAMES.
-PLAIN = frozenset("area bar block bottom box container content inner item items left link links list main outer page panel primary right row section secondary site slot text top unit wrap wrapper".split())
+#: Parts of a class name that say nothing of its own, and first parts that speak of something elsewhere.
+PLAIN = frozenset(
+    "area articles bar block bottom box button buttons container content form inner item items left link links list main outer page panel post posts primary right row section secondary site slot stories text top"
+    " unit wrap wrapper".split()
+)
+ABOUT = frozenset("has is no with without".split())
 #: Elements told apart from their like by their place; those of running text (p, li, td, ...) are one node.
 PLACED = frozenset("div section ul ol dl table menu details fieldset figure article aside header".split())
 #: An element that starts while one of these is open closes it, unless the second kind lies between.
@@ -63,7 +67,7 @@ def declared_out(tag: str, names: list[str], role: str, inside: int) -> bool:
     known = lambda part: part in NAMES or (part == "header" and not inside)
     for name in names:
         parts = [part for part in re.split("[-_]+", name) if part and part not in PLAIN]
-        if parts and all(map(known, parts)):
+        if parts and known(parts[-1]) and parts[0] not in ABOUT:  # the last part is what a thing is
             return True
     return False
 

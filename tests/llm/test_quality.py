@@ -102,6 +102,19 @@ def test_classifier_holds_out(spark):
     assert right > 0.97
 
 
+def test_evidence_by_brute_force(spark):
+    """The weights of all features of each text, one by one."""
+    docs, labels = corpus(spark, 200)
+    docs = docs.unionByName(docs.limit(1).withColumn("text", F.lit("x" * 60 + " Idiot! idiot,").cast("string"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    chosen = quality_gbt.labelled_sample(docs, labels.withColumn("good", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")), "good")
+    weights, offset = quality_bayes.train(chosen.select("text", "good"))
+    assert np.count_nonzero(weights) > 3
+    got = quality_bayes.evidence(docs, weights, offset, "doc_id", "text", "source", "lang").collect()
+    want = [(r.doc_id, sum(weights[p] for p in quality_bayes.features(r.text and r.text.encode())) + offset) for r in docs.collect()]
+    key = lambda x: (x[0], round(x[1], 6))
+    assert np.allclose(sorted(map(key, ((r.doc_id, r.evidence) for r in got))), sorted(map(key, want)))
+
+
 def test_posteriors_shrink_and_leave_the_document_out(spark):
     rows = [(i, "big", "a", 2.0) for i in range(50)] + [(100, "small", "a", -5.0), (101, "small", "b", 4.0)]
     got = {r.doc_id: r for r in quality_bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")).collect()}
@@ -280,6 +293,10 @@ def test_declared_names_are_whole_and_main_goes_before_articles():
     assert site_tree.main_text("<article class='comment'>reader</article><article><div class='notice-board'>Real</div><p class='ad-hoc'>also real</p></article>") == "Real\nalso real"
     assert site_tree.main_text("<main><p>Real text</p></main><section><article>Teaser card</article></section>") == "Real text"
     assert site_tree.main_text("<article><p>a</p><div class='comment-list'>x</div><div class='cookie-notice'>y</div><div class='site-footer'>z</div></article>") == "a"
+    out = ["article-comments", "related-posts", "comment_form", "x share-buttons", "main-menu", "ad-slot"]
+    kept = ["has-sidebar", "no_comments", "advertising-law", "menu-planning", "postcard", "content", "site-main", "noticeboard"]
+    for name in out + kept:
+        assert site_tree.main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == ("a" if name in out else "a\nb"), name
 
 
 def test_importance_alone_tells_menus_from_text(spark):
