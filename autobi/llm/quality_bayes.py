@@ -117,11 +117,11 @@ def train(labelled: DataFrame, clear: float = CLEAR, least: int = LEAST, most: i
 class Scores(dict):
     """Evidence of each distinct word."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: dict[int, float]):
+        self.weight = weights.get
 
     def __missing__(self, word: bytes) -> float:
-        found = float(self.weights[buckets(word)].sum())
+        found = sum([self.weight(b, 0.0) for b in buckets(word)])
         if len(word) <= LONGEST:
             if len(self) >= KEPT:
                 self.clear()
@@ -130,13 +130,14 @@ class Scores(dict):
 
 
 def evidence(docs: DataFrame, weights: np.ndarray, offset: float, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), offset))  # BUCKETS numbers: a fixed size
+    used = np.flatnonzero(weights)
+    sent = docs.sparkSession.sparkContext.broadcast((dict(zip(used.tolist(), weights[used].tolist())), offset))  # at most FEATURES and the switches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, offset = sent.value
-        scores = Scores(weights)
+        scores, weight = Scores(weights), weights.get
         for batch in batches:
-            found = [sum(map(scores.__getitem__, set((t or b"").split()))) + float(weights[switches(t)].sum()) + offset for t in common.binary(batch.column(3))]
+            found = [sum(map(scores.__getitem__, set((t or b"").split()))) + sum([weight(k, 0.0) for k in switches(t)]) + offset for t in common.binary(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["doc_id", "host", "path", "evidence"])
 
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
