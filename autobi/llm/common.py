@@ -20,8 +20,14 @@ HOME = str(Path(__file__).resolve().parents[2])
 
 
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and keep what they get at once small."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", HOME)
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's default; a session that sets another size keeps it
+        spark.conf.set(BATCH, "16m")
+
+
+#: Bytes that a Python worker gets at once. At Spark's 64 MB two workers and their copies outgrow a small executor.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,22 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
 #: Where each frame returned by :func:`materialize` lies.
 _TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _WRITTEN: list[str] = []
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of Spark while a table is written: its shuffle files are deleted when it is done.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def materialize(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Spark is told to delete the shuffle files of this write when it is done, as nothing reads them again.
+    Spark deletes the shuffle files of this write when it is done, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.options(compression="zstd", **options).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(path)
     _TABLES[found] = path
     _WRITTEN.append(path)
@@ -95,6 +104,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(rows: DataFrame, text_col: str = "text", each: int = 64 << 20) -> int:
+    """How many ranges hashes and ids are dealt to: one for each 64 MB of text, at least as many as Spark's setting."""
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(partitions(rows.sparkSession), -(-size // each))
+
+
 def binary(column) -> list:
     """An Arrow string column as a list of UTF-8 bytes (null: None)."""
     import pyarrow as pa

@@ -24,7 +24,7 @@ from autobi.llm import common
 MARK = "▁".encode()
 CUT = re.compile(rb" +[^ ]*")
 #: Entries kept by each worker before it starts anew, and the longest cut that is kept.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 200_000, 64
 
 
 class CharMap:

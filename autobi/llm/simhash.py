@@ -65,6 +65,19 @@ def ring(segments: int, distance: int) -> tuple[list[tuple[int, int]], list[int]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])], budget, sum(b == 0 for b in budget)
 
 
+def chains(boxes: np.ndarray, total: np.ndarray, most: int) -> np.ndarray:
+    """Which rows may differ in at most ``total`` bits, judged by chains of up to ``most`` segments on a ring.
+
+    ``boxes`` holds the differing bits of each segment. Some chain must keep, at each of its lengths, within its share of
+    the total.
+    """
+    open_, run = np.ones(boxes.shape, bool), np.zeros(boxes.shape, np.int64)
+    for length in range(1, most + 1):
+        run += np.roll(boxes, 1 - length, axis=1)
+        open_ &= run <= (length / boxes.shape[1] * total)[:, None] + 1e-9
+    return open_.any(axis=1)
+
+
 def _mask(parts: list[tuple[int, int]]) -> int:
     value = sum(((1 << w) - 1) << s for s, w in parts)
     return value - (1 << 64) if value >> 63 else value

@@ -408,18 +408,12 @@ def _hashed(opened: DataFrame, ranges: int) -> DataFrame:
     return opened.where("kind = 'passage'").select("range", "rows").repartition(ranges, "range").select("rows").mapInArrow(run, BLOBS)
 
 
-def _ranges(rows: DataFrame, each: int = 64 << 20) -> int:
-    """How many ranges hashes and ids are dealt to: one for each 64 MB of text, at least as many as Spark's setting."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(common.partitions(rows.sparkSession), -(-size // each))
-
-
 def repeats(rows: DataFrame, length: int = 100, gram: int = 32, limits: Limits = Limits()) -> DataFrame:
     """``(key, spans)`` for rows ``(doc_id, text)`` with unique ids and no nulls: for each document with repeats,
     (start, passages) pairs of the passages to remove."""
     if not gram <= length < gram + 255:
         raise ValueError("a passage must be as long as a trigger, and less than 255 bytes longer")
-    ranges = _ranges(rows)
+    ranges = common.ranges(rows)
     sorted_ = common.materialize(_sorted_phrases(_parsed(rows, length, gram, ranges, limits), ranges, limits))
     spans = common.materialize(_by_document(sorted_.where("kind = 'open'"), ranges))
     opened = common.materialize(_opened(rows, spans, length, gram, ranges, limits))

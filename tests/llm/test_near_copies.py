@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from autobi.llm import near_copies
+from autobi.llm import near_copies, simhash
 from tests.llm.test_dedup import TEXTS, frame, words
 
 
@@ -79,6 +80,16 @@ def test_groups_equal_brute_force_with_common_passages_and_chains(spark, hot):
     assert {r.doc_id: r.component_id for r in got} == groups
 
 
+def test_chains_never_lose_a_pair_within_the_distance():
+    rng = np.random.default_rng(3)
+    boxes = rng.integers(0, 9, (4000, 16)) * (rng.random((4000, 16)) < 0.5)
+    total = rng.integers(0, 60, 4000).astype(float)
+    whole = boxes.sum(axis=1) <= total
+    stay = [simhash.chains(boxes, total, k) for k in (1, 4, 16)]
+    assert all((s | ~whole).all() for s in stay) and (stay[2] == whole).all()
+    assert stay[0].sum() > stay[1].sum() > whole.sum() > 500
+
+
 def test_repeats_null_ids_and_empty_tables(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (3, "other text here now"), (None, "a b c d"), (None, "nobody else has this text")]
     kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_copies.keep_one(frame(spark, rows)).collect())
