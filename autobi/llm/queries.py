@@ -5,6 +5,7 @@ from __future__ import annotations
 from autobi.llm.decontaminate import op10_decontamination
 from autobi.llm.merkle import op13_merkle
 from autobi.llm.neighbours import op12_neighbours
+from autobi.llm.prefix_trie import op11_prefix_trie
 from autobi.llm.quality_bayes import op5_quality_classifier
 from autobi.llm.quality_gbt import op7_quality_rules
 from autobi.llm.sentencepiece_codec import op4_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_site_tree": op9_site_tree,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_neighbours": op12_neighbours,
     "op13_merkle": op13_merkle,
 }
