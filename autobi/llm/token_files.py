@@ -159,13 +159,19 @@ def _letter(word: bytes) -> bool:
 
 
 class Words(dict):
-    """Ids of words cut at white space, as little-endian 32-bit bytes; the tokenizer never joins across it."""
+    """Ids of words cut at white space, as little-endian 32-bit bytes; the tokenizer never joins across it.
 
-    def __init__(self, path: str):
+    The strings of special tokens (which hold no white space) get those tokens' ids, as by the library; with
+    ``plain_specials`` they are ordinary text.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [] if plain_specials else [t.content.encode() for t in added]
         self.cut = self.tokenizer.model.tokenize
         self.plain = byte_letters()
         cuts = self.tokenizer.to_str()
@@ -194,16 +200,18 @@ class Words(dict):
     def ids(self, text: bytes | None) -> bytes:
         text = text or b""
         if b"\xcc" not in text and b"\xcd" not in text:  # no mark that composes with a basic letter: A-Z can be lowered first
-            text = text.lower()
+            low = text.lower()
+            if low == text or not any(s in low for s in self.specials):  # nor may that make a special token's string
+                text = low
         return b"".join(map(self.__getitem__, text.split()))
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, plain_specials: bool = False) -> Words:
+    return Words(path, plain_specials)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", image_ids: int = IMAGE) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", image_ids: int = IMAGE, plain_specials: bool = False) -> DataFrame:
     """Write the ids of ``docs`` in ascending id order; ``(part, seq, n_docs, n_ids, data)`` of the files.
 
     The tokenizer must drop white space and never join across it (ids are found word by word). Each document
@@ -212,7 +220,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, own, end = TaskContext.get().partitionId(), words(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, own, end = TaskContext.get().partitionId(), words(tokenizer, plain_specials), np.array([end_id], "<u4").tobytes()
         names, lengths, parts, size, before, seq = [], [], [], 0, 0, 0
 
         def out():

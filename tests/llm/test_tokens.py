@@ -189,19 +189,27 @@ def test_blocks_round_trip():
 
 
 def test_words_equal_the_library():
-    own = token_files.Words(tokenizers.path(WORDS))
+    from tokenizers import Tokenizer
+
+    own, library = token_files.Words(tokenizers.path(WORDS)), Tokenizer.from_file(tokenizers.path(WORDS))
+    plain, as_text = token_files.Words(tokenizers.path(WORDS), plain_specials=True), Tokenizer.from_file(tokenizers.path(WORDS))
+    as_text.encode_special_tokens = True
+    assert np.frombuffer(own.ids(b"x <|endoftext|> y"), "<u4").tolist() == [343, 49407, 344]
     rng = random.Random(4)
-    parts = ["J̌", "À", "a", "B", ".", ",", "\x1c", "\x85", " ", "\n", "é", "'s", "don't", "1", "²", "…", "ΣΑΣ", "İ", "<|endoftext|>", "🙂", "　", "ﬁ", "中"]
+    parts = ["J̌", "À", "a", "B", ".", ",", "\x1c", "\x85", " ", "\n", "é", "'s", "don't", "1", "²", "…", "ΣΑΣ", "İ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "🙂", "　", "ﬁ", "中"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
-        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+        for ours, theirs in ((own, library), (plain, as_text)):
+            assert np.frombuffer(ours.ids(text.encode()), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files(spark):
-    rows, df = frame(spark, TEXTS + ["again"])
+    from tokenizers import Tokenizer
+
+    rows, df = frame(spark, TEXTS + ["an <|endoftext|> and <|STARTOFTEXT|>.", "again"])
     rows = rows + [rows[-1]]
     df = df.unionByName(df.where(F.col("text") == "again"))
-    library = token_files.Words(tokenizers.path(WORDS)).tokenizer
+    library = Tokenizer.from_file(tokenizers.path(WORDS))
     files = token_files.write(df, tokenizers.path(WORDS), 2, image_ids=500)
     want, at = [], 0
     for name, text in sorted(rows, key=lambda r: r[0]):
