@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from autobi.llm import near_copies, simhash
+from pyspark.sql import functions as F
 from tests.llm.test_dedup import TEXTS, frame, words
 
 
@@ -80,6 +81,20 @@ def test_groups_equal_brute_force_with_common_passages_and_chains(spark, hot):
     assert {r.doc_id: r.component_id for r in got} == groups
 
 
+def test_texts_that_share_a_passage_meet_in_few_pairs(spark):
+    """84 common and 20 own words each, similarity 0.67: none is linked, and they are not paired off either."""
+    rng = random.Random(11)
+    line = text_of(rng, 84)
+    rows = [(k, " ".join(line + [f"own{k}x{j}" for j in range(20)])) for k in range(1500)]
+    rows += [(5000 + k, " ".join(changed(rng, line + [f"own{k}x{j}" for j in range(20)], 1))) for k in range(40)]
+    df = frame(spark, rows).select(F.col("doc_id").alias("node"), "text")
+    keyed = near_copies._keys(df, 5, 0.8, near_copies._usual(df, 5, 5000))
+    shared = near_copies._shared(keyed, 4, 0.8).join(keyed.select("node", *near_copies.FOLDS), "node")
+    assert near_copies._paired(shared, 0.8).count() < 200
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, rows)).collect()}
+    assert got == {k: k if k < 5000 else k - 5000 for k, _ in rows}
+
+
 def test_chains_never_lose_a_pair_within_the_distance():
     rng = np.random.default_rng(3)
     boxes = rng.integers(0, 9, (4000, 16)) * (rng.random((4000, 16)) < 0.5)
