@@ -81,6 +81,18 @@ def test_groups_equal_brute_force_with_common_passages_and_chains(spark, hot):
     assert {r.doc_id: r.component_id for r in got} == groups
 
 
+def test_fingerprints_of_any_length_bound_the_difference():
+    rng = np.random.default_rng(5)
+    pairs, differ = [], []
+    for size in (3, 200, 500, 2000, 9000):
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: size * 4 // 5], rng.integers(0, 2**63, size // 3).astype(np.uint64)]))
+        pairs.append((near_copies.sketch(np.unique(a)), near_copies.sketch(b)))
+        differ.append(len(np.setxor1d(a, b)))
+    found = {int(k): int(boxes.sum()) for at, rows in near_copies.differing(pairs) for k, boxes in zip(at, rows)}
+    assert all(0.75 * n <= found[k] <= n for k, n in enumerate(differ))
+
+
 def test_texts_that_share_a_passage_meet_in_few_pairs(spark):
     """84 common and 20 own words each, similarity 0.67: none is linked, and they are not paired off either."""
     rng = random.Random(11)
