@@ -207,7 +207,7 @@ def _parsed(docs: DataFrame, length: int, gram: int, ranges: int, limits: Limits
             if size:
                 yield from flush(held)
 
-    return docs.mapInArrow(run, BLOBS)
+    return docs.mapInArrow(common.tidy(run), BLOBS)
 
 
 def _range(doc: np.ndarray, ranges: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def _sorted_phrases(rows: DataFrame, ranges: int, limits: Limits) -> DataFrame:
             if which.any():
                 yield _batch(kind, [0], _split([doc[which], start[which], number[which]], np.zeros(int(which.sum()), np.int64), 1)[1])
 
-    return rows.repartition(ranges, "range").mapInArrow(run, BLOBS)
+    return rows.repartition(ranges, "range").mapInArrow(common.tidy(run), BLOBS)
 
 
 def _by_document(rows: DataFrame, ranges: int) -> DataFrame:
@@ -269,8 +269,8 @@ def _by_document(rows: DataFrame, ranges: int) -> DataFrame:
             part = cut[at : at + 4097]
             yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array([pair[a:b].tobytes() for a, b in zip(part[:-1], part[1:])], pa.binary())], ["key", "spans"])
 
-    sent = rows.select("rows").mapInArrow(send, BLOBS).repartition(ranges, "range").select("rows")
-    return sent.mapInArrow(gather, "key long, spans binary")
+    sent = rows.select("rows").mapInArrow(common.tidy(send), BLOBS).repartition(ranges, "range").select("rows")
+    return sent.mapInArrow(common.tidy(gather), "key long, spans binary")
 
 
 def _opened(docs: DataFrame, spans: DataFrame, length: int, gram: int, ranges: int, limits: Limits) -> DataFrame:
@@ -330,7 +330,7 @@ def _opened(docs: DataFrame, spans: DataFrame, length: int, gram: int, ranges: i
                 yield from passages(held)
 
     found = docs.join(spans, F.col("doc_id") == F.col("key")).select("doc_id", "text", "spans")
-    return found.mapInArrow(send, PARTS)
+    return found.mapInArrow(common.tidy(send), PARTS)
 
 
 def ranks(raw: np.ndarray, length: int) -> np.ndarray:
@@ -392,7 +392,7 @@ def _suffix_sorted(opened: DataFrame, length: int, ranges: int, limits: Limits)
             yield from repeated(held)
 
     rows = opened.where("kind = 'phrase'").select("trigger", "doc", "start", "count", "bytes")
-    return rows.repartition(ranges, "trigger").sortWithinPartitions("trigger").mapInArrow(run, BLOBS)
+    return rows.repartition(ranges, "trigger").sortWithinPartitions("trigger").mapInArrow(common.tidy(run), BLOBS)
 
 
 def _hashed(opened: DataFrame, ranges: int) -> DataFrame:
@@ -405,7 +405,7 @@ def _hashed(opened: DataFrame, ranges: int) -> DataFrame:
         if len(which):
             yield _batch("repeat", [0], _runs(doc[which], start[which]))
 
-    return opened.where("kind = 'passage'").select("range", "rows").repartition(ranges, "range").select("rows").mapInArrow(run, BLOBS)
+    return opened.where("kind = 'passage'").select("range", "rows").repartition(ranges, "range").select("rows").mapInArrow(common.tidy(run), BLOBS)
 
 
 def repeats(rows: DataFrame, length: int = 100, gram: int = 32, limits: Limits = Limits()) -> DataFrame:
@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "runs", "kept"])
 
     rows = docs.join(spans, F.col("__place") == F.col("key"), "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, runs array<struct<begin:long,end:long>>, kept binary")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n_bytes long, runs array<struct<begin:long,end:long>>, kept binary")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = 100, gram: int = 32) -> DataFrame:
@@ -491,7 +491,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     rows = numbered.join(spans, F.col("__place") == F.col("__key"), "left").select(*docs.columns, "__spans")
-    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    return rows.mapInArrow(common.tidy(run), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
