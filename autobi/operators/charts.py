@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from autobi.functions import coerce
 from autobi.operators import filters as fl
+from autobi.operators import scan
 from autobi.plans.spec import Filter, QuerySpec
 
 #: Points of a line, pairs kept for each bar of a grouped chart, and series shown.
@@ -24,7 +25,7 @@ def series_label(df: DataFrame, name: str) -> Column:
 
 
 def over(by: Sequence[str], *order):
-    """A window over each series; all rows are one series if ``by`` is empty (they are aggregated points)."""
+    """A window over each series; all rows are one series if ``by`` is empty (for a few rows, see :mod:`autobi.operators.scan`)."""
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return window.orderBy(*order) if order else window
 
@@ -72,22 +73,41 @@ def fill_gaps(points: DataFrame, bin: str, mode: str = "nulls", by: Sequence[str
 
 def with_index(points: DataFrame, by: Sequence[str] = (), order: str = "x", name: str = "i") -> DataFrame:
     """Place of each point in its series, from 0."""
+    if not by:
+        return scan.index(points, order, name)
     return points.withColumn(name, F.row_number().over(over(by, order)) - 1)
 
 
 def ffill(points: DataFrame, col: str = "y", by: Sequence[str] = (), order: str = "x") -> DataFrame:
     """The last known value of a series where a point has none."""
+    if not by:
+        return scan.last_known(points, col, order)
     window = over(by, order).rowsBetween(Window.unboundedPreceding, 0)
     return points.withColumn(col, F.last(col, ignorenulls=True).over(window))
 
 
 def diff(points: DataFrame, col: str = "y", by: Sequence[str] = (), order: str = "x", name: str = "diff") -> DataFrame:
     """Change from the point before; the first point has none."""
+    if not by:
+        return scan.lagged(points, col, order, "__lag").withColumn(name, F.col(col) - F.col("__lag")).drop("__lag")
     return points.withColumn(name, F.col(col) - F.lag(col).over(over(by, order)))
 
 
 def trailing_mean(points: DataFrame, width: int, col: str = "y", by: Sequence[str] = (), order: str = "x", name: str = "trailing_mean") -> DataFrame:
-    """Mean of the ``width`` points before each point; null where there are fewer."""
+    """Mean of the ``width`` points before each point; null where there are fewer.
+
+    Without series it is the difference of two running sums of what is known, the earlier one looked up by its place.
+    """
+    if not by:
+        known = points.withColumn("__n", F.col(col).isNotNull().cast("int"))
+        rows = scan.running_sum(scan.running_sum(known, "__n", order, "__count", at="__i"), col, order, "__sum")
+        own = rows.withColumns({"__a": F.col("__i") - width - 1, "__b": F.col("__i") - 1})
+        at = rows.select(F.col("__i").alias("__j"), F.struct("__sum", "__count").alias("__at"))
+        for side in "ab":
+            own = own.join(at.withColumnsRenamed({"__j": f"__{side}", "__at": f"__at_{side}"}), f"__{side}", "left")
+        part = lambda f: F.coalesce(F.col(f"__at_b.{f}"), F.lit(0)) - F.coalesce(F.col(f"__at_a.{f}"), F.lit(0))
+        mean = F.when((F.col("__i") >= width) & (part("__count") > 0), part("__sum") / part("__count"))
+        return own.withColumn(name, mean).select(*points.columns, name)
     window = over(by, order)
     mean = F.avg(col).over(window.rowsBetween(-width, -1))
     return points.withColumn(name, F.when(F.row_number().over(window) > width, mean))
@@ -95,15 +115,16 @@ def trailing_mean(points: DataFrame, width: int, col: str = "y", by: Sequence[st
 
 def stride(points: DataFrame, most: int = MAX_POINTS, by: Sequence[str] = (), order: str = "x") -> DataFrame:
     """Every k-th point of a series, the first included, with the smallest k that leaves at most ``most``."""
-    step = F.ceil(F.count("*").over(over(by)) / most)
-    marked = with_index(points, by, order, "__i").withColumn("__step", F.greatest(F.lit(1), step))
+    counted = points.withColumn("__n", F.count("*").over(over(by))) if by else points.join(F.broadcast(points.agg(F.count("*").alias("__n"))))  # one row
+    step = F.ceil(F.col("__n") / most)
+    marked = with_index(counted, by, order, "__i").withColumn("__step", F.greatest(F.lit(1), step)).drop("__n")
     return marked.where(F.col("__i") % F.col("__step") == 0).drop("__i", "__step")
 
 
 def even_sample(points: DataFrame, most: int, by: Sequence[str] = (), order: str = "x") -> DataFrame:
     """Exactly ``most`` evenly spread points of a longer series, its ends included; shorter series stay whole."""
-    n = F.count("*").over(over(by))
-    marked = with_index(points, by, order, "__i").withColumn("__n", n)
+    counted = points.withColumn("__n", F.count("*").over(over(by))) if by else points.join(F.broadcast(points.agg(F.count("*").alias("__n"))))  # one row
+    marked = with_index(counted, by, order, "__i")
     if most < 2:
         return marked.where("__i = 0 or __n <= 1").where(F.lit(most > 0)).drop("__i", "__n")
     gap = (F.col("__n") - 1) / (most - 1)

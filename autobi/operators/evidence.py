@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autobi.functions import coerce
-from autobi.operators import charts, signals
+from autobi.operators import charts, scan, signals
 from autobi.operators.percentiles import quantile, quantiles
 from autobi.operators.profile import profile
 
@@ -62,8 +62,13 @@ def change_points(df: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFram
     them: the sum up to a place is looked up at three places by joins on the place.
     """
     by = list(by)
-    run = charts.over(by, "x").rowsBetween(-(2**63), 0)
-    sized = signals.points(df, by).withColumn("total", F.sum("y").over(run)).withColumn("n", F.count("*").over(charts.over(by))).where("n >= 12")
+    if by:
+        run = charts.over(by, "x").rowsBetween(-(2**63), 0)
+        sized = signals.points(df, by).withColumn("total", F.sum("y").over(run)).withColumn("n", F.count("*").over(charts.over(by))).where("n >= 12")
+    else:
+        known = df.where("y is not null")
+        whole = known.agg(F.count("*").alias("n")).where("n >= 12")
+        sized = scan.running_sum(known, "y", "x", "total", at="i").join(F.broadcast(whole))  # one row
     sized = sized.withColumn("w", F.greatest(F.lit(3), F.least(F.lit(20), F.floor(F.col("n") / 8))).cast("int"))
     sums = sized.select(*by, F.col("i").alias("j"), F.col("total").alias("upto"))
     at = lambda place, name: sums.select(*by, F.col("j").alias(place), F.col("upto").alias(name))
@@ -72,8 +77,9 @@ def change_points(df: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFram
     before = (F.col("sb") - F.coalesce("sa", F.lit(0.0))) / F.col("w")
     after = (F.col("sc") - F.col("sb")) / F.col("w")
     shifted = rows.select(*by, "x", before.alias("before"), after.alias("after"), F.abs(after - before).alias("shift"))
-    rank = F.row_number().over(charts.over(by, F.desc(F.round("shift", 6)), F.asc("x")))
-    return shifted.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = [F.desc(F.round("shift", 6)), F.asc("x")]
+    rank = F.row_number().over(charts.over(by, *best))
+    return (shifted if by else shifted.orderBy(*best).limit(k)).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def share(df: DataFrame, col: str, by: Sequence[str] = ()) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from autobi.functions import coerce
 from autobi.operators import charts
 from autobi.operators import filters as fl
+from autobi.operators.selection import selected
 from autobi.plans.spec import QuerySpec
 
 #: The reference levels.
@@ -27,7 +28,10 @@ def quantiles(col: Column, levels: Sequence[float], exact: bool = True) -> Colum
     return F.percentile(col, many) if exact else F.percentile_approx(col, many, F.lit(10_000)).cast("array<double>")
 
 
-def percentiles(df: DataFrame, col: str, by: Sequence[str] = (), levels: dict[str, float] = LEVELS, exact: bool = True) -> DataFrame:
+def percentiles(df: DataFrame, col: str, by: Sequence[str] = (), levels: dict[str, float] = LEVELS, exact: bool = True, bounded: bool = False) -> DataFrame:
+    """Quantiles of a measure, of each group ``by``; bounded: exact too, with no buffer of a group's values."""
+    if bounded:
+        return selected(df, col, levels, by)
     rows = df.select(*by, coerce.num(df, col).alias("v")).where("v is not null")
     found = rows.groupBy(*by).agg(quantiles(F.col("v"), list(levels.values()), exact).alias("q"))
     return found.select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(levels)])

@@ -77,6 +77,8 @@ def outlier_rows(df: DataFrame, by: Sequence[str] = (), n: int = 5) -> DataFrame
     """The n outliers of each series farthest beyond its fences (in standard deviations where those are the fence)."""
     far = F.row_number().over(charts.over(by, F.desc("distance"), F.asc("x")))
     rows = _marked(df, by).where("out").withColumn("distance", F.when(F.col("by_range"), F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))).otherwise(F.abs(F.col("y") - F.col("mean")) / F.col("stddev")))
+    if not by:
+        rows = rows.orderBy(F.desc("distance"), F.asc("x")).limit(n)
     return rows.withColumn("rank", far).where(F.col("rank") <= n).select(*by, "x", "y", "distance", "rank")
 
 

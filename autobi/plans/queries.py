@@ -74,6 +74,16 @@ DAILY = "daily AS (SELECT o_orderpriority AS series, date_trunc('day', o_orderda
 NUMBERED = f"{DAILY}, pts AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM daily)"
 
 
+def all_daily(t) -> DataFrame:
+    """Totals of orders in progress by day, days without any null: (x, y), one series."""
+    points = charts.time_series(t("orders"), "o_orderdate", "o_totalprice", "day", "sum", filters=(Filter("o_orderstatus", "eq", ("P",)),))
+    return charts.fill_gaps(points, "day", value="value").withColumnRenamed("value", "y")
+
+
+DAILY_ALL = """held AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS x, sum(o_totalprice) AS y FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), cal AS (SELECT unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS x FROM held),
+    daily AS (SELECT c.x::TIMESTAMP AS x, s.y FROM cal c LEFT JOIN held s ON s.x = c.x)"""
+
+
 def gaps_sql(value: str) -> str:
     return f"""WITH {DAILY}, cal AS (SELECT series, unnest(generate_series(min(x), max(x), INTERVAL 1 DAY)) AS x FROM daily GROUP BY series),
     j AS (SELECT c.series, c.x, d.y FROM cal c LEFT JOIN daily d ON d.series = c.series AND d.x = c.x)

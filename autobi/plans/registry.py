@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from autobi.plans import scale_queries  # noqa: F401  registers its queries
 from autobi.plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

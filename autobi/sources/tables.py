@@ -5,29 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from autobi.functions import coerce
+from autobi.sources.dialect import Dialect, detect
 
+#: Truth words that mean yes.
+TRUE_WORDS = ["true", "yes", "1", "t", "y", "sim"]
+#: Files whose splits' starts are broadcast; about 200 bytes for each split.
+FILES = 20_000
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, tolerant: bool = False, header: bool = True) -> DataFrame:
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, tolerant: bool = False, header: bool = True, dialect: Dialect | None = None, broken: str | None = None) -> DataFrame:
     """A CSV file, by default with a header row; rows of the wrong width are skipped, or padded and cut if tolerant.
 
-    Without a schema all columns are text named by the header, to be typed by :func:`typed`.
+    Without a schema all columns are text named by the header, to be typed by :func:`typed`. A ``dialect`` (see
+    :func:`autobi.sources.dialect.detect`) says how the file is written and what its columns are. ``broken`` names a
+    column for the text of rows of the wrong width, null in others (tolerant scans without a schema only).
     """
+    options = {"header": header, "mode": "PERMISSIVE" if tolerant else "DROPMALFORMED", "columnPruning": False}
+    if dialect:
+        options |= {"sep": dialect.delimiter, "quote": dialect.quote, "escape": dialect.quote, "header": dialect.header, "enforceSchema": True}
     if schema is None:
-        names = spark.read.option("header", True).csv(path).columns
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    mode = "PERMISSIVE" if tolerant else "DROPMALFORMED"
-    return spark.read.options(header=header, mode=mode, columnPruning=False).schema(schema).csv(path)
+        names = dialect.columns if dialect else spark.read.option("header", True).csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([broken] if broken else [])]])
+        options |= {"columnNameOfCorruptRecord": broken} if broken else {}
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def typed(df: DataFrame, profile_rows: list) -> DataFrame:
     """Text columns cast to their inferred types (rows of a profile: column, inferred_type)."""
     kinds = {r["column"]: r["inferred_type"] for r in profile_rows}
-    cast = {"Number": lambda n: coerce.num(df, n), "Date": lambda n: coerce.ts(df, n), "Boolean": lambda n: F.lower(F.trim(df[n])).isin("true", "yes", "1", "t", "y", "sim")}
+    cast = {"Number": lambda n: coerce.num(df, n), "Date": lambda n: coerce.ts(df, n), "Boolean": lambda n: F.lower(F.trim(df[n])).isin(TRUE_WORDS)}
     columns = []
     for f in df.schema.fields:
         make = cast.get(kinds.get(f.name, "")) if isinstance(f.dataType, T.StringType) else None
@@ -40,11 +51,29 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_row_number(scan: DataFrame, name: str = "row_id") -> DataFrame:
+    """``scan``, a file source as read, with dense numbers from 1 in the order of files (by path) and of rows in them.
+
+    Rows are counted by split in a first pass; the sums of those counts, one row for each split, are joined to the
+    rows by their split. The numbers are the same for any size of splits.
+    """
+    placed = scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__place", F.monotonically_increasing_id())
+    splits = placed.groupBy("__file", "__block").agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+    ahead = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    out = placed.join(F.broadcast(starts) if len(scan.inputFiles()) <= FILES else starts, ["__file", "__block"])
+    number = F.col("__place") - F.col("__first") + F.col("__start") + 1
+    return out.select(number.alias(name), *scan.columns)
+
+
 def ingest_csv(spark: SparkSession, path: str, out: str, mode: str = "errorifexists") -> DataFrame:
-    """Write a CSV file as a typed Parquet table and return ``(path, rows)``."""
+    """Write a CSV file as a typed Parquet table and return ``(path, rows)``; values that do not fit become null.
+
+    :func:`autobi.sources.ledger.ingest` keeps account of them instead.
+    """
     from autobi.operators.profile import profile
 
-    raw = scan_csv(spark, path)
+    raw = scan_csv(spark, path, dialect=detect(spark, path))
     kinds = profile(raw).select("column", "inferred_type").collect()  # one row for each column
     typed(raw, kinds).write.mode(mode).parquet(out)
     return spark.read.parquet(out).agg(F.count("*").alias("rows")).select(F.lit(out).alias("path"), "rows")
