@@ -64,6 +64,34 @@ def top_values(df: DataFrame, column: str, n: int = 12) -> DataFrame:
     return counted.orderBy(F.desc("count"), "value").limit(n)
 
 
+def heavy_values(df: DataFrame, column: str, n: int = 12, buckets: int = 1 << 16) -> DataFrame:
+    """What :func:`top_values` gives, exactly, without a shuffle of all distinct values.
+
+    Values are counted by bucket of their hash first: a summary of fixed size that adds up over tasks, and a bound on
+    every value in a bucket. The values of the fullest buckets are then counted each. If a bucket left out could still
+    hold one of the top values, those of all buckets that could are counted. Two or three scans.
+    """
+    name = coerce.field(df, column).name
+    value = df[name].cast("string")
+    rows = df.select(value.alias("value")).where(~coerce.is_blank(F.col("value"))).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    held = rows.groupBy("bucket").agg(F.count("*").alias("held"))
+    fullest = held.orderBy(F.desc("held"), "bucket").limit(4 * n + 1).collect()  # bounded by n
+    taken, rest = [r.bucket for r in fullest[: 4 * n]], fullest[4 * n :]
+
+    def best(some: DataFrame) -> DataFrame:
+        return some.groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(n)
+
+    found = best(rows.where(F.col("bucket").isin(taken)))
+    if not rest:
+        return found
+    known = found.collect()  # n rows
+    least = known[-1]["count"] if len(known) == n else 1
+    if rest[0].held < least:
+        return df.sparkSession.createDataFrame(known, "value string, count long")
+    could = held.where(F.col("held") >= least).select("bucket")
+    return best(rows.join(F.broadcast(could), "bucket", "left_semi"))  # at most so many buckets as there are
+
+
 def with_others(top: DataFrame, total: DataFrame) -> DataFrame:
     """Top values and a row ``Others`` with the rest of the total (one row, ``rows``)."""
     rest = top.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("listed")).join(F.broadcast(total.select("rows")))
@@ -100,8 +128,12 @@ def _others(df: DataFrame, filters: Sequence[Filter], column: str) -> Column:
 def facet_distinct(df: DataFrame, filters: Sequence[Filter], columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, distinct)``: for each column, its values under all filters but its own, in one scan."""
     names = [coerce.field(df, c).name for c in columns or df.columns]
-    counted = df.agg(*[F.count_distinct(F.when(_others(df, filters, c) & ~coerce.is_blank(df[c]), df[c])).alias(c) for c in names])
-    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct")) for c in names])).alias("f")).select("f.*")
+    # of each row only hashes (96 bits) of the values that count go on, equal ones combined before they are shuffled
+    hashes = [F.when(_others(df, filters, c) & ~coerce.is_blank(df[c]), F.struct(F.lit(k).alias("k"), F.xxhash64(df[c]).alias("h"), F.hash(df[c]).alias("g"))) for k, c in enumerate(names)]
+    values = df.select(F.explode(F.filter(F.array(*hashes), lambda v: v.isNotNull())).alias("v")).select("v.*").distinct()
+    counted = values.groupBy("k").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))  # a row for each column
+    number = lambda k: F.coalesce(F.col("m")[F.lit(k)], F.lit(0)).cast("long")
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(k).alias("distinct")) for k, c in enumerate(names)])).alias("f")).select("f.*")
 
 
 def facet_values(df: DataFrame, filters: Sequence[Filter], column: str, n: int = 12) -> DataFrame:

@@ -28,6 +28,23 @@ def quality(df: DataFrame, x: str | None = None, y: str | None = None, exact: bo
     return of_all.join(F.broadcast(of_axes))  # one row each
 
 
+def duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: ``rows, distinct_rows, duplicate_rows, duplicate_rate``, exact, by the given columns or all.
+
+    Rows are counted by 128 bits of two hashes, combined before the shuffle. Only rows whose hash is not alone are
+    compared by value, so that rows of equal hashes but different values count as different.
+    """
+    names = list(columns or df.columns)
+    marks = [F.xxhash64(*[df[c] for c in names]).alias("__h"), F.xxhash64(F.lit(1), *[part for c in names for part in (df[c], df[c].isNull())]).alias("__g")]
+    rows = df.select(*[df[c] for c in names], *marks)
+    groups = rows.groupBy("__h", "__g").agg(F.count("*").alias("n"))
+    alone = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") == 1).alias("alone"))
+    shared = rows.join(groups.where("n > 1").select("__h", "__g"), ["__h", "__g"], "left_semi").groupBy(*names).agg(F.lit(1)).agg(F.count("*").alias("shared"))
+    both = alone.join(F.broadcast(shared)).select("rows", (F.col("alone") + F.col("shared")).alias("distinct_rows"))  # one row each
+    extra = F.col("rows") - F.col("distinct_rows")
+    return both.select("rows", "distinct_rows", extra.alias("duplicate_rows"), F.when(F.col("rows") > 0, extra / F.col("rows")).otherwise(0.0).alias("duplicate_rate"))
+
+
 def distribution(df: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Count, moments, percentiles, interquartile range, variation and skew of each series' y."""
     levels = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}

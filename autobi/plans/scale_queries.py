@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autobi.operators import charts, evidence, pages, percentiles, signals
+from autobi.operators import browse, charts, evidence, pages, percentiles, signals
 from autobi.plans.queries import DAILY_ALL, LEVELS_SQL, all_daily, query
 from autobi.sources import dialect, ledger, tables
 
@@ -105,3 +105,11 @@ query(
     SELECT x, round(before, 5) AS before, round(after, 5) AS after, round(abs(after - before), 5) AS shift, row_number() OVER (ORDER BY round(abs(after - before), 6) DESC, x) AS rank FROM m ORDER BY rank LIMIT 3""",
     5,
 )(lambda t: evidence.change_points(all_daily(t)))
+
+query("heavy_values", "SELECT l_partkey::VARCHAR AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY count DESC, value LIMIT 12")(lambda t: browse.heavy_values(t("lineitem"), "l_partkey", buckets=512))
+query("heavy_words", "SELECT event_type AS value, count(*) AS count FROM events WHERE trim(event_type) <> '' GROUP BY 1 ORDER BY count DESC, value LIMIT 3")(lambda t: browse.heavy_values(t("events"), "event_type", 3))
+SAME = "l_returnflag, l_linestatus, l_quantity, l_discount"
+query(
+    "duplicate_rows",
+    f"WITH d AS (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT {SAME} FROM lineitem)) AS distinct_rows FROM lineitem) SELECT rows, distinct_rows, rows - distinct_rows AS duplicate_rows, round((rows - distinct_rows) / rows, 4) AS duplicate_rate FROM d",
+)(lambda t: evidence.duplicates(t("lineitem"), SAME.split(", ")))

@@ -5,6 +5,7 @@ import random
 import pytest
 from autobi.operators import browse, charts, evidence, pages, percentiles, profile, selection, signals
 from autobi.operators import scan as scans
+from autobi.plans.spec import Filter
 from autobi.sources import dialect, ledger, tables
 from pyspark.sql import functions as F
 from tests.helpers import day, rows, series
@@ -154,3 +155,30 @@ def test_no_window_over_all_rows_without_series(spark):
     for made in (charts.ffill(df, "y"), charts.trailing_mean(df, 3, "y"), signals.signals(df), signals.trend(df), charts.with_index(df), charts.diff(df, "y")):
         windows = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
         assert all("__range" in x for x in windows)
+
+
+@pytest.mark.parametrize("buckets", [3, 40, 1 << 16])
+def test_heavy_values_are_the_top_values(spark, buckets):
+    rng = random.Random(buckets)
+    values = [rng.choice("abcdefgh") if rng.random() < 0.5 else f"rare{rng.randrange(900)}" for _ in range(4000)] + [None, " "]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for n in (1, 4, 12):
+        assert rows(browse.heavy_values(df, "v", n, buckets)) == rows(browse.top_values(df, "v", n))
+    unique = spark.range(500).withColumn("id", F.col("id").cast("string"))
+    assert rows(browse.heavy_values(unique, "id", 5, buckets)) == rows(browse.top_values(unique, "id", 5))
+    assert rows(browse.heavy_values(df.limit(0), "v", 5, buckets)) == []
+
+
+def test_duplicates_are_exact(spark):
+    data = [(1, "a", None), (1, "a", None), (1, None, "a"), (None, "a", "b"), (None, "a", "b"), (None, "a", "b"), (2, "", "x")]
+    df = spark.createDataFrame(data, "n int, v string, w string")
+    assert rows(evidence.duplicates(df)) == [(7, 4, 3, pytest.approx(3 / 7))]
+    assert rows(evidence.duplicates(df, ["w"])) == [(7, 4, 3, pytest.approx(3 / 7))]
+    assert rows(evidence.duplicates(df.limit(0))) == [(0, 0, 0, 0.0)]
+
+
+def test_facets_are_counted_without_copies_of_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (None, " ")], "n int, v string")
+    found = browse.facet_distinct(df, [Filter("n", "eq", ("1",)), Filter("v", "eq", ("b",))])
+    assert sorted(rows(found)) == [("n", 2), ("v", 2)] and "Expand" not in plan(found)
+    assert sorted(rows(browse.facet_distinct(df.limit(0), []))) == [("n", 0), ("v", 0)]
