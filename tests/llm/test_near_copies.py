@@ -102,7 +102,7 @@ def test_texts_that_share_a_passage_meet_in_few_pairs(spark):
     df = frame(spark, rows).select(F.col("doc_id").alias("node"), "text")
     keyed = near_copies._keys(df, 5, 0.8, near_copies._usual(df, 5, 5000))
     shared = near_copies._shared(keyed, 4, 0.8).join(keyed.select("node", *near_copies.FOLDS), "node")
-    assert near_copies._paired(shared, 0.8).count() < 200
+    assert near_copies._paired(shared, shared, 0.8).count() < 200
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, rows)).collect()}
     assert got == {k: k if k < 5000 else k - 5000 for k, _ in rows}
 
