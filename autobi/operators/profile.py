@@ -21,7 +21,7 @@ def simple_columns(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, SIMPLE)]
 
 
-def _inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Column:
+def inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Column:
     few = figures["distinct"] <= F.greatest(F.lit(20), F.floor(rows * 0.05))
     word = F.when(few, "Category").otherwise("String")
     full = figures["full"]
@@ -40,6 +40,17 @@ def _inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Col
     )
 
 
+def figures_of(c: Column, kind: T.DataType) -> dict[str, Column]:
+    """Sums and ends that a column's profile is made of, besides its distinct values; they merge over parts."""
+    full, text = ~coerce.is_blank(c), isinstance(kind, T.StringType)
+    own = {"full": F.count_if(full)}
+    if text:
+        clean = F.trim(c)
+        own |= {"bools": F.count_if(full & coerce.is_bool_word(clean)), "dates": F.count_if(full & coerce.is_date_word(clean)), "numbers": F.count_if(full & coerce.is_number_word(clean))}
+    value = coerce.text_num(F.regexp_replace(c, " ", "")) if text else c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+    return own | {"min": F.min(value), "max": F.max(value)}
+
+
 def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, table: str | None = None) -> DataFrame:
     """One row for each column: ``column, inferred_type, row_count, null_rate, distinct_count, min, max``.
 
@@ -54,20 +65,14 @@ def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, t
     for k, f in enumerate(simple_columns(df)):
         c = rows[f.name]
         full = ~coerce.is_blank(c)
-        own = {"full": F.count_if(full), "distinct": F.lit(0) if apart else distinct(F.when(full, c))}
-        text = isinstance(f.dataType, T.StringType)
-        if text:
-            clean = F.trim(c)
-            own |= {"bools": F.count_if(full & coerce.is_bool_word(clean)), "dates": F.count_if(full & coerce.is_date_word(clean)), "numbers": F.count_if(full & coerce.is_number_word(clean))}
-        value = coerce.text_num(F.regexp_replace(c, " ", "")) if text else c.cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
-        own |= {"min": F.min(value), "max": F.max(value)}
+        own = figures_of(c, f.dataType) | {"distinct": F.lit(0) if apart else distinct(F.when(full, c))}
         figures += [v.alias(f"{n}_{k}") for n, v in own.items()]
         made = {n: F.col(f"{n}_{k}") for n in own}
         if apart:
             hashes.append(F.when(full, F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("h"), F.hash(c).alias("g"))))
             made["distinct"] = F.coalesce(F.col("__distinct")[k], F.lit(0)).cast("long")
         total = F.col("__rows")
-        kind = _inferred(f.dataType, made, total)
+        kind = inferred(f.dataType, made, total)
         limits = [F.when(kind == "Number", made[n]).alias(n) for n in ("min", "max")]
         null_rate = F.when(total > 0, 1 - made["full"] / total).otherwise(0.0)
         shown.append(F.struct(F.lit(f.name).alias("column"), kind.alias("inferred_type"), total.alias("row_count"), null_rate.alias("null_rate"), made["distinct"].alias("distinct_count"), *limits))

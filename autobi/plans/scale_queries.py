@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autobi.operators import browse, charts, evidence, pages, percentiles, signals
-from autobi.plans.queries import DAILY_ALL, LEVELS_SQL, all_daily, query
+from autobi.operators import browse, charts, evidence, pages, percentiles, profile_store, recommend, search_index, signals
+from autobi.plans.queries import DAILY_ALL, LEVELS_SQL, TEXTS, all_daily, profile_sql, query, recommend_sql, texts
 from autobi.sources import dialect, ledger, tables
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -113,3 +113,41 @@ query(
     "duplicate_rows",
     f"WITH d AS (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT {SAME} FROM lineitem)) AS distinct_rows FROM lineitem) SELECT rows, distinct_rows, rows - distinct_rows AS duplicate_rows, round((rows - distinct_rows) / rows, 4) AS duplicate_rate FROM d",
 )(lambda t: evidence.duplicates(t("lineitem"), SAME.split(", ")))
+
+
+def stored(rows: DataFrame, first) -> tuple:
+    """Rows written to a folder in two goes, the profile store brought up to date after each."""
+    spark = rows.sparkSession
+    path, store = tables.scratch(spark), tables.scratch(spark)
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(path)
+        profile_store.update(spark, path, store)
+    return spark, path, store
+
+
+query("profile_store", profile_sql("orders"))(lambda t: profile_store.profile(*stored(t("orders"), F.col("o_orderkey") % 3 == 0)))
+query("profile_store_texts", profile_sql(TEXTS, columns="day price mixed flag priority empty"))(lambda t: profile_store.profile(*stored(texts(t), F.col("mixed").contains("7"))))
+query("profile_store_recommend", recommend_sql("orders"))(lambda t: recommend.recommend(profile_store.profile(*stored(t("orders"), F.col("o_custkey") % 2 == 0), table="orders")).drop("criteria"))
+query(
+    "profile_store_top_values",
+    " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS count FROM customer GROUP BY ALL ORDER BY count DESC, value LIMIT 3)" for c in CUSTOMER),
+)(lambda t: profile_store.top_values(*stored(t("customer").select(CUSTOMER), F.col("c_custkey") % 2 == 0)))
+
+
+def searched(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows written in ranges of the key, one file each, indexed and searched."""
+    spark = rows.sparkSession
+    path, store = tables.scratch(spark), tables.scratch(spark)
+    rows.repartitionByRange(16, key).write.parquet(path)
+    search_index.update(spark, path, store)
+    return search_index.search(spark, path, store, text)
+
+
+query(
+    "search_indexed",
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey::VARCHAR LIKE '%0012%' OR lower(c_name) LIKE '%0012%' OR c_nationkey::VARCHAR LIKE '%0012%' OR c_acctbal::VARCHAR LIKE '%0012%' OR lower(c_mktsegment) LIKE '%0012%'",
+)(lambda t: searched(t("customer").select(CUSTOMER), "c_custkey", "0012").select("c_custkey", "c_name"))
+query(
+    "search_indexed_dates",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey::VARCHAR LIKE '%1996-02-2%' OR o_custkey::VARCHAR LIKE '%1996-02-2%' OR lower(o_orderstatus) LIKE '%1996-02-2%' OR o_totalprice::VARCHAR LIKE '%1996-02-2%' OR o_orderdate::VARCHAR LIKE '%1996-02-2%' OR lower(o_orderpriority) LIKE '%1996-02-2%'",
+)(lambda t: searched(t("orders"), "o_orderdate", "1996-02-2").select("o_orderkey"))

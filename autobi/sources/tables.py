@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{found or f'file://{tempfile.mkdtemp()}'}/scratch-{uuid.uuid4().hex}"
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, changed)``: the files below a folder and when each was written; none of them is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+
+
+def read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """The Parquet files of a folder with these names (as :func:`listing` gives them), with the columns of its sub-folders."""
+    return spark.read.option("basePath", path).parquet(*map(unquote, files))
+
+
+def kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, empty where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).select([F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
+
+
 def expired(df: DataFrame, access: str, as_of: str, days: int) -> DataFrame:
     """Rows last used at least ``days`` days before ``as_of``."""
     return df.where(coerce.ts(df, access) <= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days)))
