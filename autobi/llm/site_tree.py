@@ -5,7 +5,8 @@ tree. The importance of a node is the entropy of its content, and of the layout
 pages of the host: what stays the same from page to page (menus, slogans, notices) has little and is removed,
 inside articles as well. Two things are known of elements before any page is compared, and cut their importance
 below every limit: a declared purpose other than the page's text (``nav``, ``footer``, ``class=comments``), and
-lying outside the part that the page declares to be its text (``main``, else ``article``).
+lying outside the part that the page declares to be its text (``main``, else ``article``). A name of which only a part
+is telling (``red-alert``) cuts it less, and removes nothing by itself.
 """
 
 from __future__ import annotations
@@ -37,17 +38,22 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("html head body caption tbody td tfoot th thead tr option optgroup legend".split())
 OUT = frozenset("nav footer aside form script style noscript template iframe svg math canvas object audio video button select textarea dialog menu search head title xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+# A chosen list: parts of class names that tell what is not the page's text.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead"
+    "ad ads advert adverts advertisement advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments consent cookie cookiebar cookies disclaimer disqus feedback footer gdpr masthead"
     " menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended related replies reply respond"
     " share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-#: Parts of a class name that say nothing of its own, and first parts that speak of something elsewhere.
+# Chosen lists: parts of a class name that say nothing of its own, first parts that speak of something elsewhere, parts
+# that in a name with a side may speak of what lies beside, and elements of running text.
 PLAIN = frozenset(
-    "area articles bar block bottom box button buttons container content form inner item items left link links list main outer page panel post posts primary right row section secondary site slot stories text top"
+    "area article articles bar block bottom box button buttons container content form inner item items left link links list main outer page panel post posts primary right row section secondary site slot stories text thread top"
     " unit wrap wrapper".split()
 )
 ABOUT = frozenset("has is no with without".split())
+LAYOUT = frozenset("menu nav sidebar".split())
+SIDES = frozenset("bottom content left right top".split())
+RUNNING = frozenset("a abbr b big blockquote caption cite code dd dt em figcaption font h1 h2 h3 h4 h5 h6 i li mark p pre q s small span strong sub sup td th tr u".split())
 #: Elements told apart from their like by their place; those of running text (p, li, td, ...) are one node.
 PLACED = frozenset("div section ul ol dl table menu details fieldset figure article aside header".split())
 #: An element that starts while one of these is open closes it, unless the second kind lies between.
@@ -58,18 +64,34 @@ SIBLINGS = {
 }
 
 
-def declared_out(tag: str, names: list[str], role: str, inside: int) -> bool:
-    """Whether an element is declared to be something other than the page's text."""
+#: How a name speaks of an element: not at all, against it, of something beside it, or as one part of a longer name.
+NO, SURE, BESIDE, WEAK = range(4)
+
+
+def declared_name(name: str, tag: str, inside: int) -> int:
+    """What a class name or id declares of an element; its last telling part says what a thing is.
+
+    ``sidebar-left`` may as well stand on what has a sidebar to its left; ``red-alert`` may be anything, so that it
+    only weighs, and not at all on running text.
+    """
+    whole = [part for part in re.split("[-_]+", name) if part]
+    parts = [part for part in whole if part not in PLAIN]
+    known = lambda part: part in NAMES or (part == "header" and not inside)
+    if not parts or not known(parts[-1]) or parts[0] in ABOUT:
+        return NO
+    if not all(map(known, parts)):
+        return NO if tag in RUNNING else WEAK
+    return BESIDE if len(parts) == 1 and parts[0] in LAYOUT and not SIDES.isdisjoint(whole) else SURE
+
+
+def declared_out(tag: str, names: list[str], role: str, inside: int) -> int:
+    """Whether, and how, an element is declared to be something other than the page's text."""
     if tag in OUT or role in ROLES or (tag == "header" and not inside):
-        return True
+        return SURE
     if tag in ("html", "body"):
-        return False
-    known = lambda part: part in NAMES or (part == "header" and not inside)
-    for name in names:
-        parts = [part for part in re.split("[-_]+", name) if part and part not in PLAIN]
-        if parts and known(parts[-1]) and parts[0] not in ABOUT:  # the last part is what a thing is
-            return True
-    return False
+        return NO
+    said = {declared_name(name, tag, inside) for name in names}
+    return next((kind for kind in (SURE, BESIDE, WEAK) if kind in said), NO)
 
 
 MASK, FACTOR = (1 << 64) - 1, 0x9FB21C651E98DF25
@@ -121,12 +143,29 @@ class Page:
     """
 
     def __init__(self, page: str | None):
-        self.path, self.parent, self.layout, self.inside, self.whole = [0], [-1], [0], [0], [True]
+        self.path, self.parent, self.layout, self.inside, self.whole, self.said = [0], [-1], [0], [0], [True], [NO]
         self.blocks: list[tuple[str, int]] = []
         self._parse(page or "")
+        if BESIDE in self.said:
+            self._leave_out_beside()
         kinds = [self.inside[node] for _, node in self.blocks]
         self.region = next((bit for bit in (1, 2) if any(k & bit for k in kinds)), 0)
 
+    def _leave_out_beside(self) -> None:
+        """Leave out what lies to a side, unless it holds ``main`` or half of the page's text: then something lies beside it."""
+        held, main = [0] * len(self.path), [False] * len(self.path)
+        for text, node in self.blocks:
+            held[node] += len(text)
+            main[node] = main[node] or self.inside[node] & 1 > 0
+        for node in range(len(self.path) - 1, 0, -1):
+            held[self.parent[node]] += held[node]
+            main[self.parent[node]] = main[self.parent[node]] or main[node]
+        gone = [False] * len(self.path)
+        for node in range(1, len(self.path)):
+            around = 2 * held[node] >= held[0] or (main[node] and not self.inside[node] & 1)
+            gone[node] = gone[self.parent[node]] or (self.said[node] == BESIDE and not around)
+        self.blocks = [b for b in self.blocks if not gone[b[1]]]
+
     def _parse(self, page: str) -> None:
         stack, counts, at, size = Open(), {}, 0, len(page)
         buffer: list[str] = []
@@ -213,7 +252,8 @@ class Page:
                     names += value.split()
             above = stack.nodes[-1]
             inside = self.inside[above] | (2 if tag == "article" else 1 if tag == "main" or role == "main" else 0)
-            if not skip and declared_out(tag, names, role, self.inside[above]):
+            said = NO if skip else declared_out(tag, names, role, self.inside[above])
+            if said == SURE:
                 skip = len(stack.tags) + 1
             if skip:
                 stack.push(tag, above)
@@ -229,6 +269,7 @@ class Page:
                 self.layout.append(0)
                 self.inside.append(inside)
                 self.whole.append(tag in ("html", "body"))
+                self.said.append(said)
                 stack.push(tag, len(self.path) - 1)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -240,21 +281,22 @@ class Page:
         """The blocks in what the page declares to be its text; all if it declares nothing."""
         return [b for b in self.blocks if self.inside[b[1]] & self.region] if self.region else self.blocks
 
-    def nodes(self) -> tuple[int, dict[int, tuple[int, int]]]:
-        """A hash of the page's text, and for each path that holds some of it hashes of its content and its layout."""
+    def nodes(self) -> tuple[int, dict[int, tuple[int, int, bool]]]:
+        """A hash of the page's text, and for each path that holds some of it hashes of its content and its layout, and
+        whether it lies in what the page declares to be its text and no name speaks against it."""
         content = [0] * len(self.path)
         whole = 0
         for text, node in self.text_blocks():
             own = xxhash.xxh3_64_intdigest(text)
             content[node] = fold(content[node], own)
             whole = fold(fold(whole, self.path[node]), own)
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, bool]] = {}
         for node in range(len(self.path) - 1, 0, -1):
             if content[node]:
                 above, path = self.parent[node], self.path[node]
                 content[above] = fold(content[above], content[node])
-                before = found.get(path, (0, 0))
-                found[path] = fold(before[0], content[node]), fold(before[1], self.layout[node])
+                before = found.get(path, (0, 0, self.region > 0))
+                found[path] = fold(before[0], content[node]), fold(before[1], self.layout[node]), before[2] and self.said[node] != WEAK
         return whole, found
 
     def text(self, low: frozenset | set = frozenset()) -> str:
@@ -289,25 +331,27 @@ def main_text(page: str | None, low: frozenset | set = frozenset()) -> str:
 
 
 def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, host, page, path, content, layout, declared)``: each page's nodes, with hashes of what they hold,
-    of all the page's text, and whether the page declares a part to be its text."""
+    """``(page_id, place, host, page, path, content, layout, declared)``: each page's nodes, with hashes of its id and url, of what they hold,
+    of all the page's text, and whether the page declares a part to be its text and no name speaks against the node.
+
+    Null and empty pages, and an empty table, give no row; rows without an id give theirs. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        names = ["page_id", "host", "page", "path", "content", "layout", "declared"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        names = ["page_id", "place", "host", "page", "path", "content", "layout", "declared"]
         for batch in batches:
             rows = []
-            for name, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, url, html, place in zip(*(c.to_pylist() for c in batch.columns)):
                 page = Page(html)
                 whole, found = page.nodes()
-                rows += [(name, host(url), signed(whole), signed(path), signed(content), signed(layout), page.region > 0) for path, (content, layout) in found.items()]
+                rows += [(name, place, host(url), signed(whole), signed(path), signed(content), signed(layout), declared) for path, (content, layout, declared) in found.items()]
                 if len(rows) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows = []
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds)], names)
 
-    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, host string, page long, path long, content long, layout long, declared boolean")
+    return _plain(pages, id_col, url_col, html_col).mapInArrow(run, "page_id long, place long, host string, page long, path long, content long, layout long, declared boolean")
 
 
 def importance(nodes: DataFrame, share: float = 0.9) -> DataFrame:
@@ -323,7 +367,8 @@ def importance(nodes: DataFrame, share: float = 0.9) -> DataFrame:
 
 
 def _plain(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    page, url = F.col(id_col).cast("long"), F.col(url_col).cast("string")
+    return pages.select(page.alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), F.xxhash64(page, url).alias("place"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, least_open: float = 0.8, min_pages: int = 3) -> DataFrame:
@@ -332,9 +377,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Text of a block has its character references decoded, runs of white space made one space and its ends
     trimmed; blocks are joined by one line end. A line break element counts as a space. Branches that at least
     ``min_pages`` different texts of the host have are removed if their importance is below ``least``, or below
-    ``least_open`` on pages that declare no part to be their text; html, body and branches that hold all of the
+    ``least_open`` on pages that declare no part to be their text, or if a name speaks weakly against it; html, body and branches that hold all of the
     page's text stay. Null and empty pages give an empty text, and pages without any text but declared other
-    parts do. A null id is kept, without its site's tree. Rows that repeat an id each give a row and lose the
+    parts do. A null id is kept. Rows that repeat an id (or its lack) and a url each give a row and lose the
     branches that are low for one of them; copies of a text count once in their site. Other columns are not
     read; an empty table gives none. A tag that is never closed counts as text.
     """
@@ -342,16 +387,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     once = nodes.dropDuplicates(["host", "page", "path"])
     low = common.materialize(importance(once).where((F.col("importance") < max(least, least_open)) & (F.col("pages") >= min_pages)))
     counted = common.materialize(nodes.groupBy("host", "path").agg(F.count("*").alias("n")).join(low, ["host", "path"]))
-    rows = nodes.select("page_id", "host", "path", "declared")
+    rows = nodes.select("page_id", "place", "host", "path", "declared")
     found = common.join_groups(rows, counted, ["host", "path"], "n", nodes.count()).where(F.col("importance") < F.when(F.col("declared"), least).otherwise(least_open))
-    found = common.materialize(found.groupBy(F.col("page_id").alias("low_id")).agg(F.collect_set("path").alias("low")))
+    found = common.materialize(found.groupBy(F.col("page_id").alias("low_id"), F.col("place").alias("low_place")).agg(F.collect_set("path").alias("low")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(page, {x & MASK for x in low or ()}) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    rows = _plain(pages, id_col, url_col, html_col).join(found, F.col("page_id") == F.col("low_id"), "left")
+    rows = _plain(pages, id_col, url_col, html_col).join(found, (F.col("place") == F.col("low_place")) & F.col("page_id").eqNullSafe(F.col("low_id")), "left")
     return rows.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
 
 

@@ -299,6 +299,34 @@ def test_declared_names_are_whole_and_main_goes_before_articles():
         assert site_tree.main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == ("a" if name in out else "a\nb"), name
 
 
+def test_names_on_wrappers_and_parts_of_names_remove_no_text():
+    text = site_tree.main_text
+    for name in ("layout sidebar-left", "sidebar-right", "content-sidebar", "nav-left"):
+        assert text(f"<div class='{name}'><p>Real text</p></div>") == "Real text"
+        assert text(f"<p>The text of the page, much longer</p><div class='{name}'><p>Links</p></div>") == "The text of the page, much longer"
+        assert text(f"<body><p>{'word ' * 40}</p><div class='{name}'><main><p>Short</p></main></div></body>") == "Short"
+        assert text(f"<div class='{name}'><article><p>{'word ' * 40}</p><div class='{name}'>Links</div></article></div>") == ("word " * 40).strip()
+    assert text("<div class=sidebar><p>Links</p></div>") == ""
+    assert text("<article><h2 class='red-alert'>Storm</h2><p class='anti-social'>Word</p><div class='question-reply'>Answer</div></article>") == "Storm\nWord\nAnswer"
+    for name in ("feedback", "cookiebar", "disqus_thread", "alert alert-info", "ad"):
+        assert text(f"<article><p>a</p></article><div class='{name}'>{'b ' * 99}</div>") == "a" and text(f"<div class='{name}'>b</div>") == ""
+
+
+def test_parts_of_names_weigh_on_pages_of_a_site(spark):
+    """Eight pages: a branch with two contents goes below 0.8 where its name speaks against it, and stays elsewhere."""
+    page = lambda k, name: f"<article><p>Words {k}</p><div class='{name}'>hint {k % 4}</div></article>"
+    rows = [(10 * i + k, f"http://{i}.com/", page(k, name)) for i, name in enumerate(("x-notice", "x-box")) for k in range(8)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Words {k}" for k in range(8)}, **{10 + k: f"Words {k}\nhint {k % 4}" for k in range(8)}}
+
+
+def test_pages_without_an_id_get_their_tree(spark):
+    page = lambda k: f"<div class=top>Slogan</div><div class=body><p>text {k}</p></div>"
+    rows = [(None, f"http://h.com/{k}", page(k)) for k in range(5)] + [(7, "http://h.com/7", page(7)), (7, "http://other.com/", page(8)), (None, None, page(9))]
+    got = sorted(r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted([*[f"text {k}" for k in (0, 1, 2, 3, 4, 7)], "Slogan\ntext 8", "Slogan\ntext 9"])
+
+
 def test_importance_alone_tells_menus_from_text(spark):
     """No telling tags or names: the menu, a slogan inside the text part and the foot stay the same and go."""
     def page(i, k):
