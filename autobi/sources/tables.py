@@ -84,7 +84,7 @@ def ingest_csv(spark: SparkSession, path: str, out: str, mode: str = "errorifexi
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (a temporary one of this machine under a local master)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{found or f'file://{tempfile.mkdtemp()}'}/scratch-{uuid.uuid4().hex}"
 
