@@ -11,7 +11,7 @@ tokenizers = pytest.importorskip("public_tokenizers")
 rng = random.Random(12)
 LONG = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(200_000))
 ROWS = [(1, LONG), (1, LONG), (2, None), (2, ""), (None, "some words stand here"), (None, None), (3, "some words stand here")]
-CLASH = ("key", "spans", "fp", "n", "component_id", "path", "host", "low", "low_id", "trigger", "ids", "score", "kept", "good", "quality_", "__labelled", "evidence", "rows", "range")
+CLASH = ("key", "spans", "fp", "n", "component_id", "path", "host", "low", "low_id", "trigger", "ids", "score", "kept", "good", "quality_", "__labelled", "evidence", "rows", "range", "place", "low_place", "url")
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -39,3 +39,17 @@ def test_edges(spark):
         assert run(docs.limit(0)).count() == 0, name
         if name.startswith(("keep", "cut", "without")):
             assert found.columns == docs.columns, name
+
+
+def test_edge_values(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3).withColumns({c: F.lit("x") for c in CLASH})
+    run = operators(spark)
+    values = lambda name, *cols: sorted((tuple(r) for r in run[name][0](docs).select(*cols).collect()), key=str)
+    by_id = lambda long, empty, words: sorted([(1, long), (1, long), (2, empty), (2, empty), (None, empty), (None, words), (3, words)], key=str)
+    assert values("pages", "page_id", "text") == by_id(LONG, "", "some words stand here")
+    found = values("simhash", "doc_id", "fp")
+    one, words = (next(p for d, p in found if d == k) for k in (1, 3))
+    assert found == by_id(one, 0, words) and len({one, words, 0}) == 3
+    counted = values("token_counts", "doc_id", "n_tokens")
+    one, words = (next(n for d, n in counted if d == k) for k in (1, 3))
+    assert counted == by_id(one, 0, words) and one > 200_000 > words > 3
