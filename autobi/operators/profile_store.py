@@ -43,7 +43,7 @@ def update(spark: SparkSession, path: str, store: str) -> int:
     """Read the files of a folder of Parquet files that the store does not hold yet; returns how many.
 
     A column must have the same kind of type (text, number, truth value, time) in all files; it may be missing in
-    some, whose rows count as null. An update that fails leaves nothing that a later one would count.
+    some, whose rows count as null. An update that fails leaves nothing that a later one would count; run one at a time.
     """
     known = tables.kept(spark, f"{store}/figures/*", FIGURES)
     new = tables.listing(spark, path).join(known.select("file", "changed").distinct(), ["file", "changed"], "left_anti")
