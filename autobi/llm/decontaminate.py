@@ -3,9 +3,9 @@
 Every window of as many words as an item has is compared with it. Windows and items get a SimHash of 256 bits from
 their five-word shingles. The fingerprints are cut into 16 blocks; items are indexed by the value of each block. Of two
 fingerprints that differ in at most ``radius`` bits some block differs in at most ``radius // 16``, so looking up all values
-that near to a window's blocks finds all items within the radius. The full Hamming distance and at last the weighted
-similarity of the shingles decide. (Where fewer values are indexed than are near to a block, the indexed ones are looked
-through instead.)
+that near to a window's blocks finds all items within the radius. Most of those values are posted with the item, so that a
+window takes one lookup a block, and all windows of a size are looked up together. The full Hamming distance and at last
+the weighted similarity of the shingles decide.
 
 At a similarity of 0.8 about 39 bits differ, with a standard deviation of 6; the radius is 63. Of two unrelated
 fingerprints, about one pair in six is left by the blocks, and none by the distance. Windows that hold too few shingles
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ ITEMS, BYTES = 20_000, 32 << 20
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 63
 WORDS_OF_PRINT = 4  # of 64 bits each
 BLOCKS, VALUES = 16, 1 << 16
+POSTS = 1 << 25  # postings of a slice's items, of 2 to 4 bytes
 
 
 def _mix(values: np.ndarray, words: int) -> np.ndarray:
@@ -88,48 +90,77 @@ def simhash(rows: np.ndarray, at: np.ndarray, span: int, most: int = 1 << 12) ->
     return found
 
 
-@functools.lru_cache(maxsize=4)
-def near_values(most: int) -> np.ndarray:
-    """All block values with at most ``most`` bits set."""
-    return np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(16), k)], np.uint16)
+@functools.lru_cache(maxsize=16)
+def near_values(most: int, first: int = 0, last: int = 16) -> np.ndarray:
+    """All block values with at most ``most`` bits set, all of them from ``first`` to before ``last``."""
+    return np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(first, last), k)], np.uint16)
 
 
 class Index:
-    """Items of one size by the values of their fingerprints' blocks."""
+    """Items of one size by the values of their fingerprints' blocks.
+
+    An item is posted under all values that differ from its block in the low ``spread`` bits only, the others are
+    varied in the lookup; a value keeps its items in order of the bits that are spent. So each pair of blocks that is
+    near enough is met once. Of ``of`` items in all as many bits are spread as ``POSTS`` allows. Postings are found
+    by the value itself or, if few, by binary search. Where even eight bits are too many (a wide radius), or where a
+    size has so few of very many items that their lists would be shorter than the table of their limits, all items
+    of the size are candidates.
+    """
 
-    def __init__(self, prints: np.ndarray, radius: int):
+    def __init__(self, prints: np.ndarray, radius: int, of: int = 0):
         self.prints, self.radius, self.most = prints, radius, min(16, radius // BLOCKS)
-        self.near = near_values(self.most)
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.order = np.argsort(blocks, axis=0, kind="stable").T
-        self.values = np.ascontiguousarray(np.take_along_axis(blocks, np.argsort(blocks, axis=0, kind="stable"), axis=0).T)
-        self.known = np.zeros((BLOCKS, VALUES), bool)
-        for k in range(BLOCKS):
-            self.known[k, blocks[:, k]] = True
-
-    def candidates(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``values``, item) of which some block of the one is near enough to the same block of the other."""
-        blocks, n = values.view(np.uint16).reshape(-1, BLOCKS), len(self.prints)
-        if n <= len(self.near):
-            own = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-            return np.nonzero((np.bitwise_count(blocks[:, None] ^ own[None]) <= self.most).any(axis=2))
-        found = []
-        for place, value in enumerate(blocks):
-            for k, block in enumerate(value):
-                looked = self.near ^ block
-                looked = looked[self.known[k, looked]]
-                first, last = np.searchsorted(self.values[k], looked, "left"), np.searchsorted(self.values[k], looked, "right")
-                size = last - first
-                found.append(place * n + self.order[k][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
-        return np.divmod(np.unique(np.concatenate(found)), n) if found else (np.zeros(0, np.int64),) * 2
+        n = len(prints)
+        costs = {bits: sum(math.comb(bits, k) for k in range(self.most + 1)) for bits in (16, 12, 8)}
+        self.spread = next((bits for bits, cost in costs.items() if max(n, of) * BLOCKS * cost <= POSTS), 0)
+        self.levels = 1 if self.spread == 16 else self.most + 1
+        direct = n * costs.get(self.spread, 0) >= VALUES * self.levels // 2
+        if not direct and self.spread != 16:
+            self.spread = 0
+        if not self.spread:
+            return
+        varied = near_values(self.most, 0, self.spread)
+        spent = np.bitwise_count(varied).astype(np.int64) if self.levels > 1 else 0
+        self.varied = near_values(self.most, self.spread, 16)
+        self.left = self.most - np.bitwise_count(self.varied).astype(np.int64) if self.levels > 1 else 0
+        self.keys: list[np.ndarray] = []
+        self.items: list[np.ndarray] = []
+        self.direct = direct
+        for block in prints.view(np.uint16).reshape(-1, BLOCKS).T:
+            keys = (block[:, None] ^ varied[None]).astype(np.int64) * self.levels + spent
+            keys = keys.ravel().astype(np.uint16 if self.levels == 1 else np.uint32)
+            order = np.argsort(keys, kind="stable")
+            self.items.append((order // len(varied)).astype(np.uint16 if n <= VALUES else np.uint32))
+            counts = np.bincount(keys, minlength=VALUES * self.levels) if direct else None
+            self.keys.append(np.append(0, np.cumsum(counts)).astype(np.int32) if direct else keys[order])
+
+    def candidates(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block (place in ``values``, item) of the pairs that are near enough in it."""
+        if not self.spread:
+            place, item = np.divmod(np.arange(len(values) * len(self.prints)), max(1, len(self.prints)))
+            yield place, item
+            return
+        for keys, items, block in zip(self.keys, self.items, values.view(np.uint16).reshape(-1, BLOCKS).T):
+            wanted = (block[:, None] ^ self.varied[None]).astype(np.int64) * self.levels
+            if self.direct:
+                first, last = keys[wanted].ravel(), keys[wanted + self.left + 1].ravel()
+            else:
+                wanted = wanted.astype(keys.dtype).ravel()
+                first, last = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            size = (last - first).astype(np.int64)
+            place = np.repeat(np.arange(len(size)), size)
+            yield place // len(self.varied), items[(first - np.cumsum(size) + size)[place] + np.arange(len(place))]
 
     def within(self, values: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place in ``values``, item) within the radius, a bounded number of ``values`` at a time."""
-        step = max(1, (1 << 18) // max(1, min(len(self.prints), len(self.near))))
+        """(place in ``values``, item) within the radius, in order; a bounded number of ``values`` at a time."""
+        n = len(self.prints)
+        step = max(1, (1 << 20) // max(1, n))
         for at in range(0, len(values), step):
-            place, item = self.candidates(values[at : at + step])
-            near = np.bitwise_count(self.prints[item] ^ values[at + place]).sum(axis=1) <= self.radius
-            yield from zip((at + place[near]).tolist(), item[near].tolist())
+            here, found = values[at : at + step], []
+            for place, item in self.candidates(here):
+                near = np.bitwise_count(self.prints[item] ^ here[place]).sum(axis=1) <= self.radius
+                found.append(place[near] * n + item[near])
+            place, item = np.divmod(np.unique(np.concatenate(found)), max(1, n))
+            yield from zip((at + place).tolist(), item.tolist())
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -178,7 +209,7 @@ class Group:
         for k, size in enumerate(self.sizes.tolist()):
             which = np.flatnonzero(kind == k)
             prints = np.concatenate([simhash(self.rows[i], np.zeros(1, np.int64), len(self.rows[i])) for i in which])
-            self.of_size.append((which, int(np.ceil(threshold * (size - words + 1) - 1e-9)), Index(prints, radius)))
+            self.of_size.append((which, int(np.ceil(threshold * (size - words + 1) - 1e-9)), Index(prints, radius, len(items))))
 
     def hits(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of known shingles, and which."""

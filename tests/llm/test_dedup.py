@@ -1,6 +1,7 @@
 """SimHash groups, repeated passages and benchmark leaks against brute force."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -269,9 +270,11 @@ def test_leaks_against_every_window(spark):
 
 def test_blocks_find_every_item_within_the_radius_and_prune():
     rng = np.random.default_rng(9)
-    for n in (3, 300, 2000):  # looked through, and looked up by near values
+    cases = [(1, 0, 16), (3, 0, 16), (300, 0, 16), (2000, 0, 16), (1000, 5000, 12), (1500, 20_000, 8), (40, 20_000, 0)]
+    for n, of, spread in cases:  # by binary search, by the value, with fewer bits spread, and all of them
         prints = rng.integers(0, 2**63, (n, 4)).astype(np.uint64)
-        index = decontaminate.Index(prints, decontaminate.RADIUS)
+        index = decontaminate.Index(prints, decontaminate.RADIUS, of)
+        assert index.spread == spread
         values = []
         for _ in range(60):
             bits = np.unpackbits(prints[rng.integers(n)].copy().view(np.uint8))
@@ -280,7 +283,48 @@ def test_blocks_find_every_item_within_the_radius_and_prune():
         values = np.array(values)
         near = np.bitwise_count(prints[None] ^ values[:, None]).sum(axis=2) <= decontaminate.RADIUS
         assert near.any(axis=1).all() and sorted(index.within(values)) == list(zip(*(x.tolist() for x in np.nonzero(near))))
-        assert len(index.candidates(values)[0]) < 0.2 * 60 * n + 60
+        if spread:
+            met = [list(zip(p.tolist(), i.tolist())) for p, i in index.candidates(values)]
+            assert all(len(m) == len(set(m)) for m in met)  # no pair of blocks twice
+            blocks, own = values.view(np.uint16).reshape(60, 1, 16), prints.view(np.uint16).reshape(1, n, 16)
+            assert set().union(*met) == set(zip(*(x.tolist() for x in np.nonzero((np.bitwise_count(blocks ^ own) <= 3).any(axis=2)))))
+            assert len(set().union(*met)) < 0.2 * 60 * n + 60
+    for radius in (0, 15, 40, 200):
+        index = decontaminate.Index(prints, radius)
+        near = np.bitwise_count(prints[None] ^ values[:, None]).sum(axis=2) <= radius
+        assert list(index.within(values)) == list(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_leaks_of_many_items_of_one_size(spark):
+    """1500 items of 40 words: all begin alike, so that many windows are looked up among all, and families differ at the end only."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    start, families = [f"start{k}" for k in range(20)], [rng.choices(vocabulary, k=17) for _ in range(300)]
+    items = [start + families[k % 300] + rng.choices(vocabulary, k=3) for k in range(1500)]
+    rows = []
+    for k in range(24):
+        w = list(rng.choice(items))
+        if k % 3:
+            w[rng.randrange(40)] = "changed"
+        rows.append((k, " ".join(rng.choices(vocabulary, k=30) + (start + families[k] if k % 4 == 0 else []) + w + rng.choices(vocabulary, k=30))))
+
+    def grams(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    holders, want = {}, {}
+    for k, item in enumerate(items):
+        assert len(grams(item)) == 36  # none repeats within an item, so a count of different ones is the weighted count
+        for g in grams(item):
+            holders.setdefault(g, []).append(k)
+    for name, text in rows:
+        w = words(text)
+        for p in range(len(w) - 39):
+            for k, both in Counter(itertools.chain.from_iterable(holders.get(g, ()) for g in grams(w[p : p + 40]))).items():
+                if both >= 0.8 * (72 - both):
+                    want[name, k] = max(both / (72 - both), want.get((name, k), 0))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert len(want) > 60 and got == pytest.approx(want)
 
 
 def test_window_fingerprints_by_brute_force():
