@@ -116,9 +116,18 @@ query(
 query("chart_overridden", "SELECT o_orderpriority AS series, date_trunc('year', o_orderdate)::TIMESTAMP AS x, max(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL")(
     lambda t: charts.chart(t("orders"), QuerySpec("line", "o_orderdate", "o_totalprice", "day", "sum").replace(bin="year", agg="max", series="o_orderpriority", filters=F_ORDERS), gaps="none")
 )
-query("row_ids", "SELECT count(*) AS rows, count(*) AS numbers, TRUE AS rising FROM lineitem")(
-    lambda t: tables.with_row_id(t("lineitem")).agg(F.count("*").alias("rows"), F.count_distinct("row_id").alias("numbers"), (F.min("row_id") >= 0).alias("rising"))
-)
+def row_ids(t) -> DataFrame:
+    """The order of each order's lines by the numbers given while the file is read."""
+    rows = tables.with_row_id(t("lineitem")).select("l_orderkey", "l_partkey", "l_linenumber", "row_id")
+    low = rows.groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.count_distinct("row_id").alias("numbers"), F.min_by("l_partkey", "row_id").alias("first_part"), F.max_by("l_partkey", "row_id").alias("last_part"), F.min("row_id").alias("low"), F.sum("l_linenumber").alias("lines"), F.sum(F.col("l_linenumber") * F.col("row_id")).alias("products"))
+    return low.select("l_orderkey", "rows", "numbers", "first_part", "last_part", (F.col("products") - F.col("low") * F.col("lines")).alias("places"))
+
+
+query(
+    "row_ids",
+    """SELECT l_orderkey, count(*) AS rows, count(DISTINCT i) AS numbers, arg_min(l_partkey, i) AS first_part, arg_max(l_partkey, i) AS last_part, sum(l_linenumber * (i - low))::BIGINT AS places
+    FROM (SELECT *, min(i) OVER (PARTITION BY l_orderkey) AS low FROM (SELECT *, row_number() OVER () AS i FROM lineitem)) GROUP BY 1""",
+)(row_ids)
 query(
     "sample_spread",
     f"""WITH {NUMBERED}, want AS (SELECT DISTINCT series, round_even(k * (n - 1) / 39.0::DOUBLE, 0)::BIGINT AS i FROM (SELECT DISTINCT series, n FROM pts), range(40) r(k))
@@ -431,15 +440,26 @@ def texts(t) -> DataFrame:
     )
 
 
+def dated_texts(t) -> DataFrame:
+    """Order keys, days and prices as text, some days being none."""
+    k = F.col("o_orderkey")
+    forms = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd")]), (k % 3 + 1).cast("int"))
+    price = F.when(k % 11 == 0, F.lit("  ")).when(k % 13 == 0, F.lit("n/a")).otherwise(F.format_number("o_totalprice", 2))
+    return t("orders").select("o_orderkey", F.when(k % 17 == 0, F.lit("no date")).when(k % 7 != 0, forms).alias("day"), price.alias("price"))
+
+
 TEXTS = """(SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y%m%d') END END AS day,
 CASE WHEN o_orderkey % 11 = 0 THEN '  ' WHEN o_orderkey % 13 = 0 THEN 'n/a' ELSE format('{:,.2f}', o_totalprice) END AS price, CASE WHEN o_orderkey % 5 = 0 THEN '?' ELSE o_orderkey::VARCHAR END AS mixed,
 CASE o_orderkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no' WHEN 2 THEN '1' END AS flag, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority, NULL::VARCHAR AS empty FROM orders)"""
 
 query("profile_orders", profile_sql("orders"))(lambda t: profile.profile(t("orders")))
 query("profile_texts", profile_sql(TEXTS, columns="day price mixed flag priority empty"))(lambda t: profile.profile(texts(t)))
+DATE_SQL = "(try_strptime(trim({c}), '%Y-%m-%d') IS NOT NULL OR try_strptime(trim({c}), '%d/%m/%Y') IS NOT NULL OR (length(trim({c})) = 8 AND try_strptime(trim({c}), '%Y%m%d') IS NOT NULL))"
 query("field_stats_texts", " UNION ALL ".join(
-    f"""SELECT '{c}' AS field, count(*) AS rows, count(*) FILTER (coalesce(trim({c}), '') = '') AS blanks, count(DISTINCT {c}) FILTER (trim({c}) <> '') AS distinct FROM {TEXTS}""" for c in ("day", "price", "flag"))
-)(lambda t: functools.reduce(DataFrame.unionByName, [browse.field_stats(texts(t), c).select(F.lit(c).alias("field"), "rows", "blanks", "distinct") for c in ("day", "price", "flag")]))
+    f"""SELECT *, CASE WHEN rows > blanks AND numbers >= 0.9 * (rows - blanks) THEN 'Number' WHEN rows > blanks AND dates >= 0.9 * (rows - blanks) THEN 'Date' WHEN "distinct" <= 50 THEN 'Category' ELSE 'String' END AS kind FROM (
+    SELECT '{c}' AS field, count(*) AS rows, count(*) FILTER (coalesce(trim({c}), '') = '') AS blanks, count(DISTINCT {c}) FILTER (trim({c}) <> '') AS distinct,
+    count(*) FILTER (try_cast(replace(trim({c}), ',', '') AS DOUBLE) IS NOT NULL) AS numbers, count(*) FILTER ({DATE_SQL.format(c=c)}) AS dates FROM {TEXTS})""" for c in ("day", "price", "mixed", "flag", "priority", "empty"))
+)(lambda t: functools.reduce(DataFrame.unionByName, [browse.field_stats(texts(t), c).select(F.lit(c).alias("field"), "rows", "blanks", "distinct", "numbers", "dates", "kind") for c in ("day", "price", "mixed", "flag", "priority", "empty")]))
 query("profile_all_tables", " UNION ALL ".join(profile_sql(n, n) for n in PROFILED))(profiled)
 query(
     "profile_top_values",
@@ -487,7 +507,7 @@ query(
     SELECT chart, x, y, array_to_string(list_filter([CASE WHEN whole THEN 'the measure is almost complete' END, CASE WHEN many THEN 'the measure takes many values' END, CASE WHEN timed THEN 'the axis is time' END,
       CASE WHEN few THEN 'the axis has few values' END, CASE WHEN agg IN ('sum', 'avg') THEN 'rows are summarised' END], lambda c: c IS NOT NULL)[1:5], '; ') AS criteria FROM b""",
 )(lambda t: recommend.recommend(profile.profile(t("orders"), table="orders")).select("chart", "x", "y", F.array_join("criteria", "; ").alias("criteria")))
-query("profile_sample", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", least(700, count(*)) AS row_count FROM orders" for c in PROFILED["orders"].split()))(lambda t: profile.profile(t("orders"), sample_rows=700).select("column", "row_count"))
+query("profile_sample", profile_sql("(SELECT * FROM orders LIMIT 700)", columns=PROFILED["orders"]))(lambda t: profile.profile(t("orders"), sample_rows=700))
 query("recommend_all_tables", recommend_sql(*PROFILED))(lambda t: recommend.recommend(profiled(t)).drop("criteria"))
 
 # ---- signals -----------------------------------------------------------------------------------------------
@@ -521,9 +541,17 @@ query(
     f"""WITH nulls AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') / count(*) AS r FROM orders" for c in PROFILED['orders'].split())}),
     d AS (SELECT greatest(count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_totalprice), count(DISTINCT o_orderdate)) AS d, count(*) AS n FROM orders)
     SELECT n AS rows, (SELECT count(*) FROM nulls) AS columns, (SELECT avg(r) FROM nulls) AS mean_null_rate, (SELECT max(r) FROM nulls) AS max_null_rate, (SELECT c FROM nulls ORDER BY r DESC, c LIMIT 1) AS max_null_column, round(greatest(0, 1 - d / n), 4)::DOUBLE AS duplicate_rate_est,
-    (SELECT min(o_orderdate) FROM orders) AS first, (SELECT max(o_orderdate) FROM orders) AS last, 0::BIGINT AS unparsable_dates, (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS negative_values,
+    (SELECT min(o_orderdate) FROM orders) AS first, (SELECT max(o_orderdate) FROM orders) AS last, (SELECT count(*) FILTER (trim(o_orderdate::VARCHAR) <> '' AND try_cast(o_orderdate::VARCHAR AS TIMESTAMP) IS NULL) FROM orders) AS unparsable_dates, (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS negative_values,
     (SELECT abs((avg(o_totalprice) - median(o_totalprice)) / stddev_pop(o_totalprice)) >= 1.5 FROM orders) AS extreme_skew FROM d""",
 )(lambda t: evidence.quality(t("orders"), "o_orderdate", "o_totalprice"))
+query(
+    "quality_texts",
+    f"""WITH t AS (SELECT * REPLACE (CASE WHEN o_orderkey % 17 = 0 THEN 'no date' ELSE day END AS day) FROM {TEXTS.replace("SELECT CASE", "SELECT o_orderkey, CASE", 1)}),
+    nulls AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') / count(*) AS r FROM t" for c in ("o_orderkey", "day", "price"))})
+    SELECT count(*) AS rows, round((SELECT max(r) FROM nulls), 4)::DOUBLE AS max_null_rate, (SELECT c FROM nulls ORDER BY r DESC, c LIMIT 1) AS max_null_column,
+    min(d) AS first, max(d) AS last, count(*) FILTER (coalesce(trim(day), '') <> '' AND d IS NULL) AS unparsable_dates
+    FROM (SELECT *, coalesce(try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%d/%m/%Y'), CASE WHEN length(day) = 8 THEN try_strptime(day, '%Y%m%d') END) AS d FROM t)""",
+)(lambda t: evidence.quality(dated_texts(t), "day", "price").select("rows", "max_null_rate", "max_null_column", "first", "last", "unparsable_dates"))
 query(
     "distribution_stats",
     """WITH q AS (SELECT event_type AS series, count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_pop(value) AS stddev, min(value) AS min, max(value) AS max, quantile_cont(value, 0.05) AS p05,
