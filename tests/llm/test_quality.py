@@ -1,8 +1,10 @@
 """Quality rules, quality classifier, URL filter and page texts."""
 
+import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -102,6 +104,46 @@ def test_classifier_holds_out(spark):
     assert right > 0.97
 
 
+def test_training_by_brute_force(spark):
+    """Features counted and picked, and each step of the fit taken, one by one."""
+    docs, labels = corpus(spark, 200)
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(900).cast("long")).withColumn("text", F.lit("'Idiot,' \u00e9t\u00e9 (scum) \t--- \r\nmoronic morons...")))
+    labels = labels.unionByName(labels.limit(1).withColumn("doc_id", F.lit(900).cast("long")).withColumn("toxic", F.lit(1)))
+    rows = docs.join(labels, "doc_id").select("text", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")).collect()
+
+    def own(text):
+        found = set()
+        for word in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+            word = re.sub(rb"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", b"", word.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+            found |= {zlib.crc32(b"=" + word) % (1 << 20)} | {zlib.crc32(word[:k]) % (1 << 20) for k in (4, 5, 6) if len(word) >= k}
+        return found | set(quality_bayes.switches(text.encode()))
+
+    sets, good = [own(r.text) for r in rows], [r.good for r in rows]
+    n, mean = len(rows), sum(good) / len(rows)
+    counts, goods = Counter(f for x in sets for f in x), Counter(f for x, g in zip(sets, good) if g for f in x)
+    differ = {f: abs(goods[f] - mean * c) / (c * mean * (1 - mean)) ** 0.5 for f, c in counts.items() if f < 1 << 20 and c >= 5}
+    clear = sorted((f for f in differ if differ[f] >= 5), key=lambda f: (-differ[f], f))
+    assert len(clear) > 6
+    for most in (4096, 5):
+        used = sorted(clear[:most]) + list(range(1 << 20, quality_bayes.SIZE))
+        w, seen = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8)
+        offset, seen_offset = 0.0, 1e-8
+        for _ in range(150):
+            errors = [(1 / (1 + math.exp(-sum(w[f] for f in x if f in w) - offset)) - g) / n for x, g in zip(sets, good)]
+            step = {f: 1e-7 * w[f] for f in used}
+            for x, e in zip(sets, errors):
+                for f in x & w.keys():
+                    step[f] += e
+            for f in used:
+                seen[f] += step[f] ** 2
+                w[f] -= 0.5 * step[f] / seen[f] ** 0.5
+            seen_offset += sum(errors) ** 2
+            offset -= 0.5 * sum(errors) / seen_offset**0.5
+        weights, found = quality_bayes.train(spark.createDataFrame(rows, "text string, good int").repartition(3), most=most)
+        assert set(np.flatnonzero(weights)) <= set(used)
+        assert np.allclose([weights[f] for f in used], [w[f] for f in used], atol=1e-6) and abs(found - offset) < 1e-6
+
+
 def test_evidence_by_brute_force(spark):
     """The weights of all features of each text, one by one."""
     docs, labels = corpus(spark, 200)
