@@ -117,8 +117,8 @@ query("chart_overridden", "SELECT o_orderpriority AS series, date_trunc('year',
     lambda t: charts.chart(t("orders"), QuerySpec("line", "o_orderdate", "o_totalprice", "day", "sum").replace(bin="year", agg="max", series="o_orderpriority", filters=F_ORDERS), gaps="none")
 )
 def row_ids(t) -> DataFrame:
-    """The order of each order's lines by the numbers given while the file is read."""
-    rows = tables.with_row_id(t("lineitem")).select("l_orderkey", "l_partkey", "l_linenumber", "row_id")
+    """The order of each order's lines by the numbers of rows in their files, dense, so that lines in different splits are as far apart as they lie."""
+    rows = tables.with_row_number(t("lineitem")).select("l_orderkey", "l_partkey", "l_linenumber", "row_id")
     low = rows.groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.count_distinct("row_id").alias("numbers"), F.min_by("l_partkey", "row_id").alias("first_part"), F.max_by("l_partkey", "row_id").alias("last_part"), F.min("row_id").alias("low"), F.sum("l_linenumber").alias("lines"), F.sum(F.col("l_linenumber") * F.col("row_id")).alias("products"))
     return low.select("l_orderkey", "rows", "numbers", "first_part", "last_part", (F.col("products") - F.col("low") * F.col("lines")).alias("places"))
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from autobi.operators import browse, charts, evidence, pages, percentiles, profile, selection, signals
 from autobi.operators import scan as scans
+from autobi.plans.registry import QUERIES
 from autobi.plans.spec import Filter
 from autobi.sources import dialect, ledger, tables
 from pyspark.sql import functions as F
@@ -86,6 +87,25 @@ def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_row_ids_of_lines_in_several_files_are_places(spark, tmp_path):
+    """Lines of an order lie in files of different sizes, of which the larger ones are read first."""
+    rng, held, path = random.Random(4), {}, tmp_path / "lineitem.parquet"
+    for k, n in enumerate((30, 400, 90)):
+        part = [(rng.randrange(40), 1000 * k + j, rng.randrange(1, 8)) for j in range(n)]
+        spark.createDataFrame(part, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.mode("append").parquet(str(path))
+        held[next(f.name for f in path.glob("*.parquet") if f.name not in held)] = part
+    want = {}
+    for i, (order, part, line) in enumerate(r for name in sorted(held) for r in held[name]):
+        want.setdefault(order, []).append((i, part, line))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+        found = rows(QUERIES["row_ids"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert set(found) == {(o, len(x), len(x), x[0][1], x[-1][1], sum((i - x[0][0]) * n for i, _, n in x)) for o, x in want.items()}
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
