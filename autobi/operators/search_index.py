@@ -20,6 +20,8 @@ from autobi.sources import tables
 FILTERS = "file string, changed timestamp, slice long, bits binary"
 FILES = "file string, changed timestamp"
 SLICE, HASHES = 32_768, 2
+#: Characters of a text that are cut into trigrams at once, so that a long text is not walked through for each of them.
+PIECE = 512
 
 
 def trigrams(text: Column) -> Column:
@@ -29,15 +31,35 @@ def trigrams(text: Column) -> Column:
     return F.when(F.char_length(text) >= 3, runs).otherwise(F.array().cast("array<string>"))
 
 
+def _bit(gram: Column, k: int, slices: int) -> Column:
+    return F.pmod(F.xxhash64(gram, F.lit(k)), F.lit(slices * SLICE))
+
+
 def _bits(gram: Column, slices: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(gram, F.lit(k)), F.lit(slices * SLICE)) for k in range(HASHES)])
+    return F.array(*[_bit(gram, k, slices) for k in range(HASHES)])
+
+
+def _filters(df: DataFrame, slices: int) -> DataFrame:
+    """``(id, slice, bits)``: the filters of a scan's files, ``id`` a number made of each file's name and time.
+
+    Two files of one number, should there be any, share a filter that misses nothing.
+    """
+    file, texts = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")).alias("id"), [F.lower(df[f.name].cast("string")) for f in simple_columns(df)]
+    rows = df.select(file, F.explode(F.array(*texts)).alias("text")).where(F.char_length("text") >= 3)
+    cut = rows.select("id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 3) / PIECE).cast("int"))).alias("p"))
+    pieces = cut.select("id", F.substring("text", F.col("p") * PIECE + 1, F.lit(PIECE + 2)).alias("piece"))
+    runs = pieces.select("id", "piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - 2)).alias("k")).select("id", F.substring("piece", F.col("k"), F.lit(3)).alias("gram"))
+    each = runs.select("id", *[_bit(F.col("gram"), k, slices).alias(f"b{k}") for k in range(HASHES)]).distinct()
+    bits = each.select("id", F.explode(F.array(*[f"b{k}" for k in range(HASHES)])).alias("bit")).withColumn("slice", F.floor(F.col("bit") / SLICE).cast("long"))
+    return bits.repartition("id", "slice").groupBy("id", "slice").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") % SLICE + 1)).alias("bits"))
 
 
 def update(spark: SparkSession, path: str, store: str, slices: int = 32) -> int:
     """Build the filters of the folder's Parquet files that the store does not hold yet; returns how many files that were.
 
     A filter has ``slices`` times 32 768 bits, the same for all updates of a store. Trigrams are of the lower-cased text
-    of every column of single values; bits are combined before they are shuffled.
+    of every column of single values. The trigrams of a task are told apart by the bits they set, two numbers each, before
+    anything is sent on, so that a task holds no more than its files have different ones.
     """
     known = tables.kept(spark, f"{store}/files/*", FILES)
     new = tables.listing(spark, path).join(known, ["file", "changed"], "left_anti").select("file", "changed")
@@ -45,11 +67,9 @@ def update(spark: SparkSession, path: str, store: str, slices: int = 32) -> int:
     if not files:
         return 0
     df, batch = tables.read_files(spark, path, [r.file for r in files]), uuid.uuid4().hex
-    grams = F.array_distinct(F.flatten(F.array(*[trigrams(F.lower(df[f.name].cast("string"))) for f in simple_columns(df)])))
-    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.explode(grams).alias("gram"))
-    bits = rows.select("file", "changed", F.explode(_bits(F.col("gram"), slices)).alias("bit"))
-    placed = bits.groupBy("file", "changed", F.floor(F.col("bit") / SLICE).cast("long").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") % SLICE + 1)).alias("bits"))
-    placed.write.parquet(f"{store}/filters/{batch}")
+    placed = _filters(df, slices)
+    named = new.select("file", "changed", F.xxhash64("file", "changed").alias("id"))
+    placed.join(F.broadcast(named) if len(files) <= tables.FILES else named, "id").select("file", "changed", "slice", "bits").write.parquet(f"{store}/filters/{batch}")
     # last, so that a file counts as held only if its filter is; one rewritten meanwhile is not
     listed = F.broadcast(new.select("file", "changed")) if len(files) <= tables.FILES else new
     tables.listing(spark, path).join(listed, ["file", "changed"], "left_semi").write.parquet(f"{store}/files/{batch}")
