@@ -100,3 +100,18 @@ def test_listing_opens_no_file(spark, tmp_path):
     path, _ = folder(spark, tmp_path)
     listed = tables.listing(spark, path)
     assert listed.count() == 8 and "ReadSchema: struct<>" in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_are_built_of_different_trigrams_only(spark, tmp_path):
+    """Trigrams are told apart before bitmaps are made, which past 128 groups would sort each of them; long texts are cut in pieces."""
+    path, store = str(tmp_path / "p"), str(tmp_path / "store")
+    long = "".join(chr(97 + k * k % 26) + str(k) + "é" for k in range(700))
+    spark.range(3000).select("id", F.concat(F.lit("common text "), F.col("id") % 5).alias("t")).unionByName(spark.createDataFrame([(-1, long)], "id long, t string")).repartitionByRange(5, "id").write.parquet(path)
+    made = search_index._filters(tables.read_files(spark, path, [r.file for r in tables.listing(spark, path).collect()]), 32)
+    steps = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x or "Exchange" in x]
+    assert "HashAggregate(keys=[id" in steps[-1] and "b0" in steps[-1] and sum("bitmap" in x for x in steps[:2]) == 2 == sum("bitmap" in x for x in steps)
+    search_index.update(spark, path, store)
+    whole = spark.read.parquet(path)
+    for at in (0, 508, 509, 510, 511, 512, 513, 1022, 1500, len(long) - 5):
+        same(search_index.search(spark, path, store, long[at : at + 5]), filters.search(whole, long[at : at + 5]))
+    assert search_index.candidates(spark, path, store, long[510:516]).count() == 1
