@@ -124,6 +124,21 @@ def test_deep_pages_read_their_range_only(spark, tmp_path):
     assert rows(pages.info(spark, empty)) == [(0, 0)]
 
 
+def test_ranges_of_pages_share_files(spark, tmp_path):
+    """Many small ranges take no partition and no folder each; a page opens the files of its ranges."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), F.lit("x").alias("pad"))
+    index = pages.build(df, str(tmp_path / "p"), "id", rows=10)
+    assert len(spark.read.parquet(f"{index.path}/rows").inputFiles()) == 4  # spark.sql.shuffle.partitions
+    ranges = spark.read.parquet(f"{index.path}/ranges").orderBy("__start").collect()
+    assert 500 <= len(ranges) <= 504 and max(r["__count"] for r in ranges) == 10 and sum(r["__count"] for r in ranges) == 5000
+    for number in (1, 50, 251, 500):
+        found = pages.page(spark, index, number, 10)
+        assert [r.id for r in found.collect()] == list(range(10 * number - 10, 10 * number)) and len(found.inputFiles()) <= 2
+    small = pages.build(df, str(tmp_path / "q"), "id", rows=10, file_rows=100)
+    assert len(spark.read.parquet(f"{small.path}/rows").inputFiles()) == 50
+    assert [r.id for r in pages.page(spark, small, 3, 1000).collect()] == list(range(2000, 3000))
+
+
 @pytest.mark.parametrize("accuracy", [4, 50, 2000])
 def test_selection_is_exact(spark, accuracy):
     rng = random.Random(accuracy)
