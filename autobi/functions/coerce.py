@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What text must look like for a number to be left of it without marks, and for any of the date patterns: one cheap test before many.
+NUMBER_LIKE = r"^[-+0-9., eE\n\r\x{85}\x{2028}\x{2029}]++$"
+DATE_LIKE = r"^\s*[0-9]{4}[-/][0-9]{1,2}[-/][0-9]|^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}$|^[0-9]{8}$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Words that count as truth values, and date patterns in order of preference.
 BOOL_WORDS = ["true", "false", "yes", "no", "1", "0", "t", "f", "y", "n", "sim", "não", "nao"]
@@ -57,7 +60,7 @@ def text_ts(text: Column, patterns: list[str] = DATE_PATTERNS) -> Column:
 
 def _form(pattern: str) -> str:
     """What text of a date pattern looks like; a parser that fails is far slower than this test."""
-    for part, digits in (("yyyy", "[0-9]{4}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("M", "[0-9]{1,2}")):
+    for part, digits in (("yyyy", "[0-9]{4}"), ("MM", "(0[1-9]|1[0-2])"), ("dd", "(0[1-9]|[12][0-9]|3[01])"), ("M", "[0-9]{1,2}")):
         pattern = pattern.replace(part, digits)
     return f"^{re.sub('d(?![0-9{])', '[0-9]{1,2}', pattern)}$"
 
@@ -114,15 +117,20 @@ def looks_like_date(col: Column) -> Column:
 
 
 def is_bool_word(col: Column) -> Column:
-    return F.lower(F.trim(col)).isin(BOOL_WORDS)
+    return (F.octet_length(F.trim(col)) <= 20) & F.lower(F.trim(col)).isin(BOOL_WORDS)  # no word has more than 5 characters
 
 
 def is_number_word(col: Column) -> Column:
-    return F.regexp_replace(col, "[, ]", "").rlike(NUMBER)
+    return may_be_number(col) & F.regexp_replace(col, "[, ]", "").rlike(NUMBER)
+
+
+def may_be_number(col: Column) -> Column:
+    """False for text that is no number however its commas and blanks are taken; ends at the first other character."""
+    return col.rlike(NUMBER_LIKE)
 
 
 def is_date_word(col: Column) -> Column:
-    return text_ts(F.trim(col), DATE_WORD_PATTERNS).isNotNull()
+    return F.trim(col).rlike(DATE_LIKE) & text_ts(F.trim(col), DATE_WORD_PATTERNS).isNotNull()
 
 
 def clamp(col: Column, low: float | None = None, high: float | None = None) -> Column:

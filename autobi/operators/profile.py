@@ -21,6 +21,11 @@ def simple_columns(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, SIMPLE)]
 
 
+def filled(c: Column, kind: T.DataType) -> Column:
+    """Neither null nor blank text; values of other types are not written as text to see it."""
+    return ~coerce.is_blank(c) if isinstance(kind, T.StringType) else c.isNotNull()
+
+
 def inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Column:
     few = figures["distinct"] <= F.greatest(F.lit(20), F.floor(rows * 0.05))
     word = F.when(few, "Category").otherwise("String")
@@ -40,15 +45,20 @@ def inferred(kind: T.DataType, figures: dict[str, Column], rows: Column) -> Colu
     )
 
 
-def figures_of(c: Column, kind: T.DataType) -> dict[str, Column]:
-    """Sums and ends that a column's profile is made of, besides its distinct values; they merge over parts."""
-    full, text = ~coerce.is_blank(c), isinstance(kind, T.StringType)
-    own = {"full": F.count_if(full)}
+def marks_of(c: Column, kind: T.DataType) -> dict[str, Column]:
+    """What a value counts for in its column's profile; made for each row, as an aggregation would test a text anew for each figure."""
+    full, text = filled(c, kind), isinstance(kind, T.StringType)
+    own = {"full": full}
     if text:
         clean = F.trim(c)
-        own |= {"bools": F.count_if(full & coerce.is_bool_word(clean)), "dates": F.count_if(full & coerce.is_date_word(clean)), "numbers": F.count_if(full & coerce.is_number_word(clean))}
-    value = coerce.text_num(F.regexp_replace(c, " ", "")) if text else c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
-    return own | {"min": F.min(value), "max": F.max(value)}
+        own |= {"bools": full & coerce.is_bool_word(clean), "dates": full & coerce.is_date_word(clean), "numbers": full & coerce.is_number_word(clean)}
+    value = F.when(coerce.may_be_number(c), coerce.text_num(F.replace(c, F.lit(" "), F.lit("")))) if text else c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+    return own | {"value": value}
+
+
+def figures_of(marks: dict[str, Column]) -> dict[str, Column]:
+    """Sums and ends, of columns of marks, that a column's profile is made of, besides its distinct values; they merge over parts."""
+    return {n: F.count_if(c) for n, c in marks.items() if n != "value"} | {"min": F.min(marks["value"]), "max": F.max(marks["value"])}
 
 
 def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, table: str | None = None) -> DataFrame:
@@ -61,11 +71,13 @@ def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, t
     rows = df.limit(sample_rows) if sample_rows else df
     apart = exact and not sample_rows
     distinct = F.count_distinct if exact else F.approx_count_distinct
-    figures, shown, hashes = [F.count("*").alias("__rows")], [], []
+    figures, marked, shown, hashes = [F.count("*").alias("__rows")], [], [], []
     for k, f in enumerate(simple_columns(df)):
         c = rows[f.name]
-        full = ~coerce.is_blank(c)
-        own = figures_of(c, f.dataType) | {"distinct": F.lit(0) if apart else distinct(F.when(full, c))}
+        full = filled(c, f.dataType)
+        marks = marks_of(c, f.dataType)
+        marked += [v.alias(f"__{n}_{k}") for n, v in marks.items()] + ([] if apart else [F.when(full, c).alias(f"__distinct_{k}")])
+        own = figures_of({n: F.col(f"__{n}_{k}") for n in marks}) | {"distinct": F.lit(0) if apart else distinct(f"__distinct_{k}")}
         figures += [v.alias(f"{n}_{k}") for n, v in own.items()]
         made = {n: F.col(f"{n}_{k}") for n in own}
         if apart:
@@ -76,7 +88,7 @@ def profile(df: DataFrame, sample_rows: int | None = None, exact: bool = True, t
         limits = [F.when(kind == "Number", made[n]).alias(n) for n in ("min", "max")]
         null_rate = F.when(total > 0, 1 - made["full"] / total).otherwise(0.0)
         shown.append(F.struct(F.lit(f.name).alias("column"), kind.alias("inferred_type"), total.alias("row_count"), null_rate.alias("null_rate"), made["distinct"].alias("distinct_count"), *limits))
-    whole = rows.agg(*figures)
+    whole = rows.select(*marked).agg(*figures)
     if hashes:
         values = rows.select(F.explode(F.array(*hashes)).alias("v")).where("v is not null").select("v.*").distinct()
         each = values.groupBy("k").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("__distinct"))

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autobi.functions import coerce
-from autobi.operators.profile import figures_of, inferred, simple_columns
+from autobi.operators.profile import figures_of, filled, inferred, marks_of, simple_columns
 from autobi.sources import tables
 
 FIGURES = "file string, changed timestamp, batch string, place int, column string, type string, rows long, full long, bools long, dates long, numbers long, min double, max double, sketch binary"
@@ -36,7 +35,21 @@ TYPES = {"text": T.StringType(), "number": T.DoubleType(), "boolean": T.BooleanT
 
 def _text(c, kind: T.DataType):
     whole = F.when(c == 0, F.abs(c)).otherwise(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c  # one zero only
-    return F.when(~coerce.is_blank(c), whole.cast("string"))
+    return F.when(filled(c, kind), whole.cast("string"))
+
+
+def _file(name: str) -> list[Column]:
+    """A file as the two hashes by which values are told apart, so that no row carries its name."""
+    return [F.xxhash64(name).alias("fh"), F.hash(name).alias("fg")]
+
+
+def _counted(df: DataFrame, values: list[Column]) -> DataFrame:
+    """``(fh, fg, place, h, g, head, n)``: the distinct values of each file and column.
+
+    ``head`` is a key, as it follows from the value: the smallest one of a group would need all rows sorted by their keys.
+    """
+    long = df.select(*_file("_metadata.file_path"), F.explode(F.array(*values)).alias("v")).where("v is not null").select("fh", "fg", "v.*")
+    return long.groupBy("fh", "fg", "place", "h", "g", "head").agg(F.count("*").alias("n"))
 
 
 def update(spark: SparkSession, path: str, store: str) -> int:
@@ -58,17 +71,21 @@ def update(spark: SparkSession, path: str, store: str) -> int:
         if any(f.name == r.column and _kind(f.dataType) != r.type for f in columns):
             raise ValueError(f"{r.column} was {r.type} before")
     file, changed = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed")
-    figures, shown, values = [F.count("*").alias("__rows")], [], []
+    figures, marked, shown, values = [F.count("*").alias("__rows")], [], [], []
     for k, f in enumerate(columns):
-        own = figures_of(df[f.name], f.dataType)
+        marks = marks_of(df[f.name], f.dataType)
+        own = figures_of({n: F.col(f"__{n}_{k}") for n in marks})
         value = _text(df[f.name], f.dataType)
-        figures += [v.alias(f"{n}_{k}") for n, v in own.items()] + [F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value))).alias(f"sketch_{k}")]
+        figures += [v.alias(f"{n}_{k}") for n, v in own.items()] + [F.hll_sketch_agg(f"__hash_{k}").alias(f"sketch_{k}")]
+        marked += [v.alias(f"__{n}_{k}") for n, v in marks.items()] + [F.when(value.isNotNull(), F.xxhash64(value)).alias(f"__hash_{k}")]
         made = [(F.col(f"{n}_{k}") if n in own else F.lit(0)).cast("double" if n in ("min", "max") else "long").alias(n) for n in [*SUMS, "min", "max"]]
         shown.append(F.struct(F.lit(k).alias("place"), F.lit(f.name).alias("column"), F.lit(_kind(f.dataType)).alias("type"), F.col("__rows").alias("rows"), *made, F.col(f"sketch_{k}").alias("sketch")))
-        values.append(F.when(value.isNotNull(), F.struct(F.lit(f.name).alias("column"), F.xxhash64(value).alias("h"), F.hash(value).alias("g"), F.left(value, F.lit(HEAD)).alias("head"))))
-    long = df.select(file, F.explode(F.array(*values)).alias("v")).where("v is not null").select("file", "v.*")
-    long.groupBy("file", "column", "h", "g").agg(F.min("head").alias("head"), F.count("*").alias("n")).withColumn("batch", F.lit(batch)).write.parquet(f"{store}/values/{batch}")
-    whole = df.select(file, changed, *[f.name for f in columns]).groupBy("file", "changed").agg(*figures)
+        values.append(F.when(value.isNotNull(), F.struct(F.lit(k).alias("place"), F.xxhash64(value).alias("h"), F.hash(value).alias("g"), F.left(value, F.lit(HEAD)).alias("head"))))
+    names = new.select("file", *_file("file"))
+    column = F.array(*[F.lit(f.name) for f in columns])[F.col("place")].alias("column")
+    counted = _counted(df, values).join(F.broadcast(names) if len(files) <= tables.FILES else names, ["fh", "fg"])
+    counted.select("file", F.lit(batch).alias("batch"), column, "h", "g", "head", "n").write.parquet(f"{store}/values/{batch}")
+    whole = df.select(file, changed, *marked).groupBy("file", "changed").agg(*figures)
     found = whole.select("file", "changed", F.explode(F.array(*shown)).alias("p")).select("file", "changed", "p.*")
     empty = [F.lit(k if n == "place" else f.name if n == "column" else _kind(f.dataType) if n == "type" else 0 if n not in ("min", "max", "sketch") else None).alias(n) for k, f in enumerate(columns[:1]) for n in ["place", "column", "type", "rows", *SUMS, "min", "max", "sketch"]]
     found = found.unionByName(new.join(whole.select("file"), "file", "left_anti").select("file", "changed", *empty))  # files without rows are known as well
@@ -84,7 +101,7 @@ def _current(spark: SparkSession, path: str, store: str) -> DataFrame:
 def _values(spark: SparkSession, figures: DataFrame, store: str) -> DataFrame:
     """``(column, h, g, head, n)``: the distinct values of all files of the figures."""
     values = tables.kept(spark, f"{store}/values/*", VALUES).join(figures.select("file", "batch").distinct(), ["file", "batch"], "left_semi")
-    return values.groupBy("column", "h", "g").agg(F.min("head").alias("head"), F.sum("n").alias("n"))
+    return values.groupBy("column", "h", "g", "head").agg(F.sum("n").alias("n"))
 
 
 def profile(spark: SparkSession, path: str, store: str, exact: bool = True, table: str | None = None) -> DataFrame:
