@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from autobi.functions import coerce
 from autobi.operators import filters, profile, profile_store, recommend, search_index
 from autobi.sources import tables
 from pyspark.sql import functions as F
@@ -115,3 +116,29 @@ def test_filters_are_built_of_different_trigrams_only(spark, tmp_path):
     for at in (0, 508, 509, 510, 511, 512, 513, 1022, 1500, len(long) - 5):
         same(search_index.search(spark, path, store, long[at : at + 5]), filters.search(whole, long[at : at + 5]))
     assert search_index.candidates(spark, path, store, long[510:516]).count() == 1
+
+
+def test_profiles_hash_values_without_sorting_or_writing_numbers_as_text(spark, tmp_path):
+    """Values of a file are counted by hash, not sorted by the file's name; a figure's test runs once a row, before the aggregation."""
+    df = data(spark, range(50))
+    df.write.parquet(str(tmp_path / "f"))
+    read = tables.read_files(spark, str(tmp_path / "f"), [r.file for r in tables.listing(spark, str(tmp_path / "f")).collect()])
+    counted = profile_store._counted(read, [F.struct(F.lit(0).alias("place"), F.xxhash64("name").alias("h"), F.hash("name").alias("g"), F.left("name", F.lit(9)).alias("head"))])
+    steps = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in steps and "HashAggregate" in steps
+    made = profile.profile(df)._jdf.queryExecution().optimizedPlan().toString()
+    sums = [x for x in made.splitlines() if "Aggregate" in x]
+    assert sums and not any("RLIKE" in x or "gettimestamp" in x for x in sums)
+    assert not any(f"cast({c}#{k} as string)" in made for c in ("k", "x", "d", "b") for k in range(9999))
+
+
+def test_words_are_told_as_by_the_patterns_alone(spark):
+    words = ["1", "1,2 3", " 12 ", "1\n", "+.5e-3", "- 5", "e5", "1e", "NaN", "12d", "", " ", "2024-01-02", " 2024/1/2", "2024-1-2T10:00:00", "1/2/2024", "13/13/2024", "1-2-2024", "20240102", "20241301", "20240132", "20240230", "00000101", "99999999", "2024", "13:45", "Sim", " não ", "FALSE", "falsey word", "x" * 50, None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    w = F.col("w")
+    plain = df.select(F.regexp_replace(w, "[, ]", "").rlike(coerce.NUMBER).alias("n"), F.lower(F.trim(w)).isin(coerce.BOOL_WORDS).alias("b"), coerce.text_ts(F.trim(w), coerce.DATE_WORD_PATTERNS).isNotNull().alias("d"), coerce.text_num(F.regexp_replace(w, " ", "")).alias("v"), F.try_to_timestamp(w, F.lit("yyyyMMdd")).cast("string").alias("t"))
+    gated = df.select(coerce.is_number_word(w).alias("n"), coerce.is_bool_word(w).alias("b"), coerce.is_date_word(w).alias("d"), F.when(coerce.may_be_number(w), coerce.text_num(F.replace(w, F.lit(" "), F.lit("")))).alias("v"), F.when(w.rlike(coerce._form("yyyyMMdd")), F.try_to_timestamp(w, F.lit("yyyyMMdd")).cast("string")).alias("t"))
+    assert rows(gated.select("n", "b", F.coalesce("d", F.lit(False)), "v")) == rows(plain.select("n", "b", "d", "v"))
+    eight = [k for k, v in enumerate(words) if v and len(v) == 8 and v.isdigit()]
+    got, want = rows(gated.select("t")), rows(plain.select("t"))
+    assert [got[k] for k in eight] == [want[k] for k in eight] and not rows(df.where(coerce.is_date_word(F.lit("20241301"))).limit(1))
