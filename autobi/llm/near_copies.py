@@ -1,13 +1,21 @@
-"""Near copies by the similarity of word shingles, exact, for the corpus pipeline.
-
-Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. In 64
-fingerprint bits such a pair differs in about 10 places and often in more than 15, so equal segments of a SimHash
-would be of 3 bits and prune nothing. The pigeonhole is laid over the shingles instead, in an order common to all
+"""Near copies by SimHash of word shingles, candidates by pigeonring, each link tested by the shingles themselves.
+
+Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. At that
+similarity 15 % of SimHash bits differ. In 64 bits that is 10 and often more than 15, so that equal segments would be of
+3 bits and prune nothing; a fingerprint here has ``BITS`` bits, in ``SEGMENT`` bits long segments on a ring. Two that differ
+in fewer bits than there are segments have one of them equal, and of two that differ in 15 % of all bits 99 % have.
+That segment is the key; the chain that starts with it must keep within its share of ``RADIUS`` bits at each length, which
+is tested where keys meet, then chains of the whole ring and the Hamming distance, last the sets. Keys of many texts
+are split by the segments that follow.
+
+What these links leave is exact, too: pairs that no such link joins are found by the shingles. The pigeonhole is laid over
+them in an order common to all
 documents: of two sets of which neither is smaller than ``s``, and one has just ``s`` shingles, the first
 ``s - ceil(2 * 0.8 / 1.8 * s) + 1`` of the smaller one (its lead) and the first ``s' - ceil(0.8 * s') + 1`` of the larger one
 (its keys) share one. Shingles that are common in a sample come last in that order; this changes the work and not the
-result. A passage that many texts share thus leads a text only if it makes up most of it. Pairs that meet by a lead are
-compared by their whole sets, unless their places in the sets or fingerprints show that too much differs: in bitmaps of
+result. A passage that many texts share thus leads a text only if it makes up most of it. Keys whose texts are all of one
+group are done. Other pairs that meet by a lead are
+compared by their whole sets, unless their places in the sets or parities show that too much differs: in bitmaps of
 the parity of shingles at each of some places (four for each shingle or more) no more bits can differ than shingles do,
 so this bound on the Hamming distance loses nothing. It is tested by pigeonring chains of segments first, as in ``simhash``.
 
@@ -38,6 +46,8 @@ SLACK = 1e-9
 PLACES = 1024
 #: Segments in the longest chain that is tested before the full distance; a segment is 64 bits.
 CHAIN = 4
+#: Bits of a SimHash fingerprint, of its segments, and in how many two of similar texts may differ (a quarter; 15 % do at 0.8).
+BITS, SEGMENT, RADIUS = 1024, 16, 256
 LATER = 3
 #: Leads that are always paired off with all that have their key: that is in proportion to the input.
 FEW = 8
@@ -60,6 +70,15 @@ def grams(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(found), np.uint64))
 
 
+def fingerprint(own: np.ndarray) -> bytes:
+    """SimHash of a set of shingles: the majority of each of ``BITS`` bits derived from their hashes."""
+    more, counts = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(BITS, np.int64)
+    for at in range(0, len(own), 255):  # sums of 255 bits fit a byte
+        bits = np.unpackbits(common.mix64(own[at : at + 255, None] + more).view(np.uint8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own)).tobytes()
+
+
 def _usual(texts: DataFrame, words: int, sample: int, least: int = 3, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample of the texts, sorted, and how often they are."""
 
@@ -76,7 +95,7 @@ def _usual(texts: DataFrame, words: int, sample: int, least: int = 3, most: int
 
 
 def _keys(texts: DataFrame, words: int, similarity: float, usual: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(node, size, keys, sketch, *FOLDS)``: how many shingles a text has, as bytes those that come first, the sketch."""
+    """``(node, size, keys, sketch, fp, *FOLDS)``: how many shingles a text has, as bytes those that come first, the sketch, the SimHash."""
 
     def first(own: np.ndarray) -> np.ndarray:
         count = len(own) - math.ceil(similarity * len(own) - SLACK) + 1
@@ -91,10 +110,10 @@ def _keys(texts: DataFrame, words: int, similarity: float, usual: tuple[np.ndarr
             sets = [grams(t, words) for t in common.binary(batch.column(1))]
             sketches = [sketch(x) for x in sets]
             folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, len(FOLDS)), axis=0) for x in sketches], np.int64).reshape(-1, len(FOLDS))
-            found = [pa.array(map(len, sets), pa.int32()), pa.array([first(x).tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *(pa.array(np.ascontiguousarray(x)) for x in folded.T)], ["node", "size", "keys", "sketch", *FOLDS])
+            found = [pa.array(map(len, sets), pa.int32()), pa.array([first(x).tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary()), pa.array(map(fingerprint, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *(pa.array(np.ascontiguousarray(x)) for x in folded.T)], ["node", "size", "keys", "sketch", "fp", *FOLDS])
 
-    return texts.select("node", "text").mapInArrow(common.tidy(run), "node long, size int, keys binary, sketch binary, " + ", ".join(f"{f} long" for f in FOLDS))
+    return texts.select("node", "text").mapInArrow(common.tidy(run), "node long, size int, keys binary, sketch binary, fp binary, " + ", ".join(f"{f} long" for f in FOLDS))
 
 
 def lead(size: np.ndarray, similarity: float) -> np.ndarray:
@@ -102,10 +121,87 @@ def lead(size: np.ndarray, similarity: float) -> np.ndarray:
     return size - np.ceil(2 * similarity / (1 + similarity) * size - SLACK).astype(np.int64) + 1
 
 
+def _dealt(rows: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """``(range, rows)``: rows of numbers as bytes, by the range of the first one."""
+    to = (common.mix64(rows[:, 0]) % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    rows, cut = rows[order], np.searchsorted(to[order], np.arange(ranges + 1))
+    found = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([rows[cut[r] : cut[r + 1]].tobytes() for r in found], pa.binary())], ["range", "rows"])
+
+
+def ringed(key: np.ndarray, node: np.ndarray, after: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, differ)``: for nodes ``b`` the smallest and the nearest of the smaller nodes ``a`` with a key in common whose next
+    four segments (``after``) keep within their chain's budgets; ``differ`` is in how many bits these differ.
+
+    Keys of more than ``hot`` nodes are split by the bits that follow, eight at a time; of those that stay so large each
+    node meets the ``hot`` next in order.
+    """
+    order = np.lexsort((node, after, key))
+    key, node, after = key[order], node[order], after[order]
+    starts = np.concatenate(([True], key[1:] != key[:-1]))
+    for shift in range(56, -8, -8):
+        n = np.diff(np.append(np.flatnonzero(starts), len(key)))
+        if n.max() <= hot:
+            break
+        part = after >> np.uint64(shift)
+        starts[1:] |= np.repeat(n > hot, n)[1:] & (part[1:] != part[:-1])
+    group, n = np.cumsum(starts) - 1, np.diff(np.append(np.flatnonzero(starts), len(key)))
+    each, budget = SEGMENT * RADIUS // BITS, 64 // SEGMENT
+    found = [np.zeros((0, 3), np.int64)]
+    for k in range(1, min(hot, int(n.max()))):
+        at = np.flatnonzero(group[k:] == group[:-k])
+        differ = after[at] ^ after[at + k]
+        for length in range(budget, 0, -1):  # the longest chain leaves fewest
+            stay = np.bitwise_count(differ >> np.uint64(64 - SEGMENT * length)) <= each * (length + 1)
+            at, differ = at[stay], differ[stay]
+        ends = node[at], node[at + k]
+        found.append(np.stack([np.minimum(*ends), np.maximum(*ends), np.bitwise_count(differ)], axis=1))
+    a, b, differ = np.concatenate(found).T
+    kept = []
+    for order in (np.lexsort((differ, a, b)), np.lexsort((a, differ, b))):
+        order = order[(a != b)[order]]
+        kept.append(order[np.concatenate(([True], b[order][1:] != b[order][:-1]))[: len(order)]])
+    kept = np.unique(np.concatenate(kept))
+    return a[kept], b[kept], differ[kept]
+
+
+def _met(each: DataFrame, ranges: int, hot: int) -> DataFrame:
+    """``(a, b)``: each node of ``each(node, fp)`` with the smallest and the nearest smaller one that it meets by a segment of
+    their fingerprints and the chain from it, see :func:`ringed`: at most twice as many pairs as nodes."""
+    count = BITS // SEGMENT
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = np.frombuffer(b"".join(batch.column(1).to_pylist()), f">u{SEGMENT // 8}").reshape(-1, count).astype(np.uint64)
+            if not len(parts):
+                continue
+            after = np.zeros_like(parts)
+            for k in range(1, 64 // SEGMENT + 1):
+                after = after << np.uint64(SEGMENT) | np.roll(parts, -k, axis=1)
+            key = np.arange(count, dtype=np.uint64) << np.uint64(SEGMENT) | parts
+            node = np.repeat(batch.column(0).to_numpy().view(np.uint64), count)
+            yield _dealt(np.stack([key.ravel(), node, after.ravel()], axis=1), ranges)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.frombuffer(x, np.uint64).reshape(-1, 3) for batch in batches for x in batch.column(1).to_pylist()]
+        if not rows:
+            return
+        rows = np.concatenate(rows)
+        pairs = ringed(rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.int64), rows[:, 2], hot)
+        for at in range(0, len(pairs[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in pairs], ["a", "b", "differ"])
+
+    sent = each.select("node", "fp").mapInArrow(common.tidy(send), "range int, rows binary")
+    pairs = sent.repartitionById(ranges, F.col("range")).mapInArrow(common.tidy(meet), "a long, b long, differ long")
+    best = pairs.groupBy("b").agg(F.min("a").alias("least"), F.min(F.struct("differ", "a")).alias("near"))
+    return best.select(F.explode(F.array_distinct(F.array("least", "near.a"))).alias("a"), "b")
+
+
 def _shared(each: DataFrame, ranges: int, similarity: float) -> DataFrame:
-    """``(key, node, size, at, leads)`` for each key that several nodes of ``each(node, size, keys)`` have and one leads with.
+    """``(key, node, size, at, before, leads)`` for each key that several nodes of ``each(node, size, keys)`` have and one leads with.
 
-    ``at`` is the key's place in the node's set.
+    ``at`` is the key's place in the node's set, ``before`` the key ahead of it there.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +213,10 @@ def _shared(each: DataFrame, ranges: int, similarity: float) -> DataFrame:
             key = np.frombuffer(b"".join(keys), np.uint64)
             at = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
             node, size = (np.repeat(batch.column(k).to_numpy().astype(np.int64), count) for k in (0, 1))
-            to = (common.mix64(key) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            rows = np.stack([key, node.view(np.uint64), (size << 32 | at).view(np.uint64)], axis=1)[order]
-            cut = np.searchsorted(to[order], np.arange(ranges + 1))
-            found = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([rows[cut[r] : cut[r + 1]].tobytes() for r in found], pa.binary())], ["range", "rows"])
+            yield _dealt(np.stack([key, node.view(np.uint64), (size << 32 | at).view(np.uint64), np.roll(key, 1)], axis=1), ranges)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.uint64).reshape(-1, 3) for batch in batches for x in batch.column(1).to_pylist()]
+        rows = [np.frombuffer(x, np.uint64).reshape(-1, 4) for batch in batches for x in batch.column(1).to_pylist()]
         if not rows:
             return
         rows = np.concatenate(rows)
@@ -135,12 +226,12 @@ def _shared(each: DataFrame, ranges: int, similarity: float) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
         n = np.diff(np.append(first, len(rows)))
         met = np.repeat((n > 1) & (np.add.reduceat(leads.astype(np.int64), first) > 0), n)
-        key, node = (np.ascontiguousarray(rows[met, k]).view(np.int64) for k in (0, 1))
-        columns = [key, node, size[met].astype(np.int32), at[met].astype(np.int32), leads[met]]
+        key, node, before = (np.ascontiguousarray(rows[met, k]).view(np.int64) for k in (0, 1, 3))
+        columns = [key, node, size[met].astype(np.int32), at[met].astype(np.int32), before, leads[met]]
         for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], ["key", "node", "size", "at", "leads"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], ["key", "node", "size", "at", "before", "leads"])
 
-    return each.select("node", "size", "keys").mapInArrow(common.tidy(send), "range int, rows binary").repartitionById(ranges, F.col("range")).mapInArrow(common.tidy(meet), "key long, node long, size int, at int, leads boolean")
+    return each.select("node", "size", "keys").mapInArrow(common.tidy(send), "range int, rows binary").repartitionById(ranges, F.col("range")).mapInArrow(common.tidy(meet), "key long, node long, size int, at int, before long, leads boolean")
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -169,15 +260,19 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.tidy(run), "node long, grams binary")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, each: DataFrame, words: int) -> DataFrame:
-    """``(a, b, hub, j)``, written: ``pairs(a, b, hub, least)`` that may reach the similarity ``least``, j their exact one."""
+def _compared(pairs: DataFrame, texts: DataFrame, each: DataFrame, words: int, mark: str = "sketch") -> DataFrame:
+    """``(a, b, hub, j)``, written: ``pairs(a, b, hub, least)`` that may reach the similarity ``least``, j their exact one.
+
+    ``mark``: what is compared before the sets, the ``sketch``, whose bits differ no more than the sets, or the SimHash ``fp``.
+    """
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least, size = batch.column(3).to_numpy(), batch.column(4).to_numpy() + batch.column(5).to_numpy()
             if not len(least):
                 continue
-            total, stay = size * (1 - least) / (1 + least), np.zeros(len(least), bool)
+            total = size * (1 - least) / (1 + least) if mark == "sketch" else np.full(len(least), float(RADIUS))
+            stay = np.zeros(len(least), bool)
             for at, boxes in differing(list(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()))):
                 may_be = chains(boxes, total[at], CHAIN)
                 stay[at[may_be]] = boxes[may_be].sum(axis=1) <= total[at[may_be]] + SLACK
@@ -193,8 +288,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, each: DataFrame, words: int) -
                 found.append(same / (len(both) - same))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.float64())], ["a", "b", "hub", "j"])
 
-    a, b = (each.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-    both = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "hub", "least", "a_size", "b_size", "a_sketch", "b_sketch")
+    a, b = (each.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col(mark).alias(f"{x}_mark")) for x in "ab")
+    both = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "hub", "least", "a_size", "b_size", "a_mark", "b_mark")
     some = common.materialize(both.mapInArrow(common.tidy(may), "a long, b long, hub boolean, a_size int"))
     nodes = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = common.materialize(_sets(texts, nodes, words))
@@ -212,56 +307,68 @@ def _compared(pairs: DataFrame, texts: DataFrame, each: DataFrame, words: int) -
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _paired(left: DataFrame, right: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
-    """All pairs ``(a, b)`` of ``left`` and ``right(key, node, size, at, leads, *FOLDS)`` with a common key, a lead of the
+def _paired(left: DataFrame, right: DataFrame, similarity: float, apart: bool = False, known: bool = False) -> DataFrame:
+    """All pairs ``(a, b)`` of ``left`` and ``right(key, node, size, at, before, leads, *FOLDS)`` with a common key, a lead of the
     smaller one, which comes from the left, whose sizes, places of the key and folded fingerprints allow the similarity; tested
-    in the join itself, so that the others are never sent on. ``apart``: only those that no link joins (``root``) and that
-    their similarities ``j`` to a third set allow."""
-    more = ("root", "j") if apart else ()
-    a, b = (rows.select("key", "leads", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), *[F.col(f).alias(f"{x}_{f}") for f in (*FOLDS, *more)]) for rows, x in ((left, "a"), (right, "b")))
+    in the join itself, so that the others are never sent on. ``known``: only those that no link joins (``root``); ``apart``: of
+    these those that their similarities ``j`` to a third set allow."""
+    more = ("root", "j") if apart else ("root",) if known else ()
+    a, b = (rows.select("key", "leads", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), F.col("before").alias(f"{x}_before"), *[F.col(f).alias(f"{x}_{f}") for f in (*FOLDS, *more)]) for rows, x in ((left, "a"), (right, "b")))
     both = F.col("a_size") + F.col("b_size")
     ordered = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b")))
     fits = F.col("a_size") >= F.col("b_size") * similarity - SLACK
-    rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))  # the first shared key, if this is it, and all after it
-    enough = rest + F.least("a_at", "b_at") >= both * (similarity / (1 + similarity)) - SLACK
+    # A pair need only meet by the first key that both have: all that they share is this one or comes after it, and the keys
+    # ahead of it differ.
+    first = (F.col("a_at") == 0) | (F.col("b_at") == 0) | (F.col("a_before") != F.col("b_before"))
+    rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    enough = rest >= both * (similarity / (1 + similarity)) - SLACK
     differ = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FOLDS])
     near = differ <= both * ((1 - similarity) / (1 + similarity)) + SLACK
     if apart:
-        near = (F.col("a_root") != F.col("b_root")) & (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + SLACK) & near
-    return a.where("leads").drop("leads").join(b.drop("leads"), "key").where(ordered & fits & enough & near).select("a", "b").distinct()
+        near = (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + SLACK) & near
+    if more:
+        near = (F.col("a_root") != F.col("b_root")) & near
+    return a.where("leads").drop("leads").join(b.drop("leads"), "key").where(ordered & fits & first & enough & near).select("a", "b").distinct()
+
+
+def printed(each: DataFrame, texts: DataFrame, ranges: int, words: int = 5, similarity: float = 0.8, hot: int = 64) -> DataFrame:
+    """``(a, b)``, written: links between nodes of ``each(node, size, fp)`` that their fingerprints show and their sets confirm."""
+    pairs = _met(each, ranges, hot).select("a", "b", F.lit(False).alias("hub"), F.lit(similarity).alias("least"))
+    return _compared(pairs, texts, each, words, "fp").where(F.col("j") >= similarity - SLACK).select("a", "b")
 
 
-def links(shared: DataFrame, texts: DataFrame, each: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = 64, rounds: int = 6) -> DataFrame:
-    """``(a, b)``: links between nodes of ``shared(key, node, size, at, leads, *FOLDS)`` whose components are exact.
+def links(shared: DataFrame, texts: DataFrame, each: DataFrame, found: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = 64, rounds: int = 6) -> DataFrame:
+    """``(a, b)``: ``found`` and the links it lacks between nodes of ``shared(key, node, size, at, before, leads, *FOLDS, root)``, so that
+    components are exact; ``root`` is the group by ``found``.
 
-    A key is paired off if that makes at most ``hot`` times ``hot`` tests, see ``LATER`` and ``FEW``, or after ``rounds`` rounds.
+    A key whose nodes are all of one group is done. Another is paired off if that makes at most ``hot`` times ``hot`` tests, see ``LATER`` and ``FEW``, or after ``rounds`` rounds.
     """
     near, ringed = F.col("j") >= similarity - SLACK, 2 * similarity - 1
-    found, rings, rest = None, [], shared
+    rings, rest = [], shared
     for k in range(rounds + 1):
-        centre = rest.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.count_if("leads").alias("m"))
-        now = common.materialize(rest.join(centre.where("n > 1 and m > 0"), "key"))
+        centre = rest.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.count_if("leads").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+        now = common.materialize(rest.join(centre.where("n > 1 and m > 0 and low < high").drop("low", "high"), "key"))
         large = (F.col("m") > FEW) & (F.col("n") * F.col("m") > hot * hot * LATER**k) if k < rounds else F.lit(False)
         many = now.where(large)
         few = now.where(~large)
-        pairs = _paired(few, few, similarity).select("a", "b", F.lit(False).alias("hub"), F.lit(similarity).alias("least"))
+        pairs = _paired(few, few, similarity, known=True).select("a", "b", F.lit(False).alias("hub"), F.lit(similarity).alias("least"))
         hubs = many.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"), F.lit(ringed).alias("least"))
         done = _compared(pairs.unionByName(hubs), texts, each, words)
         linked = done.where(near)
-        found = linked.select("a", "b") if found is None else found.unionByName(linked.select("a", "b"))
+        found = found.unionByName(linked.select("a", "b"))
         rings.append((many, done.where("hub").select(F.col("a").alias("centre"), F.col("b").alias("node"), "j")))
         close = linked.where("hub").select(F.col("a").alias("centre"), F.col("b").alias("node"))
         if not many.limit(1).count():
             break
-        rest = common.materialize(many.where("node != centre").join(close, ["centre", "node"], "left_anti").select("key", "node", "size", "at", "leads", *FOLDS))
+        rest = common.materialize(many.where("node != centre").join(close, ["centre", "node"], "left_anti").select("key", "node", "size", "at", "before", "leads", *FOLDS, "root"))
     if len(rings) == 1:
         return found
     # Those near a centre against those farther off that have the same key: only where the metric allows it and no other
     # links join them.
     root, crossing = common.materialize(common.components(found)), None
     for many, hubs in rings:
-        ring = many.join(hubs.where(F.col("j") >= ringed - SLACK), ["centre", "node"]).join(root, "node", "left")
-        ring = common.materialize(ring.select("key", "node", "size", "at", "leads", *FOLDS, "j", F.coalesce("root", "node").alias("root")))
+        ring = many.drop("root").join(hubs.where(F.col("j") >= ringed - SLACK), ["centre", "node"]).join(root, "node", "left")
+        ring = common.materialize(ring.select("key", "node", "size", "at", "before", "leads", *FOLDS, "j", F.coalesce("root", "node").alias("root")))
         inner, outer = ring.where(near), ring.where(~near)
         pairs = _paired(inner, outer, similarity, apart=True).unionByName(_paired(outer, inner, similarity, apart=True))
         crossing = pairs if crossing is None else crossing.unionByName(pairs)
@@ -293,11 +400,15 @@ def _places(texts: DataFrame, words: int, similarity: float, hot: int, sample: i
     keyed = common.materialize(_keys(texts, words, similarity, _usual(texts, words, sample)))
     each = common.materialize(keyed.join(firsts.select("node"), "node", "left_semi"))
     common.drop(keyed)
-    shared = common.materialize(_shared(each, common.ranges(texts), similarity))
-    marked = common.materialize(each.select("node", "size", "sketch", *FOLDS).join(shared.select("node").distinct(), "node", "left_semi"))
-    rows = common.materialize(shared.join(marked.select("node", *FOLDS), "node"))
+    ranges = common.ranges(texts)
+    found = printed(each, texts, ranges, words, similarity, hot)
+    grouped = common.materialize(common.components(found))
+    shared = common.materialize(_shared(each, ranges, similarity))
+    met = each.select("node", "size", "sketch", *FOLDS).join(shared.select("node").distinct(), "node", "left_semi")
+    marked = common.materialize(met.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rows = common.materialize(shared.join(marked.select("node", *FOLDS, "root"), "node"))
     common.drop(each, shared)
-    root = common.components(links(rows, texts, marked.drop(*FOLDS), words, similarity, hot))
+    root = common.components(links(rows, texts, marked.drop(*FOLDS, "root"), found, words, similarity, hot))
     rooted = common.materialize(firsts.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root")))
     return named.join(rooted, "digest").select(PLACE, "root")
 

@@ -122,3 +122,52 @@ def test_repeats_null_ids_and_empty_tables(spark):
     kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_copies.keep_one(frame(spark, rows)).collect())
     assert kept == [(False, 1, "a b c d"), (False, 3, "other text here now"), (True, 0, "nobody else has this text")]
     assert near_copies.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
+def met(prints, hot=64):
+    """Pairs of fingerprints that ``ringed`` gives, by place in the list."""
+    parts = np.frombuffer(b"".join(prints), ">u2").reshape(-1, 64).astype(np.uint64)
+    after = sum(np.roll(parts, -k, axis=1) << np.uint64(64 - 16 * k) for k in range(1, 5))
+    key, node = np.arange(64, dtype=np.uint64) << np.uint64(16) | parts, np.repeat(np.arange(len(prints)), 64)
+    return set(zip(*(x.tolist() for x in near_copies.ringed(key.ravel(), node, after.ravel(), hot)[:2])))
+
+
+def test_pigeonring_keys_meet_by_fingerprints():
+    """No pair of fewer differing bits than segments is lost, nearly none of similarity 0.8, and others do not meet."""
+    rng = np.random.default_rng(4)
+    prints = []
+    for k in range(600):
+        a = rng.integers(0, 256, 128).astype(np.uint8)
+        flip = np.zeros(1024, np.uint8)
+        flip[rng.choice(1024, 63, replace=False) if k % 2 else np.arange(63) + rng.integers(0, 900)] = 1
+        prints += [a.tobytes(), (a ^ np.packbits(flip)).tobytes()]
+    assert {(2 * k, 2 * k + 1) for k in range(600)} <= (got := met(prints)) and len(got) < 650
+    sets = []
+    for _ in range(400):
+        own = rng.integers(0, 2**63, 360).astype(np.uint64)
+        sets += [own, np.concatenate([own[40:], rng.integers(0, 2**63, 40).astype(np.uint64)])]
+    prints = [near_copies.fingerprint(x) for x in sets]
+    bits = np.stack([np.unpackbits(np.frombuffer(x, np.uint8)) for x in prints])
+    differ = (bits[::2] != bits[1::2]).sum(axis=1)
+    assert 140 < differ.mean() < 170 and differ.max() < near_copies.RADIUS < (bits[:400] != bits[400:]).sum(axis=1).min()
+    got = met(prints)
+    assert len({(2 * k, 2 * k + 1) for k in range(400)} & got) >= 392 and len(got) < 440
+    same = [prints[0]] * 3000 + prints[1:40]  # one key for all: each meets at most two smaller ones, and all stay together
+    got = met(same, 16)
+    assert len(got) < 2 * len(same) and len({b for _, b in got if b < 3000}) == 2999
+
+
+def test_copies_are_linked_by_fingerprints_before_shingles(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = text_of(rng, rng.randint(100, 300))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(changed(rng, text, rng.randint(1, 2))))]
+    df = frame(spark, rows).select(F.col("doc_id").alias("node"), "text")
+    keyed = near_copies._keys(df, 5, 0.8, near_copies._usual(df, 5, 5000))
+    links = {(r.a, r.b) for r in near_copies.printed(keyed, df, 4).collect()}
+    want = {(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if similarity(shingles(x), shingles(y)) >= 0.8}
+    assert len(want) > 50 and links == want
+    grouped = keyed.join(spark.createDataFrame(sorted((x, min(p)) for p in links for x in p), "node long, root long"), "node")
+    shared = near_copies._shared(grouped, 4, 0.8).join(grouped.select("node", *near_copies.FOLDS, "root"), "node")
+    assert near_copies._paired(shared, shared, 0.8).count() >= len(want) and near_copies._paired(shared, shared, 0.8, known=True).count() == 0
